@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import caps, packing, subjects, tokens
+from gleanwork.llm import caps, lookalike, packing, subjects, tokens
 from gleanwork.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_pairs(table(spark, sf_dir, "search_hits"), ["title", "snippet"])
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.uniform(table(spark, sf_dir, "search_hits"), ["title", "snippet"], ["hit_id"]).drop("title", "snippet")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.over_cap(table(spark, sf_dir, "json_sources"), table(spark, sf_dir, "source_caps"))
 
@@ -47,4 +55,4 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_capped, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_capped, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)}
