@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import caps, lookalike, packing, subjects, tokens
+from gleanwork.llm import boilerplate, caps, lookalike, mojibake, packing, residue, subjects, tokens
 from gleanwork.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find_damaged(table(spark, sf_dir, "content_cache"), ["content", "title"]).select("field", "content_id")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find_damaged(table(spark, sf_dir, "content_cache"), ["content", "title"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, sf_dir, "search_hits"), ["title", "snippet"])
 
@@ -19,6 +27,14 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.uniform(table(spark, sf_dir, "search_hits"), ["title", "snippet"], ["hit_id"]).drop("title", "snippet")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.find_furniture(table(spark, sf_dir, "content_cache"))
+
+
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_body(table(spark, sf_dir, "content_cache"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.over_cap(table(spark, sf_dir, "json_sources"), table(spark, sf_dir, "source_caps"))
 
@@ -29,6 +45,18 @@ def p5_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("run_id", "row_id", caps.url_host(F.col("url")).alias("host"), caps.source_kind(F.col("source_type")).alias("kind"), "score")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "content_cache")).select("content_id")
+
+
+def p6_clean_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each layer and how many are excluded as residue."""
+    pages = table(spark, sf_dir, "content_cache")
+    found = residue.find_residue(pages).groupBy("content_id").agg(F.count("*").alias("hits"))
+    joined = pages.select("content_id", "layer_used").join(found, "content_id", "left")
+    return joined.groupBy("layer_used").agg(F.count("*").alias("pages"), F.count("hits").alias("excluded"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -55,4 +83,5 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_capped, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)}
+    found = (p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_bodies, p5_found, p5_capped, p6_found, p6_clean_share, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)
+    return {f.__name__: f for f in found}
