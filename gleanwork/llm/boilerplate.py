@@ -66,6 +66,11 @@ def repaired(text: str) -> list[str]:
     return once + [t for o in once if not o.isascii() for _, t in undone(o, False)]
 
 
+def _in_code(content: str, no: int) -> bool:
+    """Whether line no stands within a fenced block."""
+    return sum(raw.lstrip().startswith("```") for raw in content.split("\n")[: no - 1]) % 2 == 1
+
+
 class Line:
     __slots__ = ("no", "text", "path", "link", "kind", "masked")
 
@@ -157,8 +162,9 @@ def _cut_short(text: str, brand: str, repeated: frozenset[str]) -> bool:
     if len(text) < 3:
         return False
     masked = _DIGITS.sub("0", text)
-    tail = (f"{brand} is made with care by a small team", f"copyright 0 {brand}", f"powered by {brand}", f"© 0 {brand}")
-    if any(t.startswith(masked.lower()) for t in tail):
+    low = masked.lower()
+    tail = (f"{brand} is made with care by a small team", f"copyright 0 {brand} ltd", f"powered by {brand} press", f"© 0 {brand}")
+    if any(t.startswith(low) and t != low for t in tail):
         return True
     return any(p.startswith(masked) and p != masked for p in (*_WHOLE, *repeated))
 

@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import boilerplate, caps, lookalike, mojibake, packing, residue, subjects, tokens
+from gleanwork.llm import boilerplate, caps, lookalike, mojibake, packing, residue, subjects, tokens, truncation
 from gleanwork.session import table
 
 
+def _hits_and_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "content_cache")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_cut(*_hits_and_pages(spark, sf_dir)).select("field", "row_id")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(*_hits_and_pages(spark, sf_dir))
+
+
+def p1_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.storage_limits(*_hits_and_pages(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.find_damaged(table(spark, sf_dir, "content_cache"), ["content", "title"]).select("field", "content_id")
 
@@ -83,5 +99,5 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_bodies, p5_found, p5_capped, p6_found, p6_clean_share, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)
+    found = (p1_found, p1_rates, p1_limits, p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_bodies, p5_found, p5_capped, p6_found, p6_clean_share, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)
     return {f.__name__: f for f in found}

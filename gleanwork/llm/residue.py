@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.llm import residue_words as W
-from gleanwork.llm.boilerplate import furniture_lines, read_lines, repaired
+from gleanwork.llm.boilerplate import _in_code, furniture_lines, read_lines, repaired
 from gleanwork.llm.caps import url_host
 from gleanwork.session import spread
 
@@ -106,7 +106,7 @@ def text_residue(content: str | None, title: str | None = None, host: str | None
     if template or found["filler"] or found["latin"] >= 3:
         for line in lines:
             raw = content.split("\n", line.no)[line.no - 1]
-            if template and not (line.path[:4] == "code" and (raw.lstrip().startswith("<") or _in_fence(content, line.no))) and _placeholders(line.text or raw):
+            if template and not (line.path[:4] == "code" and (raw.lstrip().startswith("<") or _in_code(content, line.no))) and _placeholders(line.text or raw):
                 return True
             bare = _QUOTED.sub(" ", line.text).lower()
             if any(x in bare and len(x) >= COVERAGE * len(bare) for x in FILLERS) or len(line.text) > 30 and _latin(line.text):
@@ -131,11 +131,6 @@ def text_residue(content: str | None, title: str | None = None, host: str | None
     return covered > 0 and covered >= COVERAGE * left
 
 
-def _in_fence(content: str, no: int) -> bool:
-    """Whether line no stands between two fences."""
-    return sum(raw.lstrip().startswith("```") for raw in content.split("\n")[: no - 1]) % 2 == 1
-
-
 def find_residue(pages: DataFrame, id_col: str = "content_id", title_col: str = "title", content_col: str = "content", url_col: str = "url") -> DataFrame:
     """(id_col, in_title, in_content): a row for each row of pages whose title or content holds residue.
 

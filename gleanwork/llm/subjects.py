@@ -159,6 +159,7 @@ def _count(docs: DataFrame, subjects: list[str], model) -> Terms:
 
     parts = docs.select("text", "labels").mapInArrow(run, "term string, " + ", ".join(f"{c} double" for c in columns))
     total = parts.groupBy("term").agg(*(F.sum(c).alias(c) for c in columns)).withColumn("n", sum(F.col(c) for c in columns))
+    total = written(total, "subjects-terms")  # read twice below
     langs = {r[0][:-1]: np.array(r[1 : k + 1]) for r in total.where("term LIKE '%\\t'").collect()}  # a row for each language
     everywhere = sum(langs.values(), np.full(k, 1e-3))
     prior = {lang: (n + 20 * everywhere / everywhere.sum()) / (n.sum() + 20) for lang, n in langs.items()}
