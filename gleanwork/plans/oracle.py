@@ -1 +1,146 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL for the core queries, over the same whole tables."""
+
+from __future__ import annotations
+
+from gleanwork.functions import texts, urls
+from gleanwork.operators import fetching, hits, scoring
+from gleanwork.plans.queries import AUTHORITY, LATENCY_BUDGET_MS, NOW, PAGE, TTL_RULES
+
+_LIST = lambda xs: "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
+_ABS = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
+_P = lambda n, u="url": f"regexp_extract({u}, {_ABS}, {n})"
+
+_KEY = f"""CASE WHEN {_P(1)} <> '' THEN
+  lower({_P(1)}) || '://' || regexp_replace(lower({_P(2)}), '^www\\.', '')
+  || CASE WHEN length({_P(3)}) > 1 THEN CASE WHEN regexp_replace({_P(3)}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_P(3)}, '/+$', '') END ELSE {_P(3)} END
+  || coalesce('?' || nullif(array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(substr({_P(4)}, 2), '&'),
+       lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN {_LIST(urls.TRACKING)}),
+       lambda p, i: {{'n': split_part(p, '=', 1), 'i': i, 'p': CASE WHEN contains(p, '=') THEN p ELSE p || '=' END}})), lambda s: s.p), '&'), ''), '')
+  ELSE regexp_replace(lower(url), '/+$', '') END"""
+_DOMAIN = f"coalesce(nullif(regexp_replace(regexp_replace({_P(2)}, ':[0-9]*$', ''), '^www\\.', ''), ''), url)"
+
+_DEDUP = f"""dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, {_KEY} ORDER BY pos, hit_id) AS rn
+  FROM search_hits WHERE title <> '' AND url <> '') WHERE rn = 1)"""
+_AUTH_TABLE = "authority AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in AUTHORITY.items()) + ") t(domain, score))"
+_AUTH = f"""coalesce((SELECT arg_max(a.score, length(a.domain)) FROM authority a WHERE lower({_P(2, 'h.url')}) = a.domain OR ends_with(lower({_P(2, 'h.url')}), '.' || a.domain)),
+  CASE WHEN starts_with(lower({_P(2, 'h.url')}), 'docs.') THEN {hits.DOCS_AUTHORITY}::DOUBLE ELSE {hits.DEFAULT_AUTHORITY}::DOUBLE END)"""
+_STEPS = "CASE " + " ".join(f"WHEN strlen(coalesce(h.snippet, '')) >= {n} THEN {s}" for n, s in hits.SNIPPET_STEPS) + " ELSE 0.0 END"
+_SCORED = f"""{_AUTH_TABLE}, {_DEDUP},
+hosts AS (SELECT DISTINCT url FROM dedup), host_authority AS (SELECT h.url, {_AUTH} AS authority FROM hosts h),
+asked AS (SELECT question_id, list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: strlen(t) >= 2 AND t NOT IN {_LIST(texts.STOP_WORDS)}) AS toks FROM questions),
+scored AS (SELECT h.*, ha.authority AS authority,
+  round({hits.WEIGHTS['domain']} * ha.authority + {hits.WEIGHTS['keyword']} * CASE WHEN coalesce(len(toks), 0) > 0
+    THEN len(list_filter(toks, lambda t: contains(lower(coalesce(h.title, '') || ' ' || coalesce(h.snippet, '')), t)))::DOUBLE / len(toks) ELSE 0.0 END
+  + {hits.WEIGHTS['snippet']} * {_STEPS}, 9) AS score FROM dedup h JOIN host_authority ha ON ha.url = h.url LEFT JOIN asked ON asked.question_id = h.question_id)"""
+
+_PICK = """picked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pos, hit_id) AS source_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN t <= {k} THEN 0 ELSE 1 END, score DESC, pos, hit_id) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id, source_type ORDER BY score DESC, pos, hit_id) AS t FROM {src})) WHERE n <= {n})"""
+
+_MODULE = "search_hits WHERE module = '{m}' AND question_id IS NOT NULL AND title <> '' AND url <> ''"
+_TASK = f"question_id::VARCHAR || '-' || floor(pos / {PAGE})::BIGINT::VARCHAR"
+_POS = f"(SELECT *, (row_number() OVER (PARTITION BY question_id, floor(pos / {PAGE}) ORDER BY pos, hit_id) - 1)::INTEGER AS place FROM search_hits WHERE module = '{{m}}' AND question_id IS NOT NULL) WHERE title <> '' AND url <> ''"
+_LINE = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+_NOISE = "|".join(f"(?:{p})" for p in texts.NOISE_LINES).replace("'", "''")
+_LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, content_id DESC) AS rn FROM content_cache) WHERE rn = 1)"
+_C = "coalesce(content, '')"
+_FLAGS = ", ".join(f"CASE WHEN regexp_matches({_C}, '{p}') THEN '{n}' END" for n, p in fetching.NOISE.items())
+_PARAS = f"len(list_filter(list_transform(string_split({_C}, chr(10) || chr(10)), lambda p: trim(p, ' ')), lambda p: strlen(p) > 20))"
+_TAGS = f"len(regexp_extract_all({_C}, '<[a-zA-Z][^>]*>'))"
+
+_FIRST = """tried AS (SELECT * FROM fetch_attempts WHERE enabled),
+won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY layer_order, attempt_id) AS rn FROM tried WHERE ok) WHERE rn = 1),
+failed AS (SELECT DISTINCT t.url, t.layer_order, t.layer, t.err_kind FROM tried t LEFT JOIN won w ON w.url = t.url WHERE NOT t.ok AND (w.url IS NULL OR t.layer_order < w.layer_order)),
+listed AS (SELECT url, string_agg(layer || ':' || coalesce(err_kind, 'unknown'), ', ' ORDER BY layer_order, layer, err_kind NULLS FIRST) AS errors FROM failed GROUP BY url),
+chain AS (SELECT u.url, w.layer, w.layer_order, w.content_type, w.latency_ms, coalesce(l.errors, '') AS errors
+  FROM (SELECT DISTINCT url FROM tried) u LEFT JOIN won w ON w.url = u.url LEFT JOIN listed l ON l.url = u.url)"""
+
+_BODY = f"""trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split({_C}, chr(10)),
+  lambda line: NOT regexp_matches(lower(trim(line, ' ')), '{_NOISE}')), chr(10)), '\\n{{2,}}', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), ' ')"""
+_HEAD = "list_filter(string_split(b, chr(10))[1:20], lambda x: starts_with(x, '# '))"
+
+_MEASURED = f"""{_AUTH_TABLE}, base AS (SELECT * FROM search_hits WHERE question_id IS NOT NULL AND domain IS NOT NULL),
+truth AS (SELECT question_id, list(domain ORDER BY domain) AS required FROM (SELECT question_id, domain, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, domain) AS k
+  FROM base GROUP BY question_id, domain) WHERE k <= 3 GROUP BY question_id),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, {_KEY} ORDER BY pos, hit_id) AS rn FROM base) WHERE rn = 1),
+urls AS (SELECT DISTINCT url FROM dd), ha AS (SELECT h.url, {_AUTH} AS authority FROM urls h),
+rated AS (SELECT dd.*, ha.authority AS score FROM dd JOIN ha ON ha.url = dd.url),
+{_PICK.format(k=3, n=10, src='rated')},
+cited AS (SELECT question_id, list({_DOMAIN} ORDER BY source_no) AS d, list(source_type ORDER BY source_no) FILTER (WHERE source_type IS NOT NULL) AS kinds, count(*) AS n FROM picked GROUP BY question_id),
+b AS (SELECT q.question_id, q.category, q.query, t.required, c.d, coalesce(c.kinds, []) AS kinds, c.n,
+  list_distinct(list_filter(list_transform(string_split(q.query, ' '), lambda x: lower(trim(x, ' '))), lambda x: x <> '')) AS terms
+  FROM questions q JOIN truth t ON t.question_id = q.question_id JOIN cited c ON c.question_id = q.question_id),
+m AS (SELECT question_id, category,
+  len(list_filter(required, lambda p: len(list_filter(d, lambda x: lower(x) = lower(p) OR ends_with(lower(x), '.' || lower(p)))) > 0))::DOUBLE / len(required) AS domain_hit,
+  CASE WHEN len(terms) = 0 THEN 1.0 ELSE len(list_filter(terms, lambda t: contains(lower(array_to_string(d, ' ')), t)))::DOUBLE / len(terms) END AS term_coverage,
+  1 - len(list_filter(d, lambda x: lower(x) = 'invalid' OR ends_with(lower(x), '.invalid')))::DOUBLE / len(d) AS pollution,
+  (list_contains(kinds, 'general_web')::INT + list_contains(kinds, 'code')::INT) / 2.0::DOUBLE AS diversity,
+  CASE WHEN length(query) <= 0 THEN 1.0 ELSE 1 - least(length(query) * 500.0::DOUBLE / {LATENCY_BUDGET_MS}, 1.0) END AS latency,
+  1 - least(n * 0.05::DOUBLE / 0.5::DOUBLE, 1.0) AS cost FROM b),
+scores AS (SELECT *, greatest(0.0, least(100.0, 100 * ({' + '.join(f'{w} * {k}' for k, w in scoring.WEIGHTS.items())}))) AS composite FROM m)"""
+_METRICS = list(scoring.WEIGHTS)
+_AVG = ", ".join(f"round(avg({c}), 4) AS avg_{c}" for c in _METRICS)
+_ROLLUP = f"count(*) AS n, round(avg(c), 4) AS mean, round(quantile_disc(c, 0.5), 4) AS p50, round(quantile_disc(c, 0.95), 4) AS p95, {_AVG}"
+
+SQL = {
+    "url_keys": f"SELECT hit_id, {_KEY} AS url_key, {_DOMAIN} AS domain_of_url FROM search_hits",
+    "deduplicated_hits": f"WITH {_DEDUP} SELECT hit_id, question_id, pos, url FROM dedup",
+    "scored_hits": f"WITH {_SCORED} SELECT hit_id, authority, round(score, 6) AS score FROM scored",
+    "select_sources": f"WITH {_SCORED}, {_PICK.format(k=10, n=25, src='scored')} SELECT question_id, source_no, hit_id, source_type, round(score, 6) AS score FROM picked",
+    "planned_tasks": """WITH asked AS (SELECT DISTINCT question_id, source_type, query FROM search_hits WHERE question_id IS NOT NULL AND source_type IS NOT NULL AND query <> '')
+SELECT name, count(*) AS tasks, count(DISTINCT question_id) AS questions FROM asked JOIN module_manifests USING (source_type) GROUP BY name""",
+    "web_results": f"SELECT {_TASK} AS task_id, place AS pos, title, url, snippet FROM {_POS.format(m='bravura')}",
+    "organic_results": f"SELECT {_TASK} AS task_id, place AS pos, title, url, snippet FROM {_POS.format(m='serpline')}",
+    "highlight_results": f"SELECT {_TASK} AS task_id, place AS pos, title, url, regexp_replace(coalesce(snippet, ''), '[.]\\s', '. ', 'g') AS snippet FROM {_POS.format(m='exalt')}",
+    "repository_results": f"""SELECT {_TASK} AS task_id, place AS pos, title, url,
+  coalesce('[' || nullif(source_type, '') || '] ', '') || coalesce(snippet, '') || ' (' || (hit_id % 1000)::VARCHAR || ' stars)' AS snippet FROM {_POS.format(m='repohub')}""",
+    "feed_results": f"""SELECT {_TASK} AS task_id, {_LINE.format(c='title')} AS title, url, module || ', ' || coalesce(source_type, '') || ' — ' || {_LINE.format(c="coalesce(snippet, '')")} AS snippet
+  FROM {_MODULE.format(m='paperfind')}""",
+    "page_results": f"SELECT {_TASK} AS task_id, title, url, coalesce(snippet, '') AS snippet FROM {_MODULE.format(m='quackle')}",
+    "fetch_chain": f"WITH {_FIRST} SELECT * FROM chain",
+    "layer_report": """SELECT layer, count(*) AS tries, count(*) FILTER (WHERE ok) AS wins, floor(avg(latency_ms) FILTER (WHERE latency_ms >= 0))::BIGINT AS mean_ms,
+  quantile_disc(latency_ms, 0.5) FILTER (WHERE latency_ms >= 0) AS p50_ms, quantile_disc(latency_ms, 0.95) FILTER (WHERE latency_ms >= 0) AS p95_ms FROM fetch_attempts WHERE enabled GROUP BY layer""",
+    "success_by_type": f"""WITH {_FIRST} SELECT trim(split_part(lower(content_type), ';', 1)) AS media_type, count(*) AS urls, count(*) FILTER (WHERE layer IS NOT NULL) AS fetched FROM chain GROUP BY 1""",
+    "layer_share": "SELECT layer_used, count(*) AS pages, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS share FROM content_cache GROUP BY layer_used",
+    "content_quality": f"""SELECT layer_used, count(*) AS pages, count(*) FILTER (WHERE coalesce(trim(title), '') <> '') AS titled,
+  count(*) FILTER (WHERE len(list_filter([{_FLAGS}], lambda x: x IS NOT NULL)) = 0) AS noiseless, count(*) FILTER (WHERE {_TAGS} = 0) AS tagless,
+  count(*) FILTER (WHERE NOT contains({_C}, '�')) AS encoded, floor(avg({_PARAS}))::BIGINT AS mean_paragraphs, floor(avg(strlen({_C})))::BIGINT AS mean_bytes FROM content_cache GROUP BY layer_used""",
+    "noise_of_pages": f"SELECT content_id, array_to_string(list_filter([{_FLAGS}], lambda x: x IS NOT NULL), ', ') AS noise_found, {_TAGS}::INTEGER AS tag_count FROM content_cache",
+    "extracted_pages": f"""WITH e AS (SELECT content_id, title, {_BODY} AS b FROM content_cache),
+  t AS (SELECT *, substr(b, 1, 20000) AS head, regexp_extract(substr(b, 1, 20000), '(?s)^(.*)[ \\n\\t]', 1) AS word FROM e),
+  x AS (SELECT content_id, coalesce(nullif(trim(title, ' '), ''), trim(substr({_HEAD}[1], 3), ' ')) AS title,
+    CASE WHEN strlen(b) >= 200 THEN CASE WHEN length(b) > 20000 THEN CASE WHEN length(word) > 15000 THEN word ELSE head END || chr(10) || '[content truncated]' ELSE b END END AS t FROM t)
+  SELECT content_id, title, md5(t) AS digest, length(t) AS chars, CASE WHEN t IS NULL THEN 'too short' END AS error FROM x""",
+    "cache_state": f"SELECT url, content_id, fetched_at, layer_used, strlen(content) AS bytes FROM {_LAST}",
+    "cache_lookup": f"""WITH asked AS (SELECT DISTINCT url, source_type FROM search_hits WHERE url <> ''), live AS (SELECT url FROM {_LAST} WHERE fetched_at + ttl_seconds > {NOW})
+SELECT source_type, count(*) AS urls, count(live.url) AS from_cache FROM asked LEFT JOIN live ON live.url = asked.url GROUP BY source_type""",
+    "cache_ttl": "WITH p AS (SELECT lower(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://', ''), '[?#].*$', '')) AS place FROM content_cache) SELECT CASE "
+    + " ".join(f"WHEN contains(place, '{a}') THEN {b}" for a, b in TTL_RULES)
+    + " ELSE 259200 END AS ttl, count(*) AS pages FROM p GROUP BY 1",
+    "cache_evicted": f"SELECT url, fetched_at FROM (SELECT url, fetched_at, row_number() OVER (ORDER BY fetched_at, url) AS k, count(*) OVER () AS n FROM {_LAST}) WHERE k <= greatest(floor(n * 0.1), 1)",
+    "source_prompts": """WITH s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id, row_id) AS n FROM json_sources)
+SELECT run_id, count(*)::INTEGER AS n_sources, md5(string_agg('SOURCE ' || n || ' [' || coalesce(source_type, '') || ' / ' || coalesce(printf('%.4f', score), '-') || ']' || chr(10) || 'URL: ' || coalesce(url, '')
+  || chr(10) || 'Title: ' || coalesce(title, '') || chr(10), chr(10) ORDER BY n)) AS digest FROM s WHERE n <= 25 GROUP BY run_id""",
+    "merged_citations": """WITH r AS (SELECT * FROM json_sources WHERE url <> ''),
+c AS (SELECT * FROM (SELECT run_id, url, id, row_number() OVER (PARTITION BY run_id, url ORDER BY id, row_id) AS k FROM r WHERE id <= 5) WHERE k = 1),
+f AS (SELECT * FROM (SELECT run_id, url, id, row_id, row_number() OVER (PARTITION BY run_id, url ORDER BY id, row_id) AS k FROM r WHERE fetched) WHERE k = 1),
+t AS (SELECT run_id, greatest(max(id), 0) AS top FROM c GROUP BY run_id)
+SELECT run_id, url, id AS rank FROM c UNION ALL
+SELECT f.run_id, f.url, coalesce(t.top, 0) + row_number() OVER (PARTITION BY f.run_id ORDER BY f.id, f.row_id) AS rank FROM f LEFT JOIN t ON t.run_id = f.run_id
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.run_id = f.run_id AND c.url = f.url)""",
+    "answer_texts": """SELECT question_id, CASE WHEN question_id % 4 < 2 THEN 'see C:Work on ' || question_id WHEN question_id % 4 = 2 THEN 'see C:' || chr(92) || 'Work on ' || question_id END AS answer,
+  CASE WHEN question_id % 4 < 3 THEN 'https://a.example/' || question_id END AS first_url,
+  CASE WHEN question_id % 4 < 3 AND difficulty IN ('high', 'medium', 'low', 'insufficient') THEN difficulty ELSE 'medium' END AS confidence,
+  CASE WHEN question_id % 4 = 3 THEN 'invalid answer JSON' END AS error FROM questions WHERE question_id IS NOT NULL""",
+    "question_scores": f"WITH {_MEASURED} SELECT question_id, {', '.join(f'round({c}, 6) AS {c}' for c in [*_METRICS, 'composite'])} FROM scores",
+    "category_report": f"""WITH {_MEASURED}, r AS (SELECT *, round(composite, 6) AS c FROM scores)
+SELECT category, {_ROLLUP} FROM r WHERE category IS NOT NULL GROUP BY category UNION ALL SELECT NULL, {_ROLLUP} FROM r""",
+    "extreme_questions": f"""WITH {_MEASURED}, r AS (SELECT question_id, round(composite, 6) AS composite FROM scores)
+(SELECT 'worst' AS side, * FROM r ORDER BY composite, question_id LIMIT 10) UNION ALL (SELECT 'best', * FROM r ORDER BY composite DESC, question_id LIMIT 10)""",
+    "validation_issues": f"""WITH i AS (SELECT unnest(list_filter([CASE WHEN question_id IS NULL THEN 'no question' END, CASE WHEN coalesce(title, '') = '' THEN 'no title' END,
+  CASE WHEN coalesce(snippet, '') = '' THEN 'no snippet' END, CASE WHEN source_type IS NULL THEN 'no source type' END, CASE WHEN loaded_at > found_at + INTERVAL 1 DAY THEN 'loaded late' END,
+  CASE WHEN domain IS NOT NULL AND NOT (lower({_DOMAIN}) <> '' AND domain <> '' AND (lower({_DOMAIN}) = lower(domain) OR ends_with(lower({_DOMAIN}), '.' || lower(domain)))) THEN 'domain differs' END],
+  lambda x: x IS NOT NULL)) AS rule FROM search_hits) SELECT rule, count(*) AS n FROM i GROUP BY rule""",
+    "numbered_sources": "SELECT run_id, row_id, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, row_id) AS place FROM json_sources WHERE score IS NOT NULL",
+    "hourly_hits": "SELECT epoch(date_trunc('hour', found_at))::BIGINT AS start, module, count(*) AS hits FROM search_hits WHERE found_at IS NOT NULL GROUP BY 1, 2",
+}

@@ -4,8 +4,285 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gleanwork.functions import texts, urls
+from gleanwork.operators import answers, cache, fetching, hits, ranking, scoring
+from gleanwork.session import table
+from gleanwork.sources import payloads
+
+#: Parameters of the queries, shared with the SQL they are checked by.
+AUTHORITY = {"kavexka.test": 0.9, "news.kavexka.test": 0.8, "pelgar.test": 0.95, "example": 0.6, "fenbritam.test": 0.4}
+TTL_RULES = [("/docs/", 7 * cache.DAY), ("blog.", cache.DAY), ("/guide/", 30 * cache.DAY), ("/q/", 2 * cache.DAY)]
+NOW = 1_735_689_600
+LATENCY_BUDGET_MS = 60_000.0
+PAGE = 10
+
+
+def _authority(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(AUTHORITY.items()), "domain string, score double")
+
+
+def _hits(spark, d) -> DataFrame:
+    return table(spark, d, "search_hits")
+
+
+def url_keys(spark, d):
+    """Key of every hit's url."""
+    return _hits(spark, d).select("hit_id", urls.url_key(F.col("url")).alias("url_key"), urls.url_domain(F.col("url")).alias("domain_of_url"))
+
+
+def deduplicated_hits(spark, d):
+    """Hits of distinct pages of each question, the first to arrive kept."""
+    return hits.deduplicated(hits.well_formed(_hits(spark, d))).select("hit_id", "question_id", "pos", "url")
+
+
+def _scored(spark, d):
+    return hits.scored(hits.deduplicated(hits.well_formed(_hits(spark, d))), table(spark, d, "questions"), _authority(spark))
+
+
+def scored_hits(spark, d):
+    """Deduplicated hits with their relevance."""
+    return _scored(spark, d).select("hit_id", "authority", F.round("score", 6).alias("score"))
+
+
+def select_sources(spark, d):
+    """Of each question the sources to fetch: 10 of a type, 25 in all."""
+    return hits.selected(_scored(spark, d)).select("question_id", "source_no", "hit_id", "source_type", F.round("score", 6).alias("score"))
+
+
+def _plans(spark, d) -> DataFrame:
+    """A plan's JSON for each question, made of the queries its hits came from."""
+    asked = _hits(spark, d).where("question_id IS NOT NULL AND source_type IS NOT NULL AND query <> ''").select("question_id", "source_type", "query").distinct()
+    by_type = asked.groupBy("question_id", "source_type").agg(F.array_sort(F.collect_list("query")).alias("queries"))
+    maps = by_type.groupBy("question_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "queries")))).alias("m"))
+    envelope = F.to_json(F.struct(F.lit("by type").alias("rationale"), F.col("m").alias("queries_by_source_type"), F.lit("text").alias("expected_answer_shape")))
+    fenced = F.concat(F.lit("<think>which sources?</think>\n```json\n"), envelope, F.lit("\n```"))
+    raw = F.when(F.col("question_id") % 3 == 0, F.to_json("m")).when(F.col("question_id") % 3 == 1, envelope).otherwise(fenced)
+    return maps.select("question_id", raw.alias("raw"))
+
+
+def planned_tasks(spark, d):
+    """Plans parsed and fanned out to the modules of each source type: tasks of each module."""
+    read = _plans(spark, d).select("question_id", answers.parsed_plan(F.col("raw")).alias("p")).select("question_id", "p.queries")
+    return hits.search_tasks(read, table(spark, d, "module_manifests")).groupBy("name").agg(F.count("*").alias("tasks"), F.count_distinct("question_id").alias("questions"))
+
+
+def _paged(spark, d, module: str) -> DataFrame:
+    """Hits of a module with task_id, a page of at most PAGE positions of a question."""
+    rows = _hits(spark, d).where((F.col("module") == module) & F.col("question_id").isNotNull())
+    return rows.withColumn("task_id", F.concat_ws("-", F.col("question_id").cast("string"), F.floor(F.col("pos") / PAGE).cast("string")))
+
+
+def _payload(rows: DataFrame, item, wrap) -> DataFrame:
+    listed = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", "hit_id", item.alias("item")))).alias("l"))
+    return listed.select("task_id", wrap(F.transform("l", lambda x: x["item"])).alias("payload"))
+
+
+def web_results(spark, d):
+    """Hits of one module as JSON answers, parsed back."""
+    item = F.struct("title", "url", F.col("snippet").alias("description"))
+    made = _payload(_paged(spark, d, "bravura"), item, lambda x: F.to_json(F.struct(F.struct(x.alias("results")).alias("web"))))
+    return payloads.web_json(made)
+
+
+def organic_results(spark, d):
+    item = F.struct("title", F.col("url").alias("link"), "snippet")
+    made = _payload(_paged(spark, d, "serpline"), item, lambda x: F.to_json(F.struct(x.alias("organic_results"))))
+    return payloads.organic_json(made)
+
+
+def highlight_results(spark, d):
+    item = F.struct("title", "url", F.split(F.coalesce("snippet", F.lit("")), r"(?<=[.])\s").alias("highlights"))
+    made = _payload(_paged(spark, d, "exalt"), item, lambda x: F.to_json(F.struct(x.alias("results"))))
+    return payloads.highlights_json(made)
+
+
+def repository_results(spark, d):
+    item = F.struct(F.col("title").alias("full_name"), F.col("url").alias("html_url"), F.col("snippet").alias("description"), F.col("source_type").alias("language"), (F.col("hit_id") % 1000).alias("stargazers_count"))
+    made = _payload(_paged(spark, d, "repohub"), item, lambda x: F.to_json(F.struct(x.alias("items"))))
+    return payloads.repositories_json(made)
+
+
+def _escaped(c):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+def feed_results(spark, d):
+    """Hits of one module as Atom feeds, parsed back."""
+    author = F.concat(F.lit("<author><name>"), _escaped(F.col("module")), F.lit("</name></author><author><name>"), _escaped(F.col("source_type")), F.lit("</name></author>"))
+    item = F.concat(F.lit("<entry><title>"), _escaped(F.col("title")), F.lit("</title><summary>"), _escaped(F.col("snippet")), F.lit("</summary>"), author, F.lit('<link rel="alternate" href="'), _escaped(F.col("url")), F.lit('"/></entry>'))
+    made = _payload(_paged(spark, d, "paperfind"), item, lambda x: F.concat(F.lit("<feed>"), F.array_join(x, ""), F.lit("</feed>")))
+    return payloads.feed_xml(made).select("task_id", "title", "url", "snippet")
+
+
+def page_results(spark, d):
+    """Hits of one module as HTML result pages with redirect links and an advertisement, parsed back."""
+    item = F.concat(
+        F.lit('<div class="result"><h2><a href="//go.example/l/?uddg='), F.url_encode("url"), F.lit('">'), _escaped(F.col("title")), F.lit('</a></h2><p class="snippet">'), _escaped(F.col("snippet")), F.lit("</p></div>")
+    )
+    made = _payload(_paged(spark, d, "quackle"), item, lambda x: F.concat(F.lit('<div class="result result--ad"><a href="https://ad.example/">Ad</a></div>'), F.array_join(x, "\n")))
+    return payloads.result_page(made).select("task_id", "title", "url", "snippet")
+
+
+def fetch_chain(spark, d):
+    """The layer that won for each url, and the failures before it."""
+    return fetching.first_success(table(spark, d, "fetch_attempts"))
+
+
+def layer_report(spark, d):
+    """Tries, wins and latencies of each layer."""
+    return fetching.layer_report(table(spark, d, "fetch_attempts"))
+
+
+def success_by_type(spark, d):
+    """Share of urls fetched by content type of the last layer tried."""
+    won = fetching.first_success(table(spark, d, "fetch_attempts")).select("url", texts.media_type(F.col("content_type")).alias("media_type"), F.col("layer").isNotNull().alias("won"))
+    return won.groupBy("media_type").agg(F.count("*").alias("urls"), F.count_if("won").alias("fetched"))
+
+
+def layer_share(spark, d):
+    """Which layers the cached pages came from, and their share."""
+    n = table(spark, d, "content_cache").groupBy("layer_used").agg(F.count("*").alias("pages"))
+    return n.withColumn("share", F.round(100.0 * F.col("pages") / F.sum("pages").over(Window.partitionBy()), 4))
+
+
+def content_quality(spark, d):
+    """Noise, tags, encoding and paragraphs of the cached pages by layer."""
+    q = fetching.quality(table(spark, d, "content_cache"))
+    return q.groupBy("layer_used").agg(
+        F.count("*").alias("pages"), F.count_if("title_found").alias("titled"), F.count_if(F.col("noise_found") == "").alias("noiseless"), F.count_if(F.col("tag_count") == 0).alias("tagless"),
+        F.count_if("encoding_ok").alias("encoded"), F.floor(F.avg("paragraph_count")).alias("mean_paragraphs"), F.floor(F.avg("content_bytes")).alias("mean_bytes"),
+    )
+
+
+def noise_of_pages(spark, d):
+    """Names of the noise patterns of each page."""
+    return fetching.quality(table(spark, d, "content_cache")).select("content_id", "noise_found", "tag_count")
+
+
+def extracted_pages(spark, d):
+    """Readable text of each page, as a digest and length."""
+    e = fetching.extracted(table(spark, d, "content_cache"))
+    return e.select("content_id", "title", F.md5("text").alias("digest"), F.length("text").alias("chars"), "error")
+
+
+def cache_state(spark, d):
+    """The cache after all puts: of each url the row put last."""
+    return cache.latest(table(spark, d, "content_cache")).select("url", "content_id", "fetched_at", "layer_used", F.octet_length("content").alias("bytes"))
+
+
+def cache_lookup(spark, d):
+    """Distinct urls of hits looked up in the cache at a fixed time: hits and misses by source type."""
+    stored = cache.latest(table(spark, d, "content_cache")).select("url", "fetched_at", "ttl_seconds", "layer_used")
+    asked = _hits(spark, d).where("url <> ''").select("url", "source_type").distinct()
+    found = cache.looked_up(asked, stored, NOW)
+    return found.groupBy("source_type").agg(F.count("*").alias("urls"), F.count_if("from_cache").alias("from_cache"))
+
+
+def cache_ttl(spark, d):
+    """Pages by the time they may stay, as the rules give it."""
+    pages = table(spark, d, "content_cache").select(cache.ttl_for(F.col("url"), TTL_RULES).alias("ttl"))
+    return pages.groupBy("ttl").agg(F.count("*").alias("pages"))
+
+
+def cache_evicted(spark, d):
+    """The oldest tenth of the cache."""
+    stored = cache.latest(table(spark, d, "content_cache")).select("url", "fetched_at")
+    return cache.evicted(stored)
+
+
+def source_prompts(spark, d):
+    """The first 25 sources of each run as one prompt, as a digest."""
+    p = answers.prompts(table(spark, d, "json_sources"))
+    return p.select("run_id", "n_sources", F.md5("prompt").alias("digest"))
+
+
+def merged_citations(spark, d):
+    """Citations of each run followed by its fetched sources that aren't cited."""
+    rows = table(spark, d, "json_sources").where("url <> ''")
+    cited = hits.keep_first(rows.where("id <= 5").select("run_id", "id", "url", "row_id"), F.col("url"), ["id", "row_id"], "run_id")
+    fetched = hits.keep_first(rows.where("fetched").select("run_id", "id", "url", "row_id"), F.col("url"), ["id", "row_id"], "run_id")
+    return answers.merged_citations(cited, fetched)
+
+
+def answer_texts(spark, d):
+    """Answers as JSON texts, some fenced, some with stray backslashes, some broken, parsed back."""
+    q = table(spark, d, "questions").where("question_id IS NOT NULL")
+    body = F.concat(F.lit('{"answer": "see C:\\'), F.lit("Work on "), F.col("question_id").cast("string"), F.lit('", "citations": [{"id": 1, "url": "https://a.example/'), F.col("question_id").cast("string"), F.lit('"}], "confidence": "'), F.coalesce("difficulty", F.lit("none")), F.lit('"}'))
+    good = F.regexp_replace(body, r"\\", "")
+    raw = F.when(F.col("question_id") % 4 == 0, good).when(F.col("question_id") % 4 == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(F.col("question_id") % 4 == 2, body).otherwise(F.substring(good, 1, 30))
+    read = answers.parsed_answers(q.select("question_id", raw.alias("raw")))
+    return read.select("question_id", "answer", F.get("citations", F.lit(0))["url"].alias("first_url"), "confidence", "error")
+
+
+def _measured(spark, d) -> DataFrame:
+    """Scores of the questions: the ground truth is the domains and types of their hits, the answer their best sources."""
+    h = _hits(spark, d).where("question_id IS NOT NULL AND domain IS NOT NULL")
+    n = h.groupBy("question_id", "domain").agg(F.count("*").alias("n"))
+    top = n.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n"), "domain"))).where("k <= 3")
+    truth = top.groupBy("question_id").agg(F.array_sort(F.collect_list("domain")).alias("required"))
+    s = hits.selected(hits.with_authority(hits.deduplicated(h), _authority(spark)).withColumn("score", F.col("authority")), 3, 10)
+    cited = s.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("source_no", urls.url_domain(F.col("url")).alias("d"), "source_type"))).alias("c"))
+    asked = table(spark, d, "questions").select("question_id", "query_id", "category", "query")
+    both = asked.join(truth, "question_id").join(cited, "question_id")
+    domains = F.transform("c", lambda x: x["d"])
+    kinds = F.filter(F.transform("c", lambda x: x["source_type"]), lambda x: x.isNotNull())
+    metrics = {
+        "domain_hit": scoring.domain_hit_rate(F.col("required"), domains), "term_coverage": scoring.term_coverage(F.split(F.col("query"), " "), F.array_join(domains, " ")),
+        "pollution": scoring.pollution(F.array(F.lit("invalid")), domains), "diversity": scoring.diversity(F.array(F.lit("general_web"), F.lit("code")), kinds),
+        "latency": scoring.share_spared(F.length("query") * 500.0, LATENCY_BUDGET_MS), "cost": scoring.share_spared(F.size("c") * 0.05, 0.5),
+    }
+    m = both.select("question_id", "category", *(v.alias(k) for k, v in metrics.items()))
+    return m.withColumn("composite", scoring.composite({k: F.col(k) for k in metrics}))
+
+
+def question_scores(spark, d):
+    """Metrics and composite of each question."""
+    m = _measured(spark, d)
+    return m.select("question_id", *(F.round(c, 6).alias(c) for c in (*scoring.WEIGHTS, "composite")))
+
+
+def category_report(spark, d):
+    """Composite by category and over all."""
+    r = scoring.by_category(_measured(spark, d).withColumn("composite", F.round("composite", 6)), list(scoring.WEIGHTS))
+    return r.select("category", "n", *(F.round(c, 4).alias(c) for c in r.columns[2:]))
+
+
+def extreme_questions(spark, d):
+    """The ten worst and the ten best questions."""
+    return scoring.extremes(_measured(spark, d).select("question_id", F.round("composite", 6).alias("composite")), "question_id")
+
+
+def validation_issues(spark, d):
+    """Rows of hits that break a rule, by rule."""
+    h = _hits(spark, d)
+    rules = {
+        "no question": F.col("question_id").isNull(), "no title": F.coalesce("title", F.lit("")) == "", "no snippet": F.coalesce("snippet", F.lit("")) == "", "no source type": F.col("source_type").isNull(),
+        "loaded late": F.col("loaded_at") > F.col("found_at") + F.expr("INTERVAL 1 DAY"), "domain differs": F.col("domain").isNotNull() & ~scoring.ends_with_domain(F.lower(urls.url_domain(F.col("url"))), F.col("domain")),
+    }
+    found = h.select(F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))).alias("rule"))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def numbered_sources(spark, d):
+    """Sources of each run numbered by score, without sorting a run as a whole."""
+    rows = table(spark, d, "json_sources").where("score IS NOT NULL").select("run_id", "row_id", "score")
+    bucket = F.floor(-F.col("score") * 64)
+    return ranking.numbered(rows, ["run_id"], bucket, [F.desc("score"), "row_id"], "place").select("run_id", "row_id", "place")
+
+
+def hourly_hits(spark, d):
+    """Hits of each module by hour of arrival; the streaming operator over a bounded table."""
+    w = _hits(spark, d).groupBy(F.window("found_at", "1 hour"), "module").agg(F.count("*").alias("hits"))
+    return w.select(F.unix_timestamp(F.col("window.start")).alias("start"), "module", "hits")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    listed = (
+        url_keys, deduplicated_hits, scored_hits, select_sources, planned_tasks, web_results, organic_results, highlight_results, repository_results, feed_results, page_results, fetch_chain,
+        layer_report, success_by_type, layer_share, content_quality, noise_of_pages, extracted_pages, cache_state, cache_lookup, cache_ttl, cache_evicted, source_prompts, merged_citations,
+        answer_texts, question_scores, category_report, extreme_questions, validation_issues, numbered_sources, hourly_hits,
+    )
+    return {f.__name__: f for f in listed}
