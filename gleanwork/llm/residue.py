@@ -25,6 +25,8 @@ from gleanwork.session import spread
 
 #: Share of the text that notices must cover; share of a title that residue must cover.
 COVERAGE, TITLE_COVERAGE = 0.6, 0.5
+#: Share of a line that notices must cover for the line to be one.
+LINE_COVERAGE = 0.3
 
 _lines = lambda text: [x for x in text.strip().split("\n") if x]
 NOTICES, NOTICE_TITLES, FILLERS = _lines(W.NOTICES), _lines(W.NOTICE_TITLES), _lines(W.FILLERS)
@@ -43,7 +45,7 @@ def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for kind, phrases in (("notice", NOTICES), ("filler", FILLERS), ("latin", [f" {w}" for w in LATIN if len(w) > 3])):
         for x in phrases:
-            a.add_word(x, kind)
+            a.add_word(x, (kind, len(x)))
     a.make_automaton()
     return a
 
@@ -70,7 +72,17 @@ def _latin(text: str) -> bool:
 
 
 def _holds_notice(text: str) -> bool:
-    return any(kind == "notice" for _, kind in AUTOMATON.iter(text.lower()))
+    """Whether notices that aren't quoted cover a good part of a line."""
+    low = text.lower()
+    spans = [(end - n + 1, end + 1) for end, (kind, n) in AUTOMATON.iter(low) if kind == "notice"]
+    if not spans:
+        return False
+    quoted = [m.span() for m in _QUOTED.finditer(low)]
+    covered = set()
+    for a, b in spans:
+        if not any(x <= a and b <= y for x, y in quoted):
+            covered.update(range(a, b))
+    return len(covered) >= LINE_COVERAGE * len(low)
 
 
 def title_residue(title: str | None) -> bool:
@@ -95,7 +107,7 @@ def text_residue(content: str | None, title: str | None = None, host: str | None
     """Whether a text holds an unfilled placeholder or filler, or is a notice in place of content."""
     if not content or not content.strip():
         return False
-    found = Counter(kind for _, kind in AUTOMATON.iter(content.lower()))
+    found = Counter(kind for _, (kind, _) in AUTOMATON.iter(content.lower()))
     notice = found["notice"] > 0
     if not notice and len(content) < 4000 and not content.isascii():
         notice = any(_holds_notice(t) for raw in content.split("\n") if not raw.isascii() and len(raw) < 300 for t in repaired(raw))
