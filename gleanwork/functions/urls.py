@@ -14,11 +14,18 @@ TRACKING = [
     "mc_cid", "mc_eid", "ref", "referrer", "source", "_ga", "_gl", "spm",
 ]
 
-_ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+_ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
 
 
-def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, _ABSOLUTE, n)
+def _parts(url: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """(whether url has a scheme and host part, scheme, authority, path, query without ?), by plain string functions."""
+    whole = F.substring_index(url, "#", 1)
+    before = F.substring_index(whole, "?", 1)
+    query = F.substr(whole, F.length(before) + 2)
+    scheme = F.substring_index(before, "://", 1)
+    rest = F.substr(before, F.length(scheme) + 4)
+    authority = F.substring_index(rest, "/", 1)
+    return url.rlike(_ABSOLUTE), scheme, authority, F.substr(rest, F.length(authority) + 1), query
 
 
 def url_key(url: Column) -> Column:
@@ -28,29 +35,29 @@ def url_key(url: Column) -> Column:
     sorted by name (values of one name keep their order) as name=value, no closing slashes unless the path is
     just /. A url without scheme and host is put in lower case without closing slashes.
     """
-    query = F.substring(_part(url, 4), 2, 1 << 20)
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    absolute, scheme, authority, path, query = _parts(url)
     name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(pairs, lambda p: ~F.lower(name(p)).isin(TRACKING))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(name(p)).isin(TRACKING))
     named = F.transform(kept, lambda p, i: F.struct(name(p).alias("n"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    joined = F.array_join(F.transform(F.array_sort(named), lambda s: s["p"]), "&")
-    path = _part(url, 3)
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    path = F.when((path == "") & (F.length(_part(url, 3)) > 1), F.lit("/")).otherwise(path)
-    host = F.regexp_replace(F.lower(_part(url, 2)), r"^www\.", "")
-    whole = F.concat(F.lower(_part(url, 1)), F.lit("://"), host, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit("")))
-    return F.when(_part(url, 1) != "", whole).otherwise(F.regexp_replace(F.lower(url), "/+$", ""))
+    joined = F.concat(F.lit("?"), F.array_join(F.transform(F.array_sort(named), lambda s: s["p"]), "&"))
+    bare = F.rtrim(path, F.lit("/"))
+    path = F.when(F.length(path) <= 1, path).when(bare == "", F.lit("/")).otherwise(bare)
+    host = F.regexp_replace(F.lower(authority), r"^www\.", "")
+    whole = F.concat(F.lower(scheme), F.lit("://"), host, path, F.when((query == "") | (joined == "?"), F.lit("")).otherwise(joined))
+    return F.when(absolute, whole).otherwise(F.rtrim(F.lower(url), F.lit("/")))
 
 
 def url_authority(url: Column) -> Column:
     """Host and port in lower case as they stand in the url; empty if there are none."""
-    return F.lower(_part(url, 2))
+    absolute, _, authority, _, _ = _parts(url)
+    return F.when(absolute, F.lower(authority)).otherwise(F.when(url.isNotNull(), F.lit("")))
 
 
 def url_domain(url: Column) -> Column:
     """Host without a leading www.; a url without a host unchanged."""
-    host = F.regexp_replace(F.regexp_replace(_part(url, 2), r":[0-9]*$", ""), r"^www\.", "")
-    return F.when(host != "", host).otherwise(url)
+    absolute, _, authority, _, _ = _parts(url)
+    host = F.regexp_replace(F.regexp_replace(authority, r":[0-9]*$", ""), r"^www\.", "")
+    return F.when(absolute & (host != ""), host).otherwise(url)
 
 
 def domain_suffixes(host: Column) -> Column:
