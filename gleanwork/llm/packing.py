@@ -100,57 +100,56 @@ def pack(sizes: DataFrame, capacities: list[tuple[str, int]], id_col: str = "doc
     whole. An item of null or no size has one row with size 0 and no container: it needs no room.
     """
     spark = sizes.sparkSession
-    items = sizes.select(F.col(id_col), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
-    items = written(items, "packing-sizes")  # the texts are encoded once for all capacities
-    salts = max(1, items.count() // GROUP_ROWS)
     columns = ["window_name", id_col, "part_no", "start_token", "n_tokens", "bucket_tokens", "container_id"]
-    out = None
-    for name, capacity in capacities:
-        if capacity is None or capacity < 1:
-            continue
-        full = F.floor(F.col("size") / capacity)
-        rest = items.where((F.col("size") == 0) | (F.col("size") % capacity > 0)).select(
-            id_col, full.alias("part_no"), (full * capacity).alias("start_token"), (F.col("size") % capacity).alias("n_tokens")
-        )
-        whole = items.where(full >= 1).select(id_col, F.explode(F.sequence(F.lit(0), full - 1)).alias("part_no")).select(
-            id_col, "part_no", (F.col("part_no") * capacity).alias("start_token"), F.lit(capacity).cast("long").alias("n_tokens")
-        )
-        counts = np.zeros(capacity, np.int64)  # a rest is shorter than the capacity
-        for r in rest.where("n_tokens > 0").groupBy("n_tokens").count().collect():
-            counts[r[0]] = r[1]
-        bounds = best_buckets(counts, buckets)
-        lower = [0, *bounds[:-1]]
-        held = [int(counts[a + 1 : b + 1].sum()) for a, b in zip(lower, bounds)]
-        runs = batch_plan(bounds, held, capacity)
-        bucket_of = np.searchsorted(bounds, np.arange(capacity)) if bounds else np.zeros(capacity, np.int64)
-        by_length = spark.createDataFrame([(n, int(bucket_of[n]), int(bounds[bucket_of[n]])) for n in np.flatnonzero(counts).tolist()], "n_tokens long, bucket int, bucket_tokens long")
-        plan = spark.createDataFrame(runs, "bucket int, first long, items long, per long, container long")
-        salt = F.pmod(F.xxhash64(id_col, "part_no"), F.lit(salts))
-        # as many rows as distinct lengths below the capacity, respectively runs of the plan
-        filled = rest.where("n_tokens > 0").join(F.broadcast(by_length), "n_tokens").withColumn("salt", salt)
-        groups = filled.groupBy("bucket", "salt").count()
-        before = F.sum("count").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-        groups = groups.select("bucket", "salt", F.coalesce(before, F.lit(0)).alias("offset"))
-        numbered = filled.withColumn("k", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(id_col, "part_no", "n_tokens")) - 1)
-        numbered = numbered.join(groups, ["bucket", "salt"]).withColumn("k", F.col("k") + F.col("offset"))
-        p = F.broadcast(plan.withColumnRenamed("bucket", "b"))
-        placed = numbered.join(p, (F.col("bucket") == F.col("b")) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("items")))
-        placed = placed.select(id_col, "part_no", "start_token", "n_tokens", "bucket_tokens", (F.col("container") + F.floor((F.col("k") - F.col("first")) / F.col("per"))).alias("container_id"))
-        # full parts have containers behind those of the plan, numbered by item and part
-        containers = max([0, *(c + n // per for _, _, n, per, c in runs)])
-        own = whole.withColumn("salt", salt)
-        sums = own.groupBy("salt").count()
-        sums = sums.select("salt", F.coalesce(F.sum("count").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row for each salt
-        own = own.withColumn("k", F.row_number().over(Window.partitionBy("salt").orderBy(id_col, "part_no")) - 1).join(sums, "salt")
-        own = own.select(id_col, "part_no", "start_token", "n_tokens", F.col("n_tokens").alias("bucket_tokens"), (F.col("k") + F.col("offset") + containers).alias("container_id"))
-        none = rest.where("n_tokens = 0").select(id_col, "part_no", "start_token", "n_tokens", F.lit(None).cast("long").alias("bucket_tokens"), F.lit(None).cast("long").alias("container_id"))
-        one = placed.unionByName(own).unionByName(none).withColumn("window_name", F.lit(name)).select(columns)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    windows = [(name, int(capacity)) for name, capacity in capacities if capacity is not None and capacity >= 1]
+    if not windows:
         kind = sizes.schema[id_col].dataType
         fields = [T.StructField("window_name", T.StringType()), T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in columns[2:])]
         return spark.createDataFrame([], T.StructType(fields))
-    return out
+    items = sizes.select(F.col(id_col), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
+    items = written(items, "packing-sizes")  # the texts are encoded once for all capacities
+    each = F.array(*(F.struct(F.lit(name).alias("window_name"), F.lit(capacity).cast("long").alias("capacity")) for name, capacity in windows))
+    sized = items.select(id_col, "size", F.inline(each))
+    full = F.floor(F.col("size") / F.col("capacity"))
+    rest = sized.select("window_name", id_col, full.alias("part_no"), (full * F.col("capacity")).alias("start_token"), (F.col("size") % F.col("capacity")).alias("n_tokens"), "size")
+    rest = rest.where("n_tokens > 0 OR size = 0").drop("size")
+    whole = sized.where("size >= capacity").select("window_name", id_col, "capacity", F.explode(F.sequence(F.lit(0), full - 1)).alias("part_no"))
+    whole = whole.select("window_name", id_col, "part_no", (F.col("part_no") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
+
+    counts = {name: np.zeros(capacity, np.int64) for name, capacity in windows}  # a rest is shorter than the capacity
+    for r in rest.where("n_tokens > 0").groupBy("window_name", "n_tokens").count().collect():
+        counts[r[0]][r[1]] = r[2]
+    lengths, plan, containers = [], [], []
+    for name, capacity in windows:
+        held = counts[name]
+        bounds = best_buckets(held, buckets)
+        runs = batch_plan(bounds, [int(held[a + 1 : b + 1].sum()) for a, b in zip([0, *bounds[:-1]], bounds)], capacity)
+        lengths += [(name, n, int(b), int(bounds[b])) for n in np.flatnonzero(held).tolist() for b in [np.searchsorted(bounds, n)]]
+        plan += [(name, *run) for run in runs]
+        containers.append((name, max([0, *(c + n // per for _, _, n, per, c in runs)])))
+    # as many rows as distinct lengths below the capacities, respectively runs of the plan
+    by_length = F.broadcast(spark.createDataFrame(lengths, "window_name string, n_tokens long, bucket int, bucket_tokens long"))
+    runs = F.broadcast(spark.createDataFrame(plan, "w string, b int, first long, items long, per long, container long"))
+    planned = F.broadcast(spark.createDataFrame(containers, "window_name string, containers long"))
+
+    filled = rest.where("n_tokens > 0").join(by_length, ["window_name", "n_tokens"])
+    filled = _numbered(filled, ["window_name", "bucket"], id_col, sum(int(c.sum()) for c in counts.values()))
+    within = (F.col("window_name") == F.col("w")) & (F.col("bucket") == F.col("b")) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("items"))
+    placed = filled.join(runs, within).withColumn("container_id", F.col("container") + F.floor((F.col("k") - F.col("first")) / F.col("per")))
+    # full parts have containers behind those of the plan
+    own = _numbered(whole, ["window_name"], id_col, whole.count()).join(planned, "window_name")
+    own = own.withColumn("container_id", F.col("k") + F.col("containers")).withColumn("bucket_tokens", F.col("n_tokens"))
+    none = rest.where("n_tokens = 0").withColumn("bucket_tokens", F.lit(None).cast("long")).withColumn("container_id", F.lit(None).cast("long"))
+    return placed.select(columns).unionByName(own.select(columns)).unionByName(none.select(columns))
+
+
+def _numbered(parts: DataFrame, keys: list[str], id_col: str, rows: int) -> DataFrame:
+    """parts with k: 0, 1, ... within each group of keys, counted in salted groups of GROUP_ROWS rows on average."""
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64(id_col, "part_no"), F.lit(max(1, rows // GROUP_ROWS))))
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    shift = salted.groupBy(*keys, "salt").count().select(*keys, "salt", F.coalesce(before, F.lit(0)).alias("shift"))
+    local = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(id_col, "part_no", "n_tokens")) - 1
+    return salted.withColumn("k", local).join(shift, [*keys, "salt"]).withColumn("k", F.col("k") + F.col("shift"))
 
 
 def fill(packed: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 #: Documented bounds of the model, none of the corpus: terms kept, labelled documents the chain is fitted on.
 MOST_TERMS = 100_000
 MOST_LABELLED = 20_000
-PRIOR_WEIGHT, MARGIN, SURE, PSEUDO_WEIGHT, CLEAR_SHARE = 2.0, 1.0, 0.8, 0.5, 0.3
+PRIOR_WEIGHT, MARGIN, FAINT_MARGIN, SURE, PSEUDO_WEIGHT, CLEAR_SHARE = 2.0, 1.0, 0.4, 0.8, 0.5, 0.3
 BEAM = 8
 
 
@@ -110,7 +110,10 @@ class Terms:
         v = np.zeros((len(parts), k))
         np.add.at(v, at, logs)
         top = np.partition(v, k - 2, axis=1) if k > 1 else np.hstack([np.zeros_like(v), v])
-        weight = np.array([n for n, _ in parts]) * (top[:, -1] - top[:, -2] >= MARGIN)
+        size, margin = np.array([n for n, _ in parts]), top[:, -1] - top[:, -2]
+        weight = size * (margin >= MARGIN)
+        if not weight.any() and len(rows) > 1:  # a short text may hold no clearer sentence
+            weight = size * (margin >= FAINT_MARGIN)
         p = np.exp(v - v.max(1, keepdims=True))
         share = weight @ (p / p.sum(1, keepdims=True))
         total = float(weight.sum())
