@@ -11,7 +11,7 @@ models, one for each subject given the labels before it; beam search picks the l
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanwork.llm.bounded import most_counted, sampled
 from gleanwork.session import spread, written
 
 # Frequent words that tell the Latin-script languages of the corpus apart.
@@ -38,6 +39,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 #: Documented bounds of the model, none of the corpus: terms kept, labelled documents the chain is fitted on.
 MOST_TERMS = 100_000
 MOST_LABELLED = 20_000
+MOST_SOURCES = 10_000
 PRIOR_WEIGHT, MARGIN, FAINT_MARGIN, SURE, PSEUDO_WEIGHT, CLEAR_SHARE = 2.0, 1.0, 0.4, 0.8, 0.5, 0.3
 BEAM = 8
 
@@ -54,7 +56,19 @@ def language(text: str) -> str:
     return max(_COMMON, key=lambda lang: (sum(w in _COMMON[lang] for w in words), lang == "en"))
 
 
-def sentences(text: str) -> list[tuple[int, list[str]]]:
+def parse(text: str) -> tuple[str, list[tuple[int, set[str]]]]:
+    """The language by its words and the sentences of a text."""
+    parts = sentences(text)
+    if _KANA.search(text):
+        return "ja", parts
+    if _HAN.search(text):
+        return "zh", parts
+    if _CYRILLIC.search(text) and sum(1 for _, terms in parts for t in terms if _CYRILLIC.match(t)) * 2 > sum(len(terms) for _, terms in parts):
+        return "ru", parts
+    return max(_COMMON, key=lambda lang: (sum(len(_COMMON[lang] & terms) for _, terms in parts), lang == "en")), parts
+
+
+def sentences(text: str) -> list[tuple[int, set[str]]]:
     """Length and distinct terms of each sentence: words, and pairs of characters where words aren't spaced."""
     out = []
     for s in _SENTENCE.split(text):
@@ -65,7 +79,7 @@ def sentences(text: str) -> list[tuple[int, list[str]]]:
             elif 1 < len(run) <= 40:
                 terms.add(run)
         if terms:
-            out.append((len(s), list(terms)))
+            out.append((len(s), terms))
     return out
 
 
@@ -80,25 +94,29 @@ class Terms:
     logs: np.ndarray = None
 
     def __post_init__(self):
-        p = np.array([self.prior[k.split("\t")[0]] for k in self.index]) if self.index else np.zeros((0, len(self.subjects)))
-        self.priors = p
-        self.logs = self.ratios(self.counts, p).astype(np.float32)
+        k = len(self.subjects)
+        self.priors = np.array([self.prior[key.split("\t")[0]] for key in self.index]).reshape(-1, k)
+        self.logs = self.ratios(self.counts, self.priors).astype(np.float32)
+        self.by_language: dict[str, dict[str, int]] = defaultdict(dict)
+        for key, row in self.index.items():
+            lang, term = key.split("\t")
+            self.by_language[lang][term] = row
 
     @staticmethod
     def ratios(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.log((counts + PRIOR_WEIGHT * prior) / (counts.sum(1, keepdims=True) + PRIOR_WEIGHT) / prior)
 
-    def shares(self, lang: str, parts: list[tuple[int, list[str]]], own: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    def shares(self, lang: str, parts: list[tuple[int, set[str]]], own: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         """Share of the informative text by subject and its length; own: the document's labels, whose counts are left out."""
         k = len(self.subjects)
-        index, seen, rows, at = self.index, [], [], []
-        for i, (n, terms) in enumerate(parts):
-            for t in terms:
-                j = index.get(f"{lang}\t{t}")
-                if j is not None:
-                    rows.append(j)
-                    at.append(i)
+        index, rows, starts, size = self.by_language.get(lang, {}), [], [], []
+        for n, terms in parts:
+            known = [j for j in map(index.get, terms) if j is not None]
+            if known:
+                starts.append(len(rows))
+                size.append(n)
+                rows += known
         if not rows:
             return np.zeros(k), 0.0
         if own is None:
@@ -107,10 +125,9 @@ class Terms:
             r, inverse, times = np.unique(rows, return_inverse=True, return_counts=True)
             left = np.maximum(self.counts[r] - times[:, None] * own, 0)
             logs = self.ratios(left, self.priors[r])[inverse]
-        v = np.zeros((len(parts), k))
-        np.add.at(v, at, logs)
+        v = np.add.reduceat(logs, starts, axis=0)
         top = np.partition(v, k - 2, axis=1) if k > 1 else np.hstack([np.zeros_like(v), v])
-        size, margin = np.array([n for n, _ in parts]), top[:, -1] - top[:, -2]
+        size, margin = np.array(size), top[:, -1] - top[:, -2]
         weight = size * (margin >= MARGIN)
         if not weight.any() and len(rows) > 1:  # a short text may hold no clearer sentence
             weight = size * (margin >= FAINT_MARGIN)
@@ -132,31 +149,35 @@ def _count(docs: DataFrame, subjects: list[str], model) -> Terms:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value if model is not None else None
-        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
+        held: dict[tuple[str, bytes], Counter] = defaultdict(Counter)  # terms by language and subject weights
 
         def emit():
+            sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
+            for (lang, row), counter in held.items():
+                weights = np.frombuffer(row)
+                for term, n in counter.items():
+                    sums[f"{lang}\t{term}"] += n * weights
+            held.clear()
             w = np.array(list(sums.values())).reshape(-1, k)
-            out = pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array(w[:, i]) for i in range(k))], names=["term", *columns])
-            sums.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(w[:, i]) for i in range(k))], names=["term", *columns])
 
         for batch in batches:
             for text, labels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 row = _label_row(labels, subjects)
                 if not text or row is None and known is None:
                     continue
-                lang, parts = language(text), sentences(text)
+                lang, parts = parse(text)
                 if row is None:
                     share, _ = known.shares(lang, parts)
                     clear = share >= CLEAR_SHARE
                     if share[clear].sum() < SURE:
                         continue
                     row = PSEUDO_WEIGHT * clear / clear.sum()
+                counter = held[lang, row.tobytes()]
+                counter[""] += len(parts)  # the language itself
                 for _, terms in parts:
-                    sums[lang + "\t"] += row
-                    for t in terms:
-                        sums[f"{lang}\t{t}"] += row
-            if len(sums) > 200_000:
+                    counter.update(terms)
+            if sum(map(len, held.values())) > 400_000:
                 yield emit()
         yield emit()
 
@@ -166,7 +187,7 @@ def _count(docs: DataFrame, subjects: list[str], model) -> Terms:
     langs = {r[0][:-1]: np.array(r[1 : k + 1]) for r in total.where("term LIKE '%\\t'").collect()}  # a row for each language
     everywhere = sum(langs.values(), np.full(k, 1e-3))
     prior = {lang: (n + 20 * everywhere / everywhere.sum()) / (n.sum() + 20) for lang, n in langs.items()}
-    rows = total.where("n >= 1.5 AND NOT term LIKE '%\\t'").orderBy(F.desc("n"), "term").limit(MOST_TERMS).collect()
+    rows = most_counted(total.where("n >= 1.5 AND NOT term LIKE '%\\t'"), "n", MOST_TERMS).orderBy("term").collect()
     return Terms(subjects, {r[0]: i for i, r in enumerate(rows)}, np.array([r[1 : k + 1] for r in rows]).reshape(-1, k), prior)
 
 
@@ -249,9 +270,9 @@ class Chain:
 
 
 def _source_rows(labelled: DataFrame, subjects: list[str]) -> dict[str, np.ndarray]:
-    """Log ratio of each subject for the sources with most labelled documents, at most 10,000; others have zeros."""
+    """Log ratio of each subject for the sources with most labelled documents, at most MOST_SOURCES; others have zeros."""
     n = labelled.select("source", F.explode("labels").alias("s")).where("source IS NOT NULL").groupBy("source", "s").count()
-    rows = n.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("s", "count"))).alias("m"), F.sum("count").alias("n")).orderBy(F.desc("n"), "source").limit(10_000).collect()
+    rows = most_counted(n.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("s", "count"))).alias("m"), F.sum("count").alias("n")), "n", MOST_SOURCES).collect()
     total = np.full(len(subjects), 0.5)
     held = {}
     for r in rows:
@@ -292,7 +313,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame
         for batch in batches:
             out, ys = [], []
             for text, source, labels in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                lang, parts = language(text or ""), sentences(text or "")
+                lang, parts = parse(text or "")
                 row = _label_row(labels, names)
                 share, total = model.shares(lang, parts, row)
                 if total:
@@ -300,7 +321,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame
                     ys.append([float(v > 0) for v in row])
             yield pa.RecordBatch.from_arrays([pa.array([f.tolist() for f in out], pa.list_(pa.float64())), pa.array(ys, pa.list_(pa.float64()))], names=["x", "y"])
 
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    sample = sampled(labelled, "doc_id", MOST_LABELLED)
     rows = sample.select("text", "source", "labels").mapInArrow(describe, "x array<double>, y array<double>").collect()
     if not rows:
         return empty
@@ -313,7 +334,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame
             for i, (text, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if not text:
                     continue
-                lang, parts = language(text), sentences(text)
+                lang, parts = parse(text)
                 share, total = model.shares(lang, parts)
                 if total:
                     at.append(i)
