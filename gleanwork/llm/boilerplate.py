@@ -210,6 +210,8 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
             side = None
             if line.kind == "link":  # links of a list within the body belong to it
                 line.kind = "?" if body and line.path[:1] in ("l", "*", "-", "+") else "yes"
+    if side and lines[-1].kind == "yes" and not lines[-1].link and not any(line.kind == "no" for line in lines) and len(lines[-1].text) > 12:
+        lines[-1].kind = "?"  # a page ends in its body, if it was cut within its first sentence
     firm = [i for i, line in enumerate(lines) if line.kind in ("no", "own")]
     first, last = (firm[0], firm[-1]) if firm else (len(lines), -1)
     for i, line in enumerate(lines):  # smoothing outside the body: an open line between furniture is furniture

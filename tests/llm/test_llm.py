@@ -354,3 +354,13 @@ def test_beam_finds_the_likeliest_labels():
                 total += -np.logaddexp(0, -z) if labels[s] else -np.logaddexp(0, z)
             scores[tuple(labels.astype(bool))] = total
         assert scores[tuple(best)] >= max(scores.values()) - 1e-9
+
+
+def test_bounded_results(spark):
+    from gleanwork.llm.bounded import most_counted, sampled
+
+    df = spark.createDataFrame([(i, float(1 + i % 50)) for i in range(1000)], "id long, n double")
+    top = [r.n for r in most_counted(df, "n", 100).collect()]
+    assert 0 < len(top) <= 100 and min(top) > 40
+    assert most_counted(df, "n", 5000).count() == 1000 and most_counted(df.limit(0), "n", 5).count() == 0
+    assert sampled(df, "id", 5000).count() == 1000 and 50 < sampled(df, "id", 100).count() <= 100
