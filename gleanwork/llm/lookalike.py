@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,20 +183,19 @@ def alike_pairs(df: DataFrame, columns: list[str], group_col: str = "question_id
     """(field, <id>_a, <id>_b) with id_a < id_b: pairs of rows of the same non-null group whose values of field
     look the same but differ in characters. Null and empty values form no pairs; repeated ids form none with themselves.
 
-    Only values of groups that hold two spellings of a form go on to the pair join, which pairs spellings, not rows;
-    rows are joined to the pairs of spellings last, so that nothing but result rows is enumerated.
+    Forms and values travel as 64-bit digests, which are compared within a group and field only. Only values of groups
+    that hold two spellings of a form go on to the pair join, which pairs spellings, not rows; rows are joined to
+    the pairs of spellings last, so that nothing but result rows is enumerated.
     """
     forms = uniform(df.where(F.col(group_col).isNotNull()), columns, [group_col, id_col])
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.col(f"{c}_form").alias("form")) for c in columns))
     rows = forms.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.inline(fields)).where("value <> ''")
-    digest: Column = F.xxhash64("g", "field", "form")
-    rows = written(rows.select("g", "id", "field", "value", "form", digest.alias("k"), F.xxhash64("value").alias("v")), "lookalike-forms")
+    rows = written(rows.select("g", "id", "field", F.xxhash64("g", "field", "form").alias("k"), F.xxhash64("value").alias("v")), "lookalike-forms")
     mixed = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("k")
     few = written(rows.join(mixed, "k", "left_semi"), "lookalike-mixed")
-    spellings = few.groupBy("g", "field", "form", "value").agg(F.first("k").alias("k"))
-    a, b = spellings.alias("a"), spellings.select("k", "g", "field", "form", F.col("value").alias("other")).alias("b")
-    pairs = a.join(b, ["k", "g", "field", "form"]).where("value < other").select("k", "g", "field", "value", "other")
-    left = few.select("k", "g", "field", "value", F.col("id").alias("x"))
-    right = few.select("k", "g", "field", F.col("value").alias("other"), F.col("id").alias("y"))
-    both = pairs.join(left, ["k", "g", "field", "value"]).join(right, ["k", "g", "field", "other"]).where("x <> y")
+    key = ["k", "g", "field"]
+    spellings = few.select(*key, "v").distinct()
+    pairs = spellings.join(spellings.withColumnRenamed("v", "w"), key).where("v < w")
+    left, right = few.select(*key, "v", F.col("id").alias("x")), few.select(*key, F.col("v").alias("w"), F.col("id").alias("y"))
+    both = pairs.join(left, [*key, "v"]).join(right, [*key, "w"]).where("x <> y")
     return both.select("field", F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
