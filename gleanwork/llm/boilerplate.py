@@ -10,12 +10,13 @@ name misleads; what the ratios leave open is settled by the block the line stand
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +28,12 @@ from gleanwork.session import spread
 
 #: A line counts as repeated by its host if it stands on this share of its pages and on so many of them.
 REPEATED_SHARE, REPEATED_PAGES = 0.3, 8
-#: Longest line that can be a template of its host, in characters.
-TEMPLATE_CHARS = 120
+#: On fewer pages, on three at least, the lower bound of its share (two deviations) must reach this.
+SURE_SHARE, SURE_PAGES = 0.2, 3
+#: A line is counted by so many characters and, if longer, a hash of the whole besides.
+KEY_CHARS = 200
+#: Before the key of an item of a list, as words of lists recur by topic and need REPEATED_SHARE for sure.
+_ITEM = "\x01"
 
 _ELEMENT = re.compile(r"<([a-zA-Z][\w-]*)([^>]*)>(.*?)(?:</\1>)?\s*$", re.S)
 _CLASS = re.compile(r"""class=["']?([\w -]+)""")
@@ -45,6 +50,12 @@ _DIGITS = re.compile(r"\d+")
 _CODE = re.compile(r"[{}\\]|;$| = |\w\(|^\s{2,}\S|^\t|^[a-z_.-]+:( \S+)?$|^(return|SELECT|WHERE|FROM|import|def|func|if)\b|^\$ |^error: ")
 
 
+def masked_key(text: str) -> str:
+    """text with 0 for any number; of a long one the beginning and a hash of the whole."""
+    m = _DIGITS.sub("0", text)
+    return m if len(m) <= KEY_CHARS else f"{m[:KEY_CHARS]}\0{blake2b(m.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
 def _split(groups: dict[str, str]) -> set[str]:
     return {x.strip() for words in groups.values() for x in words.split(",")}
 
@@ -96,7 +107,7 @@ class Line:
             self.path, self.text = m[1][0] if not m[1][0].isdigit() else "1", s[m.end() :].strip()
         else:
             self.path, self.text = ("code" if len(s) < 200 and _CODE.search(raw) else ""), s
-        self.masked = _DIGITS.sub("0", self.text) if len(self.text) <= TEMPLATE_CHARS else ""
+        self.masked = (_ITEM if self.path in ("-", "*", "+", "1", "li") else "") + masked_key(self.text)
 
 
 def read_lines(content: str) -> list[Line]:
@@ -117,7 +128,7 @@ def read_lines(content: str) -> list[Line]:
 
 def _navigation(text: str, brand: str) -> bool:
     """A bar of navigation items or a breadcrumb."""
-    if len(text) > 300 or not _SEPARATOR.search(text):
+    if not _SEPARATOR.search(text):
         return False
     crumbs = _CRUMBS.split(text)
     if len(crumbs) >= 3 and crumbs[0] in HOMES or len(crumbs) == 2 and crumbs[0] in HOMES and len(text) < 120:
@@ -130,12 +141,10 @@ def _navigation(text: str, brand: str) -> bool:
 @lru_cache(100_000)
 def _phrased(text: str, brand: str) -> str:
     """`side`, `yes` or empty by the words of a line alone."""
-    if len(text) > 160 and not _SEPARATED.search(text):
-        return ""
     if (year := _YEAR.match(text)) and year[1].lower() == brand:
         return "yes"
-    for t in (text, *(() if text.isascii() or len(text) > 160 else repaired(text))):
-        m = _DIGITS.sub("0", t) if len(t) <= TEMPLATE_CHARS else ""
+    for t in (text, *(() if text.isascii() else repaired(text))):
+        m = _DIGITS.sub("0", t)
         if t in SIDEBARS:
             return "side"
         if m in _WHOLE or _SHAPES.search(t) or _navigation(t, brand):
@@ -144,13 +153,13 @@ def _phrased(text: str, brand: str) -> str:
 
 
 def worded(line: Line, brand: str, repeated: frozenset[str]) -> str:
-    """`side` for a heading above links to other pages, `yes` for other worded or repeated furniture, else empty."""
+    """`side` for a heading above links to other pages, `told` for a repeated sentence, `yes` for other worded or repeated furniture, else empty."""
     if not line.text:
         return ""
     if word := _phrased(line.text, brand):
         return word
-    if line.masked in repeated and line.path != "code" and not _ENDED.search(line.text) and any(c.isalpha() for c in line.text):
-        return "yes"
+    if line.masked in repeated and line.path != "code" and any(c.isalpha() for c in line.text) and not _NOTICE.search(line.text.lower()):
+        return "told" if _ENDED.search(line.text) else "yes"
     return ""
 
 
@@ -162,11 +171,11 @@ def _cut_short(text: str, brand: str, repeated: frozenset[str]) -> bool:
     if len(text) < 3:
         return False
     masked = _DIGITS.sub("0", text)
-    low = masked.lower()
+    low, head = masked.lower(), masked[:KEY_CHARS]
     tail = (f"{brand} is made with care by a small team", f"copyright 0 {brand} ltd", f"powered by {brand} press", f"© 0 {brand}")
     if any(t.startswith(low) and t != low for t in tail):
         return True
-    return any(p.startswith(masked) and p != masked for p in (*_WHOLE, *repeated))
+    return any(p.startswith(masked) and p != masked for p in _WHOLE) or any(p.startswith(head) and p != masked for p in repeated)
 
 
 def furniture_lines(content: str, title: str | None, host: str | None, repeated: frozenset[str]) -> list[int]:
@@ -186,16 +195,20 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
     for i, line in enumerate(lines):
         word = worded(line, brand, repeated)
         chars, ended, links, n = ratios[line.path]
-        if line.text in owns or owns and not word and not line.text.isascii() and len(line.text) < 160 and not owns.isdisjoint(repaired(line.text)) or i < 12 and line.path.startswith(("#", "h1")):
+        if line.text in owns or owns and not word and not line.text.isascii() and not owns.isdisjoint(repaired(line.text)) or i < 12 and line.path.startswith(("#", "h1")):
             line.kind = "own"
         elif word:
             line.kind = word
         elif line.link and links >= 0.8 * n and (chars / n < 100 or ended < 0.3 * n):
             line.kind = "link"  # a path of short unpunctuated links
-        elif line.path == "code" or _ENDED.search(line.text) and (len(line.text) > 12 or not line.text.isascii()) or len(line.text) > 110:
+        elif line.path == "code" or _ENDED.search(line.text) and (len(line.text) > 12 or not line.text.isascii()) or len(line.text) > 110 and not _SEPARATED.search(line.text):
             line.kind = "no"
         else:
             line.kind = "no" if _NOTICE.search(line.text.lower()) else "?"
+    bodied = any(line.kind in ("no", "?") for line in lines)
+    for line in lines:
+        if line.kind == "told":  # a page of nothing but templates keeps its sentences
+            line.kind = "yes" if bodied else "no"
     side = None  # path of the open block of links to other pages
     body = False
     for line in lines:
@@ -224,45 +237,53 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
     return [line.no for line in lines if line.kind == "yes"]
 
 
-def edge_lines(content: str) -> set[str]:
-    """Short lines with digits masked before the first and after the last long sentence of a page, lists aside."""
-    raws = [raw for raw in content.split("\n") if raw.strip()]
-    ended = [i for i, raw in enumerate(raws) if len(raw) > 60 and _ENDED.search(raw.rstrip())] or [len(raws)]
-    edges = raws[: ended[0]] + raws[ended[-1] + 1 :]
-    lines = [Line(0, raw) for raw in edges if 2 < len(raw) <= 2 * TEMPLATE_CHARS]
-    return {x.masked for x in lines if x.masked and x.path not in ("-", "*", "+", "li", "code")}
+def _distinct(n: str, a: str, b: str) -> Column:
+    """n, or the number of distinct texts that two maps of 63 hash buckets show, if that is less."""
+    held = F.greatest(F.bit_count(a), F.bit_count(b))
+    return F.when(held < 63, F.least(F.col(n).cast("double"), F.ceil(-63 * F.log(1 - held / 63) - 0.5).cast("double"))).otherwise(F.col(n).cast("double"))
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, lines): lines with digits masked that a host repeats over its pages.
+    """(host, lines): keys of lines, code aside, that a host repeats over pages of distinct texts.
 
-    pages: (host, content). Counts are summed in each task before the shuffle. A host has at most as many
-    templates as its pages have lines on average over REPEATED_SHARE, however many pages it has.
+    pages: (host, content). Every line of every page is counted once a page, in each task before the shuffle. A host
+    has at most as many templates as its pages have lines on average over SURE_SHARE, however many pages it has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages_of: Counter = Counter()
+        pages_of: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
 
         def emit():
-            keys = list(pages_of)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([pages_of[k] for k in keys], pa.int64())], names=["host", "line", "n"])
+            keys, held = list(pages_of), list(pages_of.values())
+            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(2)] + [pa.array([v[i] for v in held], pa.int64()) for i in range(3)]
             pages_of.clear()
-            return out
+            return pa.RecordBatch.from_arrays(columns, names=["host", "line", "n", "a", "b"])
 
         for batch in batches:
             for host, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if host is None or not content:
                     continue
-                pages_of[host, ""] += 1
-                for s in edge_lines(content):
-                    pages_of[host, s] += 1
-            if len(pages_of) > 300_000:
+                text = int.from_bytes(blake2b(content.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+                bits = 1 << text % 63, 1 << (text >> 32) % 63
+                for s in {"", *(x.masked for x in read_lines(content) if x.path != "code" and len(x.text) > 2)}:
+                    held = pages_of[host, s]
+                    held[0] += 1
+                    held[1] |= bits[0]
+                    held[2] |= bits[1]
+            if len(pages_of) > 200_000:
                 yield emit()
         yield emit()
 
-    counts = pages.select("host", "content").mapInArrow(run, "host string, line string, n long").groupBy("host", "line").agg(F.sum("n").alias("n"))
+    partial = pages.select("host", "content").mapInArrow(run, "host string, line string, n long, a long, b long").groupBy("host", "line")
+    counts = partial.agg(F.sum("n").alias("n"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b")).where(f"n >= {SURE_PAGES} OR line = ''")
+    counts = counts.select("host", "line", _distinct("n", "a", "b").alias("n"))
     total = counts.where("line = ''").select("host", F.col("n").alias("pages"))
-    often = counts.where(f"line <> '' AND n >= {REPEATED_PAGES}").join(total, "host").where(F.col("n") >= REPEATED_SHARE * F.col("pages"))
+    share, z2 = F.col("n") / F.col("pages"), 4 / F.col("pages")
+    share = F.least(share, F.lit(1.0))
+    sure = (share + z2 / 2 - F.sqrt(z2 * (share * (1 - share) + z2 / 4))) / (1 + z2)
+    least = F.when(F.startswith("line", F.lit(_ITEM)), REPEATED_SHARE).otherwise(SURE_SHARE)
+    many = (F.col("n") >= REPEATED_PAGES) & (share >= REPEATED_SHARE) & ~F.startswith("line", F.lit(_ITEM))
+    often = counts.where(f"line NOT IN ('', '{_ITEM}') AND n >= {SURE_PAGES}").join(total, "host").where(many | (sure >= least))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 

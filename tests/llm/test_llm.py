@@ -248,6 +248,19 @@ def test_a_host_repeats_its_templates(spark):
     assert got == {(i, n) for i in range(20) for n in (1, 3)}
 
 
+def test_templates_of_any_length_end_and_number_of_pages(spark):
+    notice = "Whoever reads on here lets us keep a small file on the device, and this sentence is told to each and every reader of the house in full, so that it goes on for more than two hundred characters until it ends here at last."
+    bar = " | ".join(f"Quarter {c}" for c in "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz")
+    body = ["The {} body is a long sentence that goes on for a while and ends here.", "So does the {} second one, which is no less long than the one before it."]
+    names = ["red", "green", "blue", "grey"]
+    rows = [(i, "https://few.example/x", None, f"{bar}\n{body[0].format(c)}\n{notice}\n{body[1].format(c)}\n- Odd item {c}", None) for i, c in enumerate(names)]
+    rows += [(10 + i, "https://same.example/x", None, f"{body[0].format('one')}\n{body[1].format('one')}", None) for i in range(20)]  # one page, many times
+    got = {(r.content_id, r.line_no) for r in boilerplate.find_furniture(pages(spark, rows)).collect()}
+    assert got == {(i, n) for i in range(4) for n in (1, 3)}
+    many = "   ".join(["Home", "About", "Contact"] * 20)
+    assert boilerplate.furniture_lines(many, None, None, frozenset()) == [1]
+
+
 # p6: residue
 
 
