@@ -209,6 +209,14 @@ def test_damaged_rows(spark):
     assert mojibake.find_damaged(pages(spark, []), ["content", "title"]).count() == 0
 
 
+def test_the_alphabet_is_of_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "SAMPLE_PAGES", 50)
+    texts = [f"Die Prüfsumme Nummer {i} ist für alle da und bleibt es auch." for i in range(2000)] + [f"Щука и ёж, Цех {i}: Эхо." for i in range(4)] + ["Möglich ist es."] * 500
+    dictionaries, alphabet = mojibake.dictionaries(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string"))
+    assert set("ЩЦЭёüöМм") - set(alphabet) == set("Мм") and dictionaries
+    assert mojibake._in_use({"": 10_000_000, "é": 5000, "ж": 30}).endswith("é")  # a share of lines, whatever their number
+
+
 # p4: furniture
 
 
