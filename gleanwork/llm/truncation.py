@@ -38,6 +38,11 @@ MOST_PHRASES = 50_000
 #: A limit needs so many values at it, so many times the usual number of the lengths before it, less than this share
 #: beyond, and values in so many of 63 hash buckets, as a text that is repeated makes no limit.
 PILE, TIMES, BEYOND, VARIED = 10, 4, 0.02, 7
+#: A word in use stands in so many places within lines. What ends a line is the start of one if it stands anywhere
+#: less than this share as often as the longer word within lines; last words, cut or not, are no longer words.
+USED, FRAGMENT_SHARE = 4, 0.02
+#: A closing is stock if it stands in so many sources and is this share of the values that end in "...".
+STOCK_SOURCES, STOCK_SHARE = 3, 0.001
 
 _INVISIBLE = re.compile("[\\u00ad\\u034f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufeff\\ufe00-\\ufe0f]")
 _MARK = re.compile(r"(?:" + "|".join(re.escape(m) for m in sorted(W.MARKS, key=len, reverse=True)) + r")\)?$")
@@ -101,17 +106,25 @@ class Habits:
     limits: dict[tuple[str, str, str, str], int] = field(default_factory=dict)
     sentence: dict[str, float] = field(default_factory=dict)
     stock: frozenset[str] = frozenset()
-    #: Words of lists, headings and commands, sorted.
+    #: Words of lists, headings and commands, sorted, and how often each stands anywhere, and within a line, not at its end.
     words: list[str] = field(default_factory=list)
+    uses: list[int] = field(default_factory=list)
+    inner: list[int] = field(default_factory=list)
 
     def within_word(self, text: str) -> bool:
         """Whether text ends in what is no word of its kind of line but the start of one."""
-        m = _LAST_WORD.search(text)
+        m = _LAST_WORD.search(unicodedata.normalize("NFC", text))  # a loose accent ends no word
         if not m or _CJK.search(m[0]):
             return False
         word = m[0].lower()
         i = bisect_left(self.words, word)
-        return i < len(self.words) and self.words[i] != word and self.words[i].startswith(word)
+        own = 0
+        if i < len(self.words) and self.words[i] == word:
+            own, i = self.uses[i], i + 1
+        longer = 0
+        while i < len(self.words) and self.words[i].startswith(word):
+            longer, i = max(longer, self.inner[i]), i + 1
+        return longer >= USED and own < FRAGMENT_SHARE * longer
 
     def at_limit(self, name: str, source: str | None, text: str, kind: str, slack: int = 0) -> bool:
         for measure, n in lengths(text).items():
@@ -299,8 +312,13 @@ def _count_habits(values: DataFrame) -> DataFrame:
                         elif not _MARK.search(line):
                             counts["beginning", beginning(line), "", 0][0] += 1
                     if 1 < len(line) <= 80 and not _FULL.search(line) and not _MARK.search(line):
-                        for word in _LETTERS.findall(line if line[0] != "<" else _TAGS.sub("", line)):
-                            counts["word", word.lower(), "", 0][0] += 1
+                        seen = (line if line[0] != "<" else _TAGS.sub("", line)).rstrip()
+                        found = _LETTERS.findall(seen)
+                        for word in found:
+                            counts["word", word.lower(), "", 1][0] += 1
+                        if found and seen.endswith(found[-1]):  # the last word may be cut
+                            counts["word", found[-1].lower(), "", 1][0] -= 1
+                            counts["word", found[-1].lower(), "", 0][0] += 1
             if len(counts) > 200_000:
                 yield emit()
         yield emit()
@@ -329,11 +347,12 @@ def habits(values: DataFrame) -> Habits:
     limits = {(*r[0].split("\t"), *r[1].split("\t")): r[2] for r in found}
     starts = counts.where("kind = 'beginning'").groupBy("a").agg(F.sum(F.col("n") * F.col("c")).alias("whole"), F.sum("n").alias("n")).where("n >= 5")
     sentence = {r[0]: r[1] / r[2] for r in most_counted(starts, "n", MOST_PHRASES).collect()}
-    stock = counts.where("kind = 'closing'").groupBy("a").agg(F.countDistinct("b").alias("sources"), F.sum("n").alias("n")).where("sources >= 3")
-    # a word of a cut line is rare; one that is in use stands in many lines
-    words = counts.where("kind = 'word' AND length(a) > 1").groupBy("a").agg(F.sum("n").alias("n")).where("n >= 4")
-    known = sorted(r[0] for r in most_counted(words, "n", MOST_PHRASES).collect())
-    return Habits(limits, sentence, frozenset(r[0] for r in most_counted(stock, "n", MOST_PHRASES).collect()), known)
+    stock = counts.where("kind = 'closing'").groupBy("a").agg(F.countDistinct("b").alias("sources"), F.sum("n").alias("n"))
+    dotted = stock.agg(F.sum("n")).first()[0] or 0
+    stock = stock.where((F.col("sources") >= STOCK_SOURCES) & (F.col("n") >= STOCK_SHARE * dotted))
+    words = counts.where("kind = 'word' AND length(a) > 1").groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("c")).alias("inner"))
+    known = sorted((r[0], r[1], r[2]) for r in most_counted(words, "n", MOST_PHRASES).collect())
+    return Habits(limits, sentence, frozenset(r[0] for r in most_counted(stock, "n", MOST_PHRASES).collect()), *(list(x) for x in zip(*known)))
 
 
 def _values(hits: DataFrame, pages: DataFrame) -> DataFrame:

@@ -320,6 +320,17 @@ def test_limits_are_exposed(spark):
     assert truncation.lengths("é&a") == n
 
 
+def test_a_fragment_stays_one_however_often_it_is_seen(spark):
+    schema = "field string, source string, text string"
+    for size in (1, 20):
+        rows = [("content", "x", f"- logician of house {i}") for i in range(300 * size)] + [("content", "x", "- the logici")] * (5 * size)
+        rows += [("snippet", f"m{i % 3}", "It fits. And so on ...") for i in range(300 * size)] + [("snippet", f"m{i}", "It fits. The mod ...") for i in range(3)]
+        rows += [("snippet", "m1", f"It fits. The other {i} ...") for i in range(3000)]
+        h = truncation.habits(spark.createDataFrame(rows, schema))
+        assert h.within_word("a logici") and not h.within_word("a logician") and not h.within_word("of")
+        assert "And so on ..." in h.stock and "The mod ..." not in h.stock
+
+
 def test_rates(spark, tiny):
     rates = queries.p1_rates(spark, tiny).collect()
     assert {r.field for r in rates} == {"snippet", "content"} and all(0 <= r.share <= 1 and r.cut <= r.texts for r in rates)
