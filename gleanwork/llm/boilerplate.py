@@ -1,14 +1,22 @@
 """Page furniture among the lines of cached pages, and the main body without it, by tag-path ratios.
 
-Each line has a path: the tags, class and link around it in HTML and Markdown, or its shape in plain text. Text
-length, punctuation and link share are aggregated per path over the page, and lines that a host repeats
-over its pages per host; both are fused with the words of furniture, smoothed over neighbouring lines and
-thresholded. Length and punctuation per line separate paths of prose from those of navigation even where a class
-name misleads; what the ratios leave open is settled by the block the line stands in.
+Each line is a node with a path from the root to its leaf: the elements open around it in HTML, headings, list marks and
+links in Markdown, and at the end the leaf's shape (one that ends as a sentence, an open one, a row of items).
+Text length, sentence ends, linked text and leaves are summed by path over the page, and over all pages of a layer on
+Spark; both sums are fused into one ratio for each path. A line's content value joins that ratio with
+the line's own, is smoothed over neighbouring lines, and lines under the threshold are the ones that may be furniture. So
+the ratios lay out each page: its first and last content line, and what stands outside.
+
+Where lines recur is counted with the same layout: a line that a host repeats over pages of distinct texts, and a line
+that stands outside the content on many hosts. Below the threshold, a line is furniture if it recurs so, if its path is
+of links, if it is a row of items, or if words of furniture give a weak vote and nothing speaks against it.
+Headings, lists and code of an article are low as well, so nothing is furniture by a low value alone unless
+it stands in a block of furniture outside the content.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,38 +29,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.llm import furniture_words as W
-from gleanwork.llm import residue_words
+from gleanwork.llm import residue_words, truncation_words
+from gleanwork.llm.bounded import small_enough
 from gleanwork.llm.caps import url_host
 from gleanwork.llm.mojibake import _CJK, CJK_READ, shifted, to_bytes, undone
-from gleanwork.session import spread
-
+from gleanwork.session import spread, written
+
+#: Content values of 0 to about 6: a line under LOW may be furniture, one of HIGH or more is content whatever stands around it.
+LOW, HIGH = 2.0, 4.0
+#: Leaves of its layer that a path of a page counts besides its own.
+LAYER_LEAVES = 2.0
+#: Weights of a line itself and of each neighbour in the smoothed value.
+SMOOTH_SELF, SMOOTH_NEXT = 0.8, 0.1
+#: What shifts the threshold for a line: words of furniture, a line known on all hosts (or worded with the host's name outside the content), one that its host repeats.
+WORDED, KNOWN, REPEATED = 0.6, 2.0, 4.0
 #: A line counts as repeated by its host if it stands on this share of its pages and on so many of them.
 REPEATED_SHARE, REPEATED_PAGES = 0.3, 8
 #: On fewer pages, on three at least, the lower bound of its share (two deviations) must reach this.
 SURE_SHARE, SURE_PAGES = 0.2, 3
-#: A line is counted by so many characters and, if longer, a hash of the whole besides.
-KEY_CHARS = 200
+#: A line is known on all hosts if it stands on so many of them, on this share of its pages outside the content, a sentence on the second.
+KNOWN_HOSTS, KNOWN_OUTSIDE, KNOWN_SENTENCE = 3, 0.6, 0.9
+#: Lines are counted by so many characters and, if longer, a hash of the whole besides.
+KEY_CHARS = 96
 #: Before the key of an item of a list, as words of lists recur by topic and need REPEATED_SHARE for sure.
 _ITEM = "\x01"
+#: In place of the host's own name in a key.
+_BRAND = "\x02"
+#: Before the key of a line that is known on all hosts but not repeated by this one.
+_KNOWN = "\x03"
 
-_ELEMENT = re.compile(r"<([a-zA-Z][\w-]*)([^>]*)>(.*?)(?:</\1>)?\s*$", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?")
 _CLASS = re.compile(r"""class=["']?([\w -]+)""")
-_ANCHOR = re.compile(r"<a\b[^>]*>(.*?)(</a>|$)", re.S)
-_TAG = re.compile(r"<[^>]*>?")
+#: Elements without an end, and those that a next one of their kind ends.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_NO_NEST = frozenset("p li td th tr dt dd option h1 h2 h3 h4 h5 h6".split())
 _MD_LINK = re.compile(r"([*+-] )?\[(.*)\]\([^()\s]*\)?$")
 _BULLET = re.compile(r"(#{1,6}|[-*+•]|\d+[.)]) +")
-_SEPARATED = re.compile(r" +[|·/•] +| {2,}")
-_SEPARATOR = re.compile(r"  | [|·/•>»›] ")
+_SEPARATED = re.compile(r" +[|·/•>»›] +| {2,}")
+_BAR = re.compile(r" +[|·/•] +| {2,}")
 _CRUMBS = re.compile(r" +[>»›/] +")
 _ENDED = re.compile(r"[.!?。！？…:]['\"”’»」）)\]]*$")
-_YEAR = re.compile(r"\S{0,4} ?\d{4} (\w+)")  # a copyright sign, perhaps garbled, a year and a name
 _DIGITS = re.compile(r"\d+")
 _CODE = re.compile(r"[{}\\]|;$| = |\w\(|^\s{2,}\S|^\t|^[a-z_.-]+:( \S+)?$|^(return|SELECT|WHERE|FROM|import|def|func|if)\b|^\$ |^error: ")
+_WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
 
 
-def masked_key(text: str) -> str:
-    """text with 0 for any number; of a long one the beginning and a hash of the whole."""
-    m = _DIGITS.sub("0", text)
+def masked_key(text: str, brand: str = "") -> str:
+    """text in lower case with 0 for any number and a mark for the host's name; of a long one the beginning and a hash of the whole."""
+    m = _DIGITS.sub("0", text.lower())
+    if brand:
+        m = m.replace(brand, _BRAND)
     return m if len(m) <= KEY_CHARS else f"{m[:KEY_CHARS]}\0{blake2b(m.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
 
 
@@ -61,153 +87,249 @@ def _split(groups: dict[str, str]) -> set[str]:
 
 
 ITEMS, SIDEBARS, HOMES = _split(W.ITEMS), _split(W.SIDEBARS), _split({"": W.HOMES})
-LINES = {x for x in W.LINES.strip().split("\n")}
-_SHAPES = re.compile("|".join(W.SHAPES))
-_NOTICE = re.compile("|".join(re.escape(x) for x in residue_words.NOTICES.strip().split("\n")))
-_WHOLE = ITEMS | SIDEBARS | LINES
+_SHAPES = re.compile("|".join(W.SHAPES), re.I)
+#: What is residue or a mark of a cut, and so no furniture.
+_NOTICE = re.compile("|".join(re.escape(x) for x in (residue_words.NOTICES + residue_words.FILLERS).strip().split("\n") if x))
+_PLACEHOLDER = re.compile(residue_words.PLACEHOLDER)
+_PROMPTS = frozenset(truncation_words.PROMPTS + truncation_words.NOTES)
 
 
-def repaired(text: str) -> list[str]:
-    """What a short line may have been before wrong decodings, for matching only."""
+@lru_cache(20_000)
+def repaired(text: str) -> tuple[str, ...]:
+    """What a line may have been before wrong decodings, for matching only."""
     once = [t for _, t in undone(text, shifted(text))]
     if _CJK.search(text):
         for read in CJK_READ:  # a last character may be lost
             if (raw := to_bytes(text.replace("�", ""), read)) and (t := raw.decode("utf-8", "ignore")) and 3 * len(t) > len(text):
                 once.append(t)
-    return once + [t for o in once if not o.isascii() for _, t in undone(o, False)]
-
-
-def _in_code(content: str, no: int) -> bool:
-    """Whether line no stands within a fenced block."""
-    return sum(raw.lstrip().startswith("```") for raw in content.split("\n")[: no - 1]) % 2 == 1
+    return tuple(once + [t for o in once if not o.isascii() for _, t in undone(o, False)])
 
 
 class Line:
-    __slots__ = ("no", "text", "path", "link", "kind", "masked")
+    """A non-blank line: its text without marks, root-to-leaf path, leaves, whether it is linked, ended, in a fenced block."""
 
-    def __init__(self, no: int, raw: str):
-        self.no, self.link, self.kind = no, False, ""
+    __slots__ = ("no", "raw", "text", "path", "mark", "link", "ended", "leaves", "fenced", "kind", "value", "repeated")
+
+    def __init__(self, no: int, raw: str, open_tags: list[str]):
+        self.no, self.raw, self.link, self.fenced, self.kind, self.value, self.repeated = no, raw, False, False, "", 0.0, False
         s = raw.strip()
-        if s[:1] == "<" and (m := _ELEMENT.match(s)):
-            tag, attributes, inner = m[1].lower(), m[2], m[3]
-            if c := _CLASS.search(attributes):
-                tag += "." + c[1].strip()
-            if "<" in inner:
-                anchor = _ANCHOR.search(inner)
-                text = _TAG.sub("", inner).strip()
-                self.link = bool(anchor) and len(_TAG.sub("", anchor[1]).strip()) >= 0.8 * len(text)
-                if self.link:
-                    tag += ">a"
-            else:
-                text = inner.strip()
-            self.path, self.text = tag, text
+        if s[0] == "<" and _TAG.match(s):
+            self.mark, self.text, self.path, self.link = self._element(s, open_tags)
         elif m := _MD_LINK.match(s):
-            self.path, self.text, self.link = (m[1] or "").strip() + "[]", m[2].strip(), True
+            self.mark, self.text, self.link = (m[1] or "").strip(), m[2].strip(), True
+            self.path = f"{self.mark}/[]"
         elif m := _BULLET.match(s):
-            self.path, self.text = m[1][0] if not m[1][0].isdigit() else "1", s[m.end() :].strip()
+            self.mark = m[1][0] if not m[1][0].isdigit() else "1"
+            self.text = s[m.end() :].strip()
+            self.path = m[1] if self.mark == "#" else self.mark
         else:
-            self.path, self.text = ("code" if len(s) < 200 and _CODE.search(raw) else ""), s
-        self.masked = (_ITEM if self.path in ("-", "*", "+", "1", "li") else "") + masked_key(self.text)
+            self.text, self.mark = s, ""
+            if len(s) < 200 and _CODE.search(raw):
+                self.mark = "code"
+            self.path = "/".join((*open_tags, self.mark)) if open_tags else self.mark
+        self.ended = _ENDED.search(self.text) is not None
+        self.leaves = 1 + len(_SEPARATED.findall(self.text)) if "  " in self.text or " " in self.text and not self.ended else 1
+        self.path += "/." if self.ended else "/|" if self.leaves > 1 else "/~"
+
+    @staticmethod
+    def _element(s: str, open_tags: list[str]) -> tuple[str, str, str, bool]:
+        """(own element, text, path of the longest text, whether most of the text is linked); open_tags changes with the line."""
+        texts, at, linked, total, best, path, first = [], 0, 0, 0, -1, "", ""
+
+        def take(part: str) -> None:
+            nonlocal linked, total, best, path
+            if part.strip():
+                texts.append(part)
+                n = len(part.strip())
+                total += n
+                linked += n if "a" in open_tags else 0
+                if n > best:
+                    best, path = n, "/".join(open_tags)
+
+        for m in _TAG.finditer(s):
+            take(s[at : m.start()])
+            at = m.end()
+            name = m[2].lower()
+            if m[1]:
+                if name in (t.split(".")[0] for t in open_tags):
+                    while open_tags.pop().split(".")[0] != name:
+                        pass
+            elif name not in _VOID and not m[3].endswith("/"):
+                c = _CLASS.search(m[3]) if m[3] else None
+                if name in _NO_NEST and open_tags and open_tags[-1].split(".")[0] == name:
+                    open_tags.pop()
+                open_tags.append(f"{name}.{c[1].strip()}" if c and name != "a" else name)
+                first = first or open_tags[-1]
+        take(s[at:])
+        if "a" in open_tags:  # an anchor ends with its line
+            del open_tags[open_tags.index("a") :]
+        return first.split(".")[0], "".join(texts).strip(), path, bool(total) and linked >= 0.8 * total
+
+    def item(self) -> bool:
+        return self.mark in ("-", "*", "+", "1", "li")
+
+    def prefix(self) -> str:
+        return _ITEM if self.item() and not self.link else ""
+
+    def key(self, brand: str) -> str:
+        return self.prefix() + masked_key(self.text, brand)
 
 
 def read_lines(content: str) -> list[Line]:
-    """The non-blank lines, numbered from 1 over all lines; lines of a fenced block have the path `code`."""
-    out, fenced = [], False
+    """The non-blank lines, numbered from 1 over all lines; lines of a fenced block have the mark `code`."""
+    out, fenced, open_tags = [], False, []
     for no, raw in enumerate(content.split("\n"), 1):
-        if not raw.strip():
+        if not raw or raw.isspace():
             continue
-        line = Line(no, raw)
-        if raw.lstrip().startswith("```"):
-            fenced = not fenced
-            line.path = "code"
-        elif fenced:
-            line.path = "code"
+        line = Line(no, raw, open_tags)
+        fence = raw.lstrip().startswith("```")
+        line.fenced = fenced and not fence
+        if fence or fenced:
+            line.mark, line.path = "code", "code"
+            fenced = fenced != fence
         out.append(line)
     return out
 
 
-def _navigation(text: str, brand: str) -> bool:
-    """A bar of navigation items or a breadcrumb."""
-    if not _SEPARATOR.search(text):
-        return False
-    crumbs = _CRUMBS.split(text)
-    if len(crumbs) >= 3 and crumbs[0] in HOMES or len(crumbs) == 2 and crumbs[0] in HOMES and len(text) < 120:
-        return True
-    parts = [p for p in _SEPARATED.split(text) if p]
-    known = [p in ITEMS or p.lower() == brand for p in parts]
-    return len(parts) >= 2 and sum(known) >= 0.6 * len(parts) and any(p in ITEMS for p in parts)
+def weight(text: str) -> int:
+    """Length of a text; a character of an unspaced script counts as two."""
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def path_sums(lines: list[Line]) -> dict[str, list[float]]:
+    """Text length, sentence ends, linked text and leaves of each path."""
+    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    for line in lines:
+        r, n = sums[line.path], weight(line.text)
+        r[0] += n
+        r[1] += line.ended
+        r[2] += n * line.link
+        r[3] += line.leaves
+    return sums
+
+
+def ratio(chars: float, ends: float, linked: float, leaves: float) -> float:
+    """Content value of text: the log of its length per leaf, less without sentence ends, none if it is linked."""
+    return math.log1p(chars / leaves) * (0.3 + 0.7 * min(ends / leaves, 1.0)) * (1 - linked / max(chars, 1.0))
+
+
+def valued(lines: list[Line], layer: dict[str, list[float]]) -> None:
+    """Sets the value of each line: the ratio of its path on the page and in its layer with its own, smoothed over its neighbours."""
+    fused = {}
+    for path, sums in path_sums(lines).items():
+        wide = layer.get(path)
+        if wide and wide[3]:
+            sums = [x + LAYER_LEAVES * y / wide[3] for x, y in zip(sums, wide)]
+        fused[path] = ratio(*sums)
+    raw = []
+    for line in lines:
+        n = weight(line.text)
+        own = ratio(n, line.ended, n * line.link, line.leaves) if n else 0.0
+        raw.append((own + fused[line.path]) / 2)
+    last = len(lines) - 1
+    for i, line in enumerate(lines):
+        line.value = SMOOTH_SELF * raw[i] + SMOOTH_NEXT * (raw[max(i - 1, 0)] + raw[min(i + 1, last)])
+        if raw[i] >= HIGH:
+            line.value = max(line.value, LOW)
+
+
+def core(lines: list[Line]) -> tuple[int, int]:
+    """Places of the first and last line of content by value; (len, -1) if there is none."""
+    high = [i for i, line in enumerate(lines) if line.value >= HIGH]
+    return (high[0], high[-1]) if high else (len(lines), -1)
+
+
+def brand_of(host: str | None) -> str:
+    labels = (host or "").split(".")
+    return labels[-2] if len(labels) > 1 else labels[0]
 
 
 @lru_cache(100_000)
-def _phrased(text: str, brand: str) -> str:
-    """`side`, `yes` or empty by the words of a line alone."""
-    if (year := _YEAR.match(text)) and year[1].lower() == brand:
-        return "yes"
+def _worded(text: str, brand: str) -> str:
+    """`side`, `yes` or empty: the vote of the words of a line alone."""
     for t in (text, *(() if text.isascii() else repaired(text))):
-        m = _DIGITS.sub("0", t)
         if t in SIDEBARS:
             return "side"
-        if m in _WHOLE or _SHAPES.search(t) or _navigation(t, brand):
+        if t in ITEMS or _SHAPES.search(t) or _row(t, brand):
             return "yes"
     return ""
 
 
-def worded(line: Line, brand: str, repeated: frozenset[str]) -> str:
-    """`side` for a heading above links to other pages, `told` for a repeated sentence, `yes` for other worded or repeated furniture, else empty."""
-    if not line.text:
-        return ""
-    if word := _phrased(line.text, brand):
-        return word
-    if line.masked in repeated and line.path != "code" and any(c.isalpha() for c in line.text) and not _NOTICE.search(line.text.lower()):
-        return "told" if _ENDED.search(line.text) else "yes"
-    return ""
+def _row(text: str, brand: str) -> bool:
+    """A row of navigation items or a breadcrumb by its words."""
+    crumbs = _CRUMBS.split(text)
+    if len(crumbs) >= 2 and crumbs[0] in HOMES:
+        return True
+    parts = [p for p in _BAR.split(text) if p]
+    if len(parts) < 2:
+        return False
+    known = [p in ITEMS or p.lower() == brand for p in parts]
+    return sum(known) >= 0.6 * len(parts) and any(p in ITEMS for p in parts)
 
 
 def _cut_short(text: str, brand: str, repeated: frozenset[str]) -> bool:
     """The start of a furniture line whose end is lost."""
-    parts = [p for p in _SEPARATED.split(text) if p]
+    parts = [p for p in _BAR.split(text) if p]
     if len(parts) >= 2 and all(p in ITEMS or p.lower() == brand for p in parts[:-1]):
         return True
     if len(text) < 3:
         return False
-    masked = _DIGITS.sub("0", text)
-    low, head = masked.lower(), masked[:KEY_CHARS]
-    tail = (f"{brand} is made with care by a small team", f"copyright 0 {brand} ltd", f"powered by {brand} press", f"© 0 {brand}")
-    if any(t.startswith(low) and t != low for t in tail):
+    key = masked_key(text, brand)
+    head = key[:KEY_CHARS]
+    if any(p.startswith((head, _KNOWN + head)) and p.lstrip(_KNOWN) != key for p in repeated):
         return True
-    return any(p.startswith(masked) and p != masked for p in _WHOLE) or any(p.startswith(head) and p != masked for p in repeated)
+    if not brand.startswith(head) and head.endswith(tuple(brand[:n] for n in range(1, len(brand)))):  # the name itself was cut
+        stem = max((n for n in range(1, len(brand)) if head.endswith(brand[:n])), default=0)
+        return any(p.startswith((head[:-stem] + _BRAND, _KNOWN + head[:-stem] + _BRAND)) for p in repeated)
+    return any(p.startswith(text) and p != text for p in ITEMS | SIDEBARS)
 
 
-def furniture_lines(content: str, title: str | None, host: str | None, repeated: frozenset[str]) -> list[int]:
-    """Numbers of the furniture lines of a page."""
-    lines = read_lines(content)
-    labels = (host or "").split(".")
-    brand = labels[-2] if len(labels) > 1 else labels[0]
+def furniture_lines(content: str, title: str | None, host: str | None, repeated: frozenset[str], layer: dict[str, list[float]] | None = None, lines: list[Line] | None = None) -> list[int]:
+    """Numbers of the furniture lines of a page.
+
+    repeated: keys of lines that the host repeats or that are known on all hosts; layer: the sums of each path over all
+    pages of the layer; lines: those of content, if they were read before.
+    """
+    lines = read_lines(content) if lines is None else lines
+    brand = brand_of(host)
     own = (title or "").strip()
     owns = {own, *(() if own.isascii() else repaired(own))} - {""}
-    ratios: dict[str, list[float]] = {}
-    for line in lines:  # text length, punctuation, links and lines of each path
-        r = ratios.setdefault(line.path, [0, 0, 0, 0])
-        r[0] += len(line.text)
-        r[1] += bool(_ENDED.search(line.text))
-        r[2] += line.link
-        r[3] += 1
+    valued(lines, layer or {})
+    first, last = core(lines)
     for i, line in enumerate(lines):
-        word = worded(line, brand, repeated)
-        chars, ended, links, n = ratios[line.path]
-        if line.text in owns or owns and not word and not line.text.isascii() and not owns.isdisjoint(repaired(line.text)) or i < 12 and line.path.startswith(("#", "h1")):
+        text = line.text
+        votes, word, barred, repeats = 0.0, "", False, False
+        if text and line.value < LOW + WORDED + REPEATED and (line.mark != "code" or line.fenced and not _CODE.search(line.raw)):
+            keys = [line.key(brand)]
+            if not text.isascii() and keys[0] not in repeated:
+                keys += [line.prefix() + masked_key(t, brand) for t in repaired(text)]
+            repeats = any(k in repeated for k in keys)
+            votes = REPEATED if repeats else KNOWN if not first < i < last and any(_KNOWN + k in repeated for k in keys) else 0.0
+            own_name = KNOWN if not first < i < last and _branded(text, brand) else 0.0
+            if line.value < LOW + WORDED + max(votes, own_name):  # words and what bars a line can decide
+                barred = not any(c.isalpha() for c in text) or text in _PROMPTS or _PLACEHOLDER.search(text) is not None or _NOTICE.search(text.lower()) is not None
+                word = "" if barred else _worded(text, brand)
+                votes = 0.0 if barred else max(votes, own_name) + WORDED if word else votes
+        low = line.value < LOW + votes
+        recurs, word = low and votes >= (REPEATED if line.fenced else KNOWN), word if low else ""
+        line.repeated = recurs and repeats
+        if text in owns or owns and not word and not recurs and not text.isascii() and not owns.isdisjoint(repaired(text)) or line.mark in ("#", "h1") and i < first and line.path[:2] in ("#/", "h1") and not recurs:
             line.kind = "own"
+        elif word == "side":
+            line.kind = "side"
+        elif recurs:
+            line.kind = "told" if line.ended else "yes"
         elif word:
-            line.kind = word
-        elif line.link and links >= 0.8 * n and (chars / n < 100 or ended < 0.3 * n):
-            line.kind = "link"  # a path of short unpunctuated links
-        elif line.path == "code" or _ENDED.search(line.text) and (len(line.text) > 12 or not line.text.isascii()) or len(line.text) > 110 and not _SEPARATED.search(line.text):
+            line.kind = "yes"
+        elif low and line.link:
+            line.kind = "link"
+        elif not low or line.mark == "code":
             line.kind = "no"
         else:
-            line.kind = "no" if _NOTICE.search(line.text.lower()) else "?"
+            line.kind = "no" if barred and text else "?"
     bodied = any(line.kind in ("no", "?") for line in lines)
     for line in lines:
-        if line.kind == "told":  # a page of nothing but templates keeps its sentences
+        if line.kind == "told":  # a page of nothing but repeated lines keeps its sentences
             line.kind = "yes" if bodied else "no"
     side = None  # path of the open block of links to other pages
     body = False
@@ -217,116 +339,184 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
         body = body or line.kind in ("no", "own")
         if line.kind == "side":
             side, line.kind = "", "yes"
-        elif side is not None and line.kind in ("?", "link") and side in ("", line.path + "!"):
-            side, line.kind = line.path + "!", "yes"
+        elif side is not None and line.kind in ("?", "link") and side in ("", line.mark + "!"):
+            side, line.kind = line.mark + "!", "yes"
+        elif side is not None and line.kind == "yes" and not line.repeated and line.leaves == 1 and line.text not in ITEMS:
+            pass  # a link to another page that is known from others
         else:
             side = None
             if line.kind == "link":  # links of a list within the body belong to it
-                line.kind = "?" if body and line.path[:1] in ("l", "*", "-", "+") else "yes"
+                line.kind = "?" if body and line.item() else "yes"
     if side and lines[-1].kind == "yes" and not lines[-1].link and not any(line.kind == "no" for line in lines) and len(lines[-1].text) > 12:
         lines[-1].kind = "?"  # a page ends in its body, if it was cut within its first sentence
     firm = [i for i, line in enumerate(lines) if line.kind in ("no", "own")]
     first, last = (firm[0], firm[-1]) if firm else (len(lines), -1)
-    for i, line in enumerate(lines):  # smoothing outside the body: an open line between furniture is furniture
-        if line.kind == "?" and not first < i < last and 0 < i < len(lines) - 1 and lines[i - 1].kind == "yes" == lines[i + 1].kind and line.path[:1] not in ("-", "#", "h"):
-            line.kind = "yes"
-    if lines and lines[-1].kind in ("?", "no") and lines[-1].path != "code":
+    for i, line in enumerate(lines):  # outside the content, an open line between furniture is furniture
+        if line.kind == "?" and not first < i < last and not line.item() and line.mark[:1] not in ("#", "h"):
+            near = [lines[j].kind for j in (i - 1, i + 1) if 0 <= j < len(lines)]
+            if near.count("yes") == 2 or near == ["yes"] and _branded(line.text, brand):  # at an edge of the page, if it names its house
+                line.kind = "yes"
+    if lines and lines[-1].kind in ("?", "no") and lines[-1].mark != "code":
         end = lines[-1]
         if _cut_short(end.text, brand, repeated) and (len(lines) > 1 and lines[-2].kind == "yes" or len(end.text) > 12):
             end.kind = "yes"
     return [line.no for line in lines if line.kind == "yes"]
 
 
+def _branded(text: str, brand: str) -> bool:
+    return len(brand) > 2 and brand in text.lower()
+
+
 def _distinct(n: str, a: str, b: str) -> Column:
     """n, or the number of distinct texts that two maps of 63 hash buckets show, if that is less."""
     held = F.greatest(F.bit_count(a), F.bit_count(b))
     return F.when(held < 63, F.least(F.col(n).cast("double"), F.ceil(-63 * F.log(1 - held / 63) - 0.5).cast("double"))).otherwise(F.col(n).cast("double"))
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, lines): keys of lines, code aside, that a host repeats over pages of distinct texts.
+def _counted(pages: DataFrame) -> DataFrame:
+    """(host, layer, line, n, a, b, outside, chars, ends, linked): sums of lines by host, and of paths by layer (host null).
 
-    pages: (host, content). Every line of every page is counted once a page, in each task before the shuffle. A host
-    has at most as many templates as its pages have lines on average over SURE_SHARE, however many pages it has.
+    pages: (host, layer, content). Every line of every page is counted once a page, in each task before the shuffle.
     """
+    names = ["host", "layer", "line", "n", "a", "b", "outside", "chars", "ends", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages_of: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+        of_lines: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        of_paths: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
 
         def emit():
-            keys, held = list(pages_of), list(pages_of.values())
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(2)] + [pa.array([v[i] for v in held], pa.int64()) for i in range(3)]
-            pages_of.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["host", "line", "n", "a", "b"])
+            n, m = len(of_lines), len(of_paths)
+            ks, ps, vs, ws = list(of_lines), list(of_paths), list(of_lines.values()), list(of_paths.values())
+            text = lambda a, b: pa.array([*a, *b], pa.string())
+            longs = [pa.array([v[i] for v in vs] + ([int(w[3]) for w in ws] if i == 0 else [0] * m), pa.int64()) for i in range(4)]
+            reals = [pa.array([0.0] * n + [w[i] for w in ws]) for i in range(3)]
+            columns = [text((k[0] for k in ks), [None] * m), text([None] * n, (p[0] for p in ps)), text((k[1] for k in ks), (p[1] for p in ps)), *longs, *reals]
+            of_lines.clear(), of_paths.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for host, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if host is None or not content:
+            for host, layer, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if not content:
                     continue
+                lines, brand = read_lines(content), brand_of(host)
+                for path, sums in path_sums(lines).items():
+                    held = of_paths[layer or "", path]
+                    for i in range(4):
+                        held[i] += sums[i]
+                valued(lines, {})
+                first, last = core(lines)
                 text = int.from_bytes(blake2b(content.encode("utf-8", "surrogatepass"), digest_size=8).digest())
                 bits = 1 << text % 63, 1 << (text >> 32) % 63
-                for s in {"", *(x.masked for x in read_lines(content) if x.path != "code" and len(x.text) > 2)}:
-                    held = pages_of[host, s]
+                seen = {"": 0}
+                for i, x in enumerate(lines):
+                    if x.mark != "code" and len(x.text) > 2:
+                        seen.setdefault(x.key(brand), int(not first < i < last))
+                for s, outside in seen.items():
+                    held = of_lines[host or "", s]
                     held[0] += 1
                     held[1] |= bits[0]
                     held[2] |= bits[1]
-            if len(pages_of) > 200_000:
+                    held[3] += outside
+            if len(of_lines) > 200_000:
                 yield emit()
         yield emit()
 
-    partial = pages.select("host", "content").mapInArrow(run, "host string, line string, n long, a long, b long").groupBy("host", "line")
-    counts = partial.agg(F.sum("n").alias("n"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b")).where(f"n >= {SURE_PAGES} OR line = ''")
-    counts = counts.select("host", "line", _distinct("n", "a", "b").alias("n"))
-    total = counts.where("line = ''").select("host", F.col("n").alias("pages"))
-    share, z2 = F.col("n") / F.col("pages"), 4 / F.col("pages")
-    share = F.least(share, F.lit(1.0))
+    return pages.select("host", "layer", "content").mapInArrow(run, "host string, layer string, line string, n long, a long, b long, outside long, chars double, ends double, linked double")
+
+
+def templates(pages: DataFrame) -> tuple[DataFrame, dict[str, dict[str, list[float]]]]:
+    """(host, lines) of all hosts and the sums of paths by layer.
+
+    pages: (host, layer, content). lines: keys of lines, code aside, that the host repeats over pages of distinct texts,
+    and of those on any of its pages that are known on all hosts. What is found depends on shares, not on the
+    number of pages. Paths of a layer are tags and marks without classes' names; those on less than
+    a ten-thousandth of its leaves are left to the page's own sums, so few rows reach the driver.
+    """
+    counted = _counted(pages)
+    lines = counted.where("host IS NOT NULL").groupBy("host", "line").agg(F.sum("n").alias("n"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b"), F.sum("outside").alias("outside"))
+    paths = counted.where("host IS NULL").groupBy("layer", "line").agg(*(F.sum(c).alias(c) for c in ("chars", "ends", "linked", "n")))
+    share = F.col("n") / F.sum("n").over(_by("layer"))
+    of_layer: dict[str, dict[str, list[float]]] = defaultdict(dict)
+    for r in paths.withColumn("share", share).where("share >= 1e-4").collect():
+        of_layer[r.layer][r.line] = [r.chars, r.ends, r.linked, float(r.n)]
+    # a line on one page of one host is neither repeated nor, but for its other hosts, known
+    counts = written(lines.where("n > 1 OR outside > 0"), "furniture-lines")
+    known = counts.where("outside > 0 AND line <> ''").groupBy("line").agg(F.count("*").alias("hosts"), F.sum("n").alias("pages"), F.sum("outside").alias("outside"))
+    known = known.where((F.col("hosts") >= KNOWN_HOSTS) & (F.col("outside") >= F.when(F.col("line").rlike(_ENDED.pattern), KNOWN_SENTENCE).otherwise(KNOWN_OUTSIDE) * F.col("pages")) & ~F.startswith("line", F.lit(_ITEM))).select(F.col("line").alias("k"))
+    often = counts.where(f"n >= {SURE_PAGES} OR line = ''").select("host", "line", _distinct("n", "a", "b").alias("n"))
+    total = often.where("line = ''").select("host", F.col("n").alias("pages"))
+    share, z2 = F.least(F.col("n") / F.col("pages"), F.lit(1.0)), 4 / F.col("pages")
     sure = (share + z2 / 2 - F.sqrt(z2 * (share * (1 - share) + z2 / 4))) / (1 + z2)
     least = F.when(F.startswith("line", F.lit(_ITEM)), REPEATED_SHARE).otherwise(SURE_SHARE)
     many = (F.col("n") >= REPEATED_PAGES) & (share >= REPEATED_SHARE) & ~F.startswith("line", F.lit(_ITEM))
-    often = counts.where(f"line NOT IN ('', '{_ITEM}') AND n >= {SURE_PAGES}").join(total, "host").where(many | (sure >= least))
-    return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
+    own = often.where(f"line NOT IN ('', '{_ITEM}') AND host <> '' AND n >= {SURE_PAGES}").join(total, "host").where(many | (sure >= least)).select("host", "line")
+    there = counts.where("outside > 0").join(known, F.col("line") == F.col("k")).select("host", F.concat(F.lit(_KNOWN), "line").alias("line"))
+    found = own.unionByName(there).groupBy("host").agg(F.collect_set("line").alias("lines"))
+    return written(found, "furniture-templates"), of_layer
 
 
-def _judged(pages: DataFrame, id_col: str, title_col: str, content_col: str, url_col: str, run, schema) -> DataFrame:
-    rows = spread(pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), F.col(title_col).alias("title"), F.col(content_col).alias("content")))
-    known = host_templates(rows).withColumnRenamed("host", "h")
-    joined = rows.join(known, F.col("host") == F.col("h"), "left")
-    return joined.select("id", "host", "title", "content", "lines").mapInArrow(run, schema)
+def _by(column: str):
+    from pyspark.sql import Window
 
+    return Window.partitionBy(column)
 
-def find_furniture(pages: DataFrame, id_col: str = "content_id", title_col: str = "title", content_col: str = "content", url_col: str = "url") -> DataFrame:
-    """(id_col, line_no): a row for each non-blank line that is page furniture, lines numbered from 1 at each newline.
 
-    Null or empty content has no lines. Without a url or title the page is judged by itself. Repeated rows
-    give their lines again; other columns play no part, whatever their names.
+def with_templates(rows: DataFrame) -> tuple[DataFrame, dict[str, dict[str, list[float]]]]:
+    """rows with `lines`, the keys of their host's templates, and the sums of paths by layer; rows: (host, layer, content, ...).
+
+    The templates are broadcast while they are small, else joined by host, where Spark splits a host that is skewed.
     """
+    known, of_layer = templates(rows)
+    known = known.withColumnRenamed("host", "h")
+    if small_enough(known.select(F.length(F.concat_ws("", "lines")).alias("n")), "n"):
+        known = F.broadcast(known)
+    return rows.join(known, F.coalesce("host", F.lit("")) == F.col("h"), "left").drop("h"), of_layer
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _judged(pages: DataFrame, id_col: str, title_col: str, content_col: str, url_col: str, layer_col: str, run, schema) -> DataFrame:
+    layer = F.col(layer_col) if layer_col in pages.columns else F.lit(None).cast("string")
+    rows = spread(pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), F.col(title_col).alias("title"), F.col(content_col).alias("content"), layer.alias("layer")))
+    joined, of_layer = with_templates(rows)
+    held = pages.sparkSession.sparkContext.broadcast(of_layer)  # a few hundred paths a layer
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, frozenset[str]] = {}
         for batch in batches:
-            at, nos = [], []
-            for i, (host, title, content, known) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
-                found = furniture_lines(content, title, host, frozenset(known or ())) if content else []
-                at += [i] * len(found)
-                nos += found
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(nos, pa.int64())], names=[id_col, "line_no"])
+            gone = []
+            for host, title, content, layer, known in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
+                gone.append(furniture_lines(content, title, host, frozenset(known or ()), held.value.get(layer or "")) if content else [])
+            yield run(batch, gone)
+        del sets
+
+    return joined.select("id", "host", "title", "content", "layer", "lines").mapInArrow(judge, schema)
+
+
+def find_furniture(pages: DataFrame, id_col: str = "content_id", title_col: str = "title", content_col: str = "content", url_col: str = "url", layer_col: str = "layer_used") -> DataFrame:
+    """(id_col, line_no): a row for each non-blank line that is page furniture, lines numbered from 1 at each newline.
+
+    Null or empty content has no lines. Without a url or title the page is judged by itself, without a layer by its own
+    paths. Repeated rows give their lines again; other columns play no part, whatever their names. The counts
+    of all pages are made while this is called.
+    """
+
+    def run(batch: pa.RecordBatch, gone: list[list[int]]) -> pa.RecordBatch:
+        at = [i for i, nos in enumerate(gone) for _ in nos]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([n for nos in gone for n in nos], pa.int64())], names=[id_col, "line_no"])
 
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("line_no", T.LongType())])
-    return _judged(pages, id_col, title_col, content_col, url_col, run, schema)
+    return _judged(pages, id_col, title_col, content_col, url_col, layer_col, run, schema)
 
 
-def main_body(pages: DataFrame, id_col: str = "content_id", title_col: str = "title", content_col: str = "content", url_col: str = "url") -> DataFrame:
+def main_body(pages: DataFrame, id_col: str = "content_id", title_col: str = "title", content_col: str = "content", url_col: str = "url", layer_col: str = "layer_used") -> DataFrame:
     """(id_col, body, kept_lines, cut_lines): each page without its furniture lines, in order; null stays null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies, kept, cut = [], [], []
-            for host, title, content, known in zip(*(batch.column(c).to_pylist() for c in range(1, 5))):
-                gone = set(furniture_lines(content, title, host, frozenset(known or ()))) if content else set()
-                lines = content.split("\n") if content is not None else []
-                bodies.append("\n".join(x for n, x in enumerate(lines, 1) if n not in gone) if content is not None else None)
-                kept.append(len(lines) - len(gone))
-                cut.append(len(gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), pa.array(kept, pa.int64()), pa.array(cut, pa.int64())], names=[id_col, "body", "kept_lines", "cut_lines"])
+    def run(batch: pa.RecordBatch, gone: list[list[int]]) -> pa.RecordBatch:
+        bodies, kept = [], []
+        for content, nos in zip(batch.column(3).to_pylist(), gone):
+            lines, cut = content.split("\n") if content is not None else [], set(nos)
+            bodies.append("\n".join(x for n, x in enumerate(lines, 1) if n not in cut) if content is not None else None)
+            kept.append(len(lines) - len(cut))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), pa.array(kept, pa.int64()), pa.array(list(map(len, gone)), pa.int64())], names=[id_col, "body", "kept_lines", "cut_lines"])
 
     fields = [T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("body", T.StringType()), T.StructField("kept_lines", T.LongType()), T.StructField("cut_lines", T.LongType())]
-    return _judged(pages, id_col, title_col, content_col, url_col, run, T.StructType(fields))
+    return _judged(pages, id_col, title_col, content_col, url_col, layer_col, run, T.StructType(fields))

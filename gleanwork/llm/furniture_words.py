@@ -1,4 +1,4 @@
-"""Words and phrases of page furniture by language, as web pages commonly carry them."""
+"""Words of page furniture by language, as web pages commonly carry them; a weak vote beside the ratios."""
 
 # Items of navigation bars, breadcrumbs and footers.
 ITEMS = {
@@ -25,57 +25,20 @@ SIDEBARS = {
     "ja": "人気の記事, 関連記事",
 }
 
-# Whole lines, with 0 for any number: share and newsletter prompts, cookie notices, script hints.
-LINES = """
-Share this page
-Tweet Share Pin Email
-Was this page helpful? Yes No
-Subscribe to our newsletter
-Get one email a week. No noise. Sign up
-Join 0 readers and never miss a post
-0 likes 0 comments
-This site works best with JavaScript enabled.
-By browsing on you agree to our cookie policy.
-This site stores cookies on your device. OK
-We use cookies to improve your experience. Accept all | Manage preferences
-Your privacy matters to us: we and our 0 partners process device data. Agree Reject
-Beitrag teilen
-0 Kommentare
-Newsletter abonnieren
-Jetzt 0 Lesern folgen und nichts verpassen
-Diese Seite nutzt Cookies von 0 Partnern. Einverstanden
-Wir verwenden Cookies, um Inhalte zu verbessern. Alle akzeptieren | Einstellungen
-Partager cet article
-0 commentaires
-Rejoignez 0 abonnés
-Nous utilisons des cookies pour améliorer votre visite. Tout accepter | Paramétrer
-Compartir esta página
-0 comentarios
-Suscríbete al boletín
-Únete a 0 lectores
-Usamos cookies para mejorar tu experiencia. Aceptar todo | Configurar
-Поделиться
-Подписаться на рассылку
-Комментарии: 0
-Мы используем файлы cookie. Принять все | Настроить
-评论（0）
-已有0位读者订阅
-订阅我们的周刊
-分享到
-我们使用 Cookie 改善您的体验。全部接受 | 设置
-コメント 0 件
-読者0人が購読中
-この記事を共有
-メールマガジンに登録
-当サイトはクッキーを使用します。すべて許可 | 設定
-"""
-
-# Shapes of lines, searched in the whole line.
+# Patterns of prompts and notices, searched in a whole line that the ratios have found low.
 SHAPES = [
-    r"^.{2,40} \d+ is out$",
-    r"^.{2,40} is made with care by a small team$",
-    r"^Copyright \d{4}\b",
-    r"^Powered by .{2,40}$",
-    r"^[©Ⓒ] ?\d{4} ",
-    r"^\d+ captures? \d+ \w+ \d{4}\b.*about this capture$",
+    r"\bnewsletter\b",
+    r"^(share (this|on|via)|tweet|pin it|follow us|subscribe|sign up|like us)\b|\bsign up$|\b(never|don't) miss a\b",
+    r"^[©Ⓒ] ?\d{4}\b|^copyright (©|\d{4})|\ball rights reserved\b|^powered by ",
+    r"\bcookies?\b.*\b(accept|agree|ok|policy|preferences|reject)\b",
+    r"^(\d+ (likes?|shares?|comments?|views?)\W*)+$",
+    r"\d+ captures?\b.*\babout this capture$",
+    r"\b\d+ (readers|subscribers|followers|abonnés|lectores|suscriptores|leser|lesern)\b.{0,40}$|\d+ ?(читател|подписчик)|\d+(位读者|人が購読)",
+    r"^was this (page|article) (helpful|useful)",
+    r"\bcookies\b.*\b(einverstanden|akzeptieren|einstellungen)\b|alle rechte vorbehalten|^(beitrag|artikel) teilen$|^\d+ kommentare?$",
+    r"\bcookies\b.*\b(accepter|refuser|paramétrer)\b|tous droits réservés|^partager\b.{0,30}$|^\d+ commentaires?$",
+    r"\bcookies\b.*\b(aceptar|rechazar|configurar)\b|todos los derechos reservados|^compartir\b.{0,30}$|^\d+ comentarios?$|\bboletín\b",
+    r"\bcookie\b.*\b(принять|настроить)\b|все права защищены|^поделиться\b.{0,20}$|^комментари\w+:? \d+$|подписаться на рассылку",
+    r"cookie.*(接受|设置)|版权所有|^分享到|^评论.{0,3}\d+|订阅",
+    r"(クッキー|cookie).*(許可|同意|設定)|無断転載|^この.{0,4}を共有|^コメント ?\d+|メールマガジン|購読中",
 ]

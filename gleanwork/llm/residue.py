@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.llm import residue_words as W
-from gleanwork.llm.boilerplate import _in_code, furniture_lines, read_lines, repaired
+from gleanwork.llm.boilerplate import furniture_lines, read_lines, repaired
 from gleanwork.llm.caps import url_host
 from gleanwork.session import spread
 
@@ -32,10 +32,7 @@ _lines = lambda text: [x for x in text.strip().split("\n") if x]
 NOTICES, NOTICE_TITLES, FILLERS = _lines(W.NOTICES), _lines(W.NOTICE_TITLES), _lines(W.FILLERS)
 LATIN, FIELDS = frozenset(W.LATIN.split()), frozenset(W.FIELDS.split())
 
-_PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|[$#]\{[^{}\n]{1,60}\}|(?:<|&lt;)%=?[^%\n]{1,60}%(?:>|&gt;)|%%[A-Z][A-Z_]{1,40}%%|%[A-Z][A-Z_]{2,40}%|__[A-Z][A-Z_]{1,40}__"
-    r"|\*\|[A-Z:_]{2,40}\|\*|\[\[[a-z_ ]{2,40}\]\]|\[[A-Z][A-Za-z]+(?:[ -][A-Z][A-Za-z]*)+\]|\[[A-Z]{2,}(?:[-_][A-Z]{2,})+\]|\{\d\}|\{[a-z_]{2,20}\}"
-)
+_PLACEHOLDER = re.compile(W.PLACEHOLDER)
 _QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|'[^'\n]{1,80}'|`[^`\n]{1,80}`|“[^”\n]{1,80}”|„[^“\n]{1,80}“|«[^»\n]{1,80}»|‘[^’\n]{1,80}’|「[^」\n]{1,80}」")
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -117,8 +114,7 @@ def text_residue(content: str | None, title: str | None = None, host: str | None
     lines = read_lines(content)
     if template or found["filler"] or found["latin"] >= 3:
         for line in lines:
-            raw = content.split("\n", line.no)[line.no - 1]
-            if template and not (line.path[:4] == "code" and (raw.lstrip().startswith("<") or _in_code(content, line.no))) and _placeholders(line.text or raw):
+            if template and not (line.mark == "code" and (line.raw.lstrip().startswith("<") or line.fenced)) and _placeholders(line.text or line.raw):
                 return True
             bare = _QUOTED.sub(" ", line.text).lower()
             if any(x in bare and len(x) >= COVERAGE * len(bare) for x in FILLERS) or len(line.text) > 30 and _latin(line.text):

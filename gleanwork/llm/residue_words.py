@@ -112,3 +112,9 @@ pulvis sol vestra cetera rota vitrum mundi tellus moribus nec undae parvum ficta
 # Names of fields that a template fills with content.
 FIELDS = """title site name author user page post article section summary body content headline byline date published company address email customer
 order price product description first last list archive heading url image tag category count total end start block render unsubscribe variable"""
+
+# Pattern of placeholders of template languages, mail systems, build scripts and message catalogues.
+PLACEHOLDER = (
+    r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|[$#]\{[^{}\n]{1,60}\}|(?:<|&lt;)%=?[^%\n]{1,60}%(?:>|&gt;)|%%[A-Z][A-Z_]{1,40}%%|%[A-Z][A-Z_]{2,40}%|__[A-Z][A-Z_]{1,40}__|@@[A-Z][A-Z_]{1,40}@@"
+    r"|\*\|[A-Z:_]{2,40}\|\*|\[\[[a-z_ ]{2,40}\]\]|\[[A-Z][A-Za-z]+(?:[ -][A-Z][A-Za-z]*)+\]|\[[A-Z]{2,}(?:[-_][A-Z]{2,})+\]|\{\d\}|\{[a-z_]{2,20}\}|^[a-z]+(?:\.[a-z_]+)*\.[a-z]+_[a-z_]+$"
+)

@@ -1,48 +1,45 @@
 """Values that lost their end, and how often each source cuts.
 
-Lengths are recomputed as characters, UTF-8 bytes, UTF-16 units, double-byte cells, and after entity escaping, JSON
-escaping and newline conversion. Counted by source and ending, each exposes the limits at which a source
-stores: a length at which values pile up and beyond which next to none are found. Endings are then
-inspected: marks of a cut, prompts to read on, open fences, tags and links, and sentences that stop. A bare "..." is a
-mark unless the same closing words stand in several sources at any length; a list or command is cut only at a
-limit. What starts a sentence rather than a heading is counted over all values.
+Lengths are recomputed as characters, UTF-8 bytes, UTF-16 units, bytes of GBK, Shift-JIS and Latin-1 with character references,
+and after entity escaping, JSON escaping and newline conversion. Counted by source and ending, each exposes the limits at
+which a source stores: a length up to which values pile up, within a few units or a word, with next to nothing
+beyond. Then endings are inspected: a value at a limit of its source is cut unless a sentence ends there, whatever
+else it looks like, and a bare "..." is a mark at a limit only. Away from limits a value is cut if it bears a mark,
+a prompt to read on, an open fence, tag or link, if its last sentence stops, or if its last word is the start of
+one. What is a word, and what starts a sentence rather than a heading, is counted over all values and joined.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from html import escape
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanwork.llm import truncation_words as W
-from gleanwork.llm.bounded import most_counted
-from gleanwork.llm.boilerplate import _NOTICE, ITEMS, _cut_short, _in_code, furniture_lines, read_lines
+from gleanwork.llm.boilerplate import _NOTICE, ITEMS, _cut_short, furniture_lines, read_lines, with_templates
 from gleanwork.llm.caps import url_host
-from gleanwork.llm.lookalike import SHAPES
 from gleanwork.session import spread, written
 
-MEASURES = ("chars", "utf8", "utf16", "double_byte", "entities", "json", "crlf")
-#: Documented bound of the model, none of the corpus: beginnings of sentences and closing words kept.
-MOST_PHRASES = 50_000
-#: A limit needs so many values at it, so many times the usual number of the lengths before it, less than this share
-#: beyond, and values in so many of 63 hash buckets, as a text that is repeated makes no limit.
+MEASURES = ("chars", "utf8", "utf16", "gbk", "shift_jis", "latin1", "entities", "json", "crlf")
+#: How far below a limit values may end: at it, where a character would be split, and where a word would be.
+SLACKS = (0, 3, 16)
+#: A limit needs so many values within the widest slack, at so many times the density of the lengths before, less than this
+#: share beyond, and last characters in so many of 63 hash buckets, as a closing that is repeated makes no limit.
 PILE, TIMES, BEYOND, VARIED = 10, 4, 0.02, 7
+#: The least slack that holds this share of the pile is the limit's.
+HELD = 0.8
 #: A word in use stands in so many places within lines. What ends a line is the start of one if it stands anywhere
 #: less than this share as often as the longer word within lines; last words, cut or not, are no longer words.
 USED, FRAGMENT_SHARE = 4, 0.02
-#: A closing is stock if it stands in so many sources and is this share of the values that end in "...".
-STOCK_SOURCES, STOCK_SHARE = 3, 0.001
+#: Times a beginning must have been seen to tell sentences from headings.
+SEEN = 5
 
 _INVISIBLE = re.compile("[\\u00ad\\u034f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufeff\\ufe00-\\ufe0f]")
 _MARK = re.compile(r"(?:" + "|".join(re.escape(m) for m in sorted(W.MARKS, key=len, reverse=True)) + r")\)?$")
@@ -51,7 +48,6 @@ _INNER = re.compile(r"[.!?][\"”’»)]* +\S|[。！？]")
 _SUFFIX = re.compile(r" \(\d[\d,.]* [^()]{1,12}\)$")
 _PREFIX = re.compile(r"^(?:[^|]{0,120}\| [^|]{1,30} \| [^|]{1,40} \| |\[[^\]]{1,20}\] |(?:[^\s.]{1,3}\. \S+, )*[^\s.]{1,3}\. \S+ et al\. — |(?:[^\s.]{1,3}\. \S+, )*[^\s.]{1,3}\. \S+ — |\w{3,9} \d{1,2}, \d{4} — |… )")
 _CODE = re.compile(r"[{}_=$<>\\]|;$|\w\(|^\W*[A-Z]{2,} |^[\w.\"-]+:( |$)|^--|^error\b")
-_ALIKE = str.maketrans(SHAPES)
 _LAST_WORD = re.compile(r"[^\W\d_]+$")
 _TAGS = re.compile(r"<[^>]*>")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -82,15 +78,6 @@ def beginning(sentence: str) -> str:
     return " ".join(s.lower().split(" ", 2)[:2])
 
 
-def closing(text: str) -> str:
-    """The words after the last finished sentence, with the mark."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_ALIKE)
-    body = _MARK.sub("", text).rstrip()
-    cut = max((m.end() - 1 for m in _INNER.finditer(body)), default=0)
-    return text[cut:].strip()
-
-
 def ending(text: str) -> str:
     """`mark`, `dots` (a bare ...), `full`, or `open`."""
     m = _MARK.search(text)
@@ -99,96 +86,81 @@ def ending(text: str) -> str:
     return "full" if _FULL.search(text) else "open"
 
 
-@dataclass
-class Habits:
-    """What the corpus shows: limits by (field, source, measure, ending), beginnings, stock closings."""
-
-    limits: dict[tuple[str, str, str, str], int] = field(default_factory=dict)
-    sentence: dict[str, float] = field(default_factory=dict)
-    stock: frozenset[str] = frozenset()
-    #: Words of lists, headings and commands, sorted, and how often each stands anywhere, and within a line, not at its end.
-    words: list[str] = field(default_factory=list)
-    uses: list[int] = field(default_factory=list)
-    inner: list[int] = field(default_factory=list)
-
-    def within_word(self, text: str) -> bool:
-        """Whether text ends in what is no word of its kind of line but the start of one."""
-        m = _LAST_WORD.search(unicodedata.normalize("NFC", text))  # a loose accent ends no word
-        if not m or _CJK.search(m[0]):
-            return False
-        word = m[0].lower()
-        i = bisect_left(self.words, word)
-        own = 0
-        if i < len(self.words) and self.words[i] == word:
-            own, i = self.uses[i], i + 1
-        longer = 0
-        while i < len(self.words) and self.words[i].startswith(word):
-            longer, i = max(longer, self.inner[i]), i + 1
-        return longer >= USED and own < FRAGMENT_SHARE * longer
-
-    def at_limit(self, name: str, source: str | None, text: str, kind: str, slack: int = 0) -> bool:
-        for measure, n in lengths(text).items():
-            limit = self.limits.get((name, source or "", measure, kind))
-            if limit is not None and limit - slack <= n <= limit:
-                return True
-        return False
+def last_word(text: str) -> str | None:
+    """The word that text ends in, in lower case; null if it ends in none or in one of an unspaced script."""
+    m = _LAST_WORD.search(unicodedata.normalize("NFC", text) if not text.isascii() else text)  # a loose accent ends no word
+    return None if not m or _CJK.search(m[0]) else m[0].lower()
+
+
+def lengths(text: str) -> tuple[int, ...]:
+    """The lengths of text by each of MEASURES."""
+    n, breaks = len(text), text.count("\n")
+    escaped = len(escape(text)) if "&" in text or "<" in text or ">" in text or '"' in text or "'" in text else n
+    json = n + text.count('"') + text.count("\\") + breaks
+    if text.isascii():
+        return n, n, n, n, n, n, escaped, json, n + breaks
+    astral = sum(c > "\uffff" for c in text)
+    high = sum(c > "\x7f" for c in text)
+    coded = lambda codec, errors="replace": len(text.encode(codec, errors))
+    return n, coded("utf-8", "surrogatepass"), n + astral, coded("gbk"), coded("shift_jis"), coded("latin-1", "xmlcharrefreplace"), escaped, json + 5 * high + 6 * astral, n + breaks
+
+
+def unmarked(text: str) -> str:
+    """text without the mark of a cut at its end."""
+    return _MARK.sub("", text).rstrip()
+
+
+#: (field, source, ending) -> (place among MEASURES, length, slack).
+Limits = dict[tuple[str, str, str], tuple[int, int, int]]
 
 
-def lengths(text: str) -> dict[str, int]:
-    high = sum(c > "\x7f" for c in text) if not text.isascii() else 0
-    quotes, breaks = text.count('"'), text.count("\n")
-    return {
-        "chars": len(text), "utf8": len(text.encode("utf-8", "surrogatepass")), "utf16": len(text.encode("utf-16-le", "surrogatepass")) // 2, "double_byte": len(text) + high,
-        "entities": len(text) + 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * quotes, "json": len(text) + quotes + text.count("\\") + breaks + 5 * high, "crlf": len(text) + breaks,
-    }
+def at_limit(limits: Limits, name: str, source: str | None, text: str, kind: str) -> bool:
+    found = limits.get((name, source or "", kind))
+    return found is not None and found[1] - found[2] <= lengths(text)[found[0]] <= found[1]
 
 
-def _lengths(texts: pa.Array) -> np.ndarray:
-    """lengths() of a batch, a column for each measure."""
-    n = lambda a: pc.fill_null(a, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    chars, utf8 = n(pc.utf8_length(texts)), n(pc.binary_length(texts))
-    high = n(pc.count_substring_regex(texts, "[^\\x00-\\x7F]"))
-    astral = n(pc.count_substring_regex(texts, "[\\x{10000}-\\x{10FFFF}]"))
-    of = lambda s: n(pc.count_substring(texts, s))
-    quotes, breaks = of('"'), of("\n")
-    return np.stack([chars, utf8, chars + astral, chars + high, chars + 4 * of("&") + 3 * (of("<") + of(">")) + 5 * quotes, chars + quotes + of("\\") + breaks + 5 * high, chars + breaks], axis=1)
+#: What inspection says of a value: lost its end, whole, or open to what is counted.
+CUT, WHOLE = (True, None, None, False), (False, None, None, False)
 
 
-def _sentence_like(text: str, habits: Habits) -> bool:
-    """Whether an open text of one clause is the start of a sentence, not a list, heading or command."""
+def asked(text: str, unknown: bool) -> tuple[bool, str | None, str | None, bool]:
+    """(False, last word, beginning, whether an unknown beginning means a cut): cut if the word is a fragment or the beginning one of sentences."""
+    sentence, key = _sentence_like(text)
+    return False, last_word(text), key, sentence and unknown
+
+
+def _sentence_like(text: str) -> tuple[bool, str | None]:
+    """Whether an open text of one clause is the start of a sentence, not a list, heading or command; and the beginning that can tell better."""
     if _CODE.search(text):
-        return False
+        return False, None
     if _CJK.search(text):
         items = re.split("[、,，] ?", text)
-        return any(c in W.SENTENCE_CHARS for c in text) and not (len(items) > 1 and all(len(i) <= 10 and not re.search("[的在了却就把是はがをだ]", i) for i in items))
+        listed = len(items) > 1 and all(len(i) <= 10 and not re.search("[的在了却就把是はがをだ]", i) for i in items)
+        return any(c in W.SENTENCE_CHARS for c in text) and not listed, None
     first = text.lstrip("\"'“”‘’«»„¿¡ *_")[:1]
     if first.islower() or not first:
-        return False
-    known = habits.sentence.get(beginning(text))
-    if known is not None:
-        return known >= 0.5
+        return False, None
     words = text.split()
-    return len(words) >= 4 or len(words) == 1 and len(text) <= 2
+    return len(words) >= 4 or len(words) == 1 and len(text) <= 2, beginning(text)
 
 
-def snippet_cut(text: str | None, source: str | None, habits: Habits) -> bool:
-    """Whether a snippet lost its end."""
+def snippet_cut(text: str | None, source: str | None, limits: Limits) -> tuple[bool, str | None, str | None, bool]:
+    """Whether a snippet lost its end, as CUT, WHOLE or asked()."""
     if not text or not text.strip():
-        return False
+        return WHOLE
     s = bare(text)
     kind = ending(s)
     if kind == "mark":
-        return True
-    if kind == "dots":
-        return closing(s) not in habits.stock
+        return CUT
     if kind == "full":
-        return False
-    if s.endswith("�") or _INNER.search(s) or habits.at_limit("snippet", source, plain(text), "open"):
-        return True
-    first = s.lstrip("\"'“”‘’«»„¿¡ *_")[:1]
-    if first.isupper() and not _CODE.search(s):
-        return True
-    return _sentence_like(s, habits) or habits.within_word(s)
+        return WHOLE
+    if at_limit(limits, "snippet", source, unmarked(s), kind):
+        return CUT
+    if kind == "dots":
+        return False, last_word(unmarked(s)), None, False
+    if s.endswith("�") or _INNER.search(s):
+        return CUT
+    return asked(s, True)
 
 
 def _html_open(raw: str) -> bool:
@@ -198,58 +170,55 @@ def _html_open(raw: str) -> bool:
     return bool(m) and m[1].lower() not in ("br", "hr", "img", "input", "meta", "link") and not s.endswith((f"</{m[1]}>", "/>", f"<{m[1]}>"))
 
 
-def content_cut(content: str | None, layer: str | None, title: str | None, host: str | None, habits: Habits) -> bool:
-    """Whether a page text lost its end, be it followed by furniture or prompts."""
+def content_cut(content: str | None, layer: str | None, title: str | None, host: str | None, limits: Limits, repeated: frozenset[str] = frozenset(), sums: dict | None = None) -> tuple[bool, str | None, str | None, bool]:
+    """Whether a page text lost its end, be it followed by furniture or prompts, as CUT, WHOLE or asked()."""
     if not content or not content.strip():
-        return False
+        return WHOLE
     raws = content.rstrip().split("\n")
     end = raws[-1].strip()
     if end in W.NOTES or end.endswith(tuple(W.NOTES)):
-        return True
+        return CUT
+    kind = ending(plain(raws[-1]))
     lines = read_lines(content)
     fences = sum(raw.lstrip().startswith("```") for raw in raws)
     if fences % 2 and not _closed_later(raws):
-        return True
+        return CUT
     html = sum(raw.lstrip().startswith("<") for raw in raws)
     if html > len(lines) / 2 and _html_open(end) or end.startswith("<") and ">" not in end or re.match(r"([*+-] )?\[[^\]]*(\](\([^)]*)?)?$", end) and "](" in content.replace(end, ""):
-        return True
-    gone = set(furniture_lines(content, title, host, frozenset()))
+        return CUT
+    gone = set(furniture_lines(content, title, host, repeated, sums, lines))
     labels = (host or "").split(".")
     brand = labels[-2] if len(labels) > 1 else labels[0]
     last = lines[-1]
+    if kind != "full" and not _NOTICE.search(end.lower()) and at_limit(limits, "content", layer, unmarked(plain(content)), kind) and not (last.no in gone and last.text in ITEMS):
+        return CUT
     if len(lines) > 1 and last.no in gone and _broken_furniture(last.text, brand):
-        return True
+        return CUT
     body = [x for x in lines if x.no not in gone]
     prompted = False
     while body and body[-1].text in W.PROMPTS:
         prompted = True
         body.pop()
     if prompted:
-        return True
+        return CUT
     if not body:
-        return False
+        return WHOLE
     x = body[-1]
     s = plain(x.text)
     kind = ending(s)
     if _NOTICE.search(s.lower()):
-        return False  # an error page is whole as it is
-    if kind == "dots" and x.no == last.no and habits.at_limit("content", layer, content, "dots"):
-        return True
-    if kind in ("mark", "dots"):
-        return len(s) > 12 and closing(s) not in habits.stock and not s.lower().startswith(("loading", "please wait"))
+        return WHOLE  # an error page is whole as it is
+    if kind == "mark":
+        return CUT if len(s) > 12 and not s.lower().startswith(("loading", "please wait")) else WHOLE
+    if kind == "dots":
+        return False, last_word(unmarked(s)), None, False
     if kind == "full":
-        return False
-    if x.no == last.no and habits.at_limit("content", layer, content, "open"):
-        return True
-    if x.no == last.no and habits.within_word(s):
-        return True
-    if s == (title or "").strip() or x.path in ("#", "h1", "h2", "h3") or x.path[:1] in ("-", "*", "+", "1") or x.path.startswith("li") or x.path == "code" or _in_code(content, x.no):
-        return False
-    if s.endswith("�") and len(s) > 20:
-        return True
-    if _INNER.search(s):
-        return True
-    return len(body) > 0 and _sentence_like(s, habits) and not (x.no != last.no and habits.sentence.get(beginning(s)) is None)
+        return WHOLE
+    if s == (title or "").strip() or x.mark in ("#", "h1", "h2", "h3") or x.item() or x.mark == "code":
+        return (False, last_word(s), None, False) if x.no == last.no else WHOLE
+    if s.endswith("�") and len(s) > 20 or _INNER.search(s):
+        return CUT
+    return asked(s, True) if x.no == last.no else (False, None, _sentence_like(s)[1] if _sentence_like(s)[0] else None, False)
 
 
 def _closed_later(raws: list[str]) -> bool:
@@ -267,11 +236,10 @@ def _broken_furniture(text: str, brand: str) -> bool:
     return text not in ITEMS and _cut_short(text, brand, frozenset())
 
 
-def _count_habits(values: DataFrame) -> DataFrame:
-    """(kind, a, b, c, n, varied): counts of lengths (field and source, measure and ending, length), beginnings and closings.
+def _counted(values: DataFrame) -> DataFrame:
+    """(kind, a, b, c, n, bits): counts of lengths (field and source, measure and ending, length), beginnings and words.
 
-    values: (field, source, text). varied: in how many of 63 hash buckets texts of that length are. Partial sums
-    leave each task.
+    values: (field, source, text). bits: map of 63 hash buckets of the last characters at that length. Partial sums leave each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,119 +252,154 @@ def _count_habits(values: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "c", "n", "bits"])
 
         for batch in batches:
-            names, sources, texts = (batch.column(i).to_pylist() for i in range(3))
-            sizes = _lengths(batch.column(2)).tolist()
-            for name, source, text, size in zip(names, sources, texts, sizes):
+            for name, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if not text or not text.strip():
                     continue
-                seen = plain(text)
-                s = bare(text) if name == "snippet" else seen.rsplit("\n", 1)[-1]
-                kind = ending(s)
-                where = f"{name}\t{source or ''}"
-                if len(seen) != len(text):
-                    size = list(lengths(seen).values())
-                bit = 1 << zlib.crc32(s[-40:].encode("utf-8", "surrogatepass")) % 63
-                for measure, n in zip(MEASURES, size):
-                    held = counts["length", where, f"{measure}\t{kind}", n]
-                    held[0] += 1
-                    held[1] |= bit
-                if kind == "dots":
-                    counts["closing", closing(s), source or "", 0][0] += 1
+                s = bare(text) if name == "snippet" else plain(text)
+                end = s if name == "snippet" else s.rsplit("\n", 1)[-1]
+                kind = ending(end)
+                if kind != "full":
+                    held_text = unmarked(s)
+                    where, bit = f"{name}\t{source or ''}", 1 << zlib.crc32(held_text[-8:].encode("utf-8", "surrogatepass")) % 63
+                    for measure, n in zip(MEASURES, lengths(held_text)):
+                        held = counts["length", where, f"{measure}\t{kind}", n]
+                        held[0] += 1
+                        held[1] |= bit
                 for line in (text.split("\n") if name == "content" else (s,)):
                     line = line.strip()
-                    if line[:1] not in ("", "<", "[", "-", "*", "#", "{", "}") and len(line) > 8:
-                        whole = _FULL.search(line)
-                        first = _INNER.split(line, 1)[0]
-                        if whole or first is not line:
-                            counts["beginning", beginning(line), "", 1][0] += 1
-                        elif not _MARK.search(line):
-                            counts["beginning", beginning(line), "", 0][0] += 1
-                    if 1 < len(line) <= 80 and not _FULL.search(line) and not _MARK.search(line):
+                    if not line:
+                        continue
+                    whole = _FULL.search(line) is not None
+                    if line[0] not in "<[-*#{}" and len(line) > 8 and (whole or not _MARK.search(line)):
+                        counts["beginning", beginning(line), "", int(whole or _INNER.search(line) is not None)][0] += 1
+                    if not whole and not _MARK.search(line):
                         seen = (line if line[0] != "<" else _TAGS.sub("", line)).rstrip()
-                        found = _LETTERS.findall(seen)
+                        found = _LETTERS.findall(seen.lower())
                         for word in found:
-                            counts["word", word.lower(), "", 1][0] += 1
-                        if found and seen.endswith(found[-1]):  # the last word may be cut
-                            counts["word", found[-1].lower(), "", 1][0] -= 1
-                            counts["word", found[-1].lower(), "", 0][0] += 1
+                            counts["word", word, "", 1][0] += 1
+                        if found and seen[-1:].isalpha():  # the last word may be cut
+                            counts["word", found[-1], "", 1][0] -= 1
+                            counts["word", found[-1], "", 0][0] += 1
             if len(counts) > 200_000:
                 yield emit()
         yield emit()
 
     partial = values.mapInArrow(run, "kind string, a string, b string, c long, n long, bits long")
-    return partial.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("bits")).alias("varied"))
+    return partial.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
 
 
 def find_limits(counts: DataFrame) -> DataFrame:
-    """(a, b, c): of each source and ending the longest length at which values pile up with next to nothing beyond.
+    """(a, b, c, slack, mass): of each source (a), measure and ending (b) the limit c, if there is one.
 
-    counts: (a, b, c, n, varied), a row for each source (a), measure and ending (b) and length (c).
+    counts: (a, b, c, n, bits), a row for each length c. Values end in [c - slack, c]; mass of them do. c is the
+    least length with next to nothing beyond.
+    """
+    by = Window.partitionBy("a", "b").orderBy("c")
+    within = {w: F.sum("n").over(by.rangeBetween(-w, 0)) for w in SLACKS}
+    widest = SLACKS[-1]
+    before = F.coalesce(F.sum("n").over(by.rangeBetween(-widest - 50, -widest - 1)), F.lit(0)) / 50
+    beyond = F.sum("n").over(Window.partitionBy("a", "b")) - F.sum("n").over(by.rangeBetween(Window.unboundedPreceding, 0))
+    marked = counts.withColumns({**{f"w{w}": m for w, m in within.items()}, "before": before, "beyond": beyond, "varied": F.bit_count(F.bit_or("bits").over(by.rangeBetween(-widest, 0)))})
+    pile = F.col(f"w{widest}")
+    found = marked.where((pile >= PILE) & (F.col("varied") >= VARIED) & (F.col("beyond") <= BEYOND * pile) & (pile >= TIMES * (widest + 1) * F.col("before")))
+    slack = F.coalesce(*(F.when(F.col(f"w{w}") >= HELD * pile, F.lit(w)) for w in SLACKS))
+    rows = found.withColumns({"slack": slack, "mass": F.coalesce(*(F.when(F.col(f"w{w}") >= HELD * pile, F.col(f"w{w}")) for w in SLACKS))})
+    return rows.groupBy("a", "b").agg(F.min_by(F.struct("c", "slack", "mass"), "c").alias("r")).select("a", "b", "r.*")
+
+
+def limits_of(counts: DataFrame) -> DataFrame:
+    """(field, source, ending, measure, length, slack, mass): of each source and ending the measure that shows a limit best.
+
+    That is the one with most values within its slack, then the least slack, then the first of MEASURES.
     """
-    by = Window.partitionBy("a", "b")
-    before = F.coalesce(F.sum("n").over(by.orderBy("c").rangeBetween(-20, -1)), F.lit(0)) / 20
-    beyond = F.coalesce(F.sum("n").over(by.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = counts.withColumns({"before": before, "beyond": beyond, "total": F.sum("n").over(by)})
-    piles = marked.where((F.col("n") >= PILE) & (F.col("varied") >= VARIED) & (F.col("n") >= TIMES * (F.col("before") + 1)) & (F.col("beyond") < BEYOND * F.col("total") + 5))
-    return piles.groupBy("a", "b").agg(F.max("c").alias("c"))
-
-
-def habits(values: DataFrame) -> Habits:
-    """Counts over all values; the driver gets a limit for each source, measure and ending, and MOST_PHRASES phrases at most."""
-    counts = written(_count_habits(values), "truncation-counts")
-    found = find_limits(counts.where("kind = 'length'")).collect()  # a row for each source, measure and ending
-    limits = {(*r[0].split("\t"), *r[1].split("\t")): r[2] for r in found}
-    starts = counts.where("kind = 'beginning'").groupBy("a").agg(F.sum(F.col("n") * F.col("c")).alias("whole"), F.sum("n").alias("n")).where("n >= 5")
-    sentence = {r[0]: r[1] / r[2] for r in most_counted(starts, "n", MOST_PHRASES).collect()}
-    stock = counts.where("kind = 'closing'").groupBy("a").agg(F.countDistinct("b").alias("sources"), F.sum("n").alias("n"))
-    dotted = stock.agg(F.sum("n")).first()[0] or 0
-    stock = stock.where((F.col("sources") >= STOCK_SOURCES) & (F.col("n") >= STOCK_SHARE * dotted))
-    words = counts.where("kind = 'word' AND length(a) > 1").groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("c")).alias("inner"))
-    known = sorted((r[0], r[1], r[2]) for r in most_counted(words, "n", MOST_PHRASES).collect())
-    return Habits(limits, sentence, frozenset(r[0] for r in most_counted(stock, "n", MOST_PHRASES).collect()), *(list(x) for x in zip(*known)))
-
-
-def _values(hits: DataFrame, pages: DataFrame) -> DataFrame:
-    """(field, row_id, source, text, title, host) of both tables; sources in one spelling."""
+    part = lambda c, i: F.split(c, "\t")[i]
+    each = find_limits(counts.where("kind = 'length'")).select(part("a", 0).alias("field"), part("a", 1).alias("source"), part("b", 1).alias("ending"), part("b", 0).alias("measure"), F.col("c").alias("length"), "slack", "mass")
+    rank = F.struct(F.col("mass"), -F.col("slack"), -F.array_position(F.array(*map(F.lit, MEASURES)), F.col("measure")))
+    return each.groupBy("field", "source", "ending").agg(F.max_by(F.struct("measure", "length", "slack", "mass"), rank).alias("r")).select("field", "source", "ending", "r.*")
+
+
+def fragments(counts: DataFrame) -> DataFrame:
+    """(word): last words of lines that are the start of a longer word in use, and no word themselves."""
+    words = counts.where("kind = 'word'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("uses"), F.sum(F.col("n") * F.col("c")).alias("inner"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    longer = words.where((F.col("inner") >= USED) & (F.length("word") > 1)).select(F.explode(starts).alias("start"), "inner").groupBy("start").agg(F.max("inner").alias("longer"))
+    last = words.where("uses > inner")
+    return last.join(longer, F.col("word") == F.col("start")).where(F.col("uses") < FRAGMENT_SHARE * F.col("longer")).select("word")
+
+
+def sentence_starts(counts: DataFrame) -> DataFrame:
+    """(start, sentence): beginnings seen SEEN times, and whether most of their lines are sentences."""
+    n = counts.where("kind = 'beginning'").groupBy(F.col("a").alias("start")).agg(F.sum(F.col("n") * F.col("c")).alias("whole"), F.sum("n").alias("n"))
+    return n.where(F.col("n") >= SEEN).select("start", (F.col("whole") >= 0.5 * F.col("n")).alias("sentence"))
+
+
+def _values(hits: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(field, row_id, source, text) of snippets, and with (title, host, layer, content) of pages; sources in one spelling."""
     name = lambda c: F.lower(F.trim(F.col(c)))
-    none = F.lit(None).cast("string")
-    a = hits.select(F.lit("snippet").alias("field"), F.col("hit_id").cast("long").alias("row_id"), name("module").alias("source"), F.col("snippet").alias("text"), none.alias("title"), none.alias("host"))
-    b = pages.select(F.lit("content").alias("field"), F.col("content_id").cast("long").alias("row_id"), name("layer_used").alias("source"), F.col("content").alias("text"), F.col("title"), url_host(F.col("url")).alias("host"))
-    return spread(a).unionByName(spread(b))
+    a = hits.select(F.lit("snippet").alias("field"), F.col("hit_id").cast("long").alias("row_id"), name("module").alias("source"), F.col("snippet").alias("text"))
+    b = pages.select(F.lit("content").alias("field"), F.col("content_id").cast("long").alias("row_id"), name("layer_used").alias("source"), "content", "title", url_host(F.col("url")).alias("host"), F.col("layer_used").alias("layer"))
+    return spread(a), spread(b)
+
+
+def _counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    texts = a.select("field", "source", "text").unionByName(b.select("field", "source", F.col("content").alias("text")))
+    return written(_counted(texts), "truncation-counts")
+
+
+def _collected(found: DataFrame) -> Limits:
+    return {(r.field, r.source, r.ending): (MEASURES.index(r.measure), r.length, r.slack) for r in found.collect()}  # a row for each source and ending
+
+
+ASKED = "field string, row_id long, source string, cut boolean, word string, start string, unknown boolean"
 
 
 def find_cut(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """(field, row_id, source): snippets of hits and texts of pages that lost their end.
 
     hits: (hit_id, module, snippet); pages: (content_id, layer_used, content, title, url). Null, empty and blank values
-    have lost nothing that can be told. Null sources are judged as one source. Other columns play no part.
+    have lost nothing that can be told. Null sources are judged as one source. Other columns play no part. The
+    counts over all values are made while this is called.
     """
-    values = _values(hits, pages)
-    held = hits.sparkSession.sparkContext.broadcast(habits(values.select("field", "source", "text")))
+    a, b = _values(hits, pages)
+    counts = _counts(a, b)
+    joined, sums = with_templates(b)
+    context = hits.sparkSession.sparkContext
+    held, of_layer = context.broadcast(_collected(limits_of(counts))), context.broadcast(sums)
+
+    def emitted(batch: pa.RecordBatch, said: list[tuple]) -> pa.RecordBatch:
+        at = [i for i, v in enumerate(said) if v[0] or v[1] is not None or v[2] is not None or v[3]]
+        took, kept = pa.array(at, pa.int64()), [said[i] for i in at]
+        kinds = (pa.bool_(), pa.string(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(took) for c in range(3)), *(pa.array([v[i] for v in kept], t) for i, t in enumerate(kinds))], names=["field", "row_id", "source", "cut", "word", "start", "unknown"])
+
+    def of_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield emitted(batch, [snippet_cut(text, source, held.value) for source, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+    def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = []
-            for i, (name, source, text, title, host) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)))):
-                if snippet_cut(text, source, known) if name == "snippet" else content_cut(text, source, title, host, known):
-                    at.append(i)
-            took = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(took) for c in range(3)], names=["field", "row_id", "source"])
+            rows = zip(*(batch.column(c).to_pylist() for c in range(2, 8)))
+            yield emitted(batch, [content_cut(content, source, title, host, held.value, frozenset(known or ()), of_layer.value.get(layer or "")) for source, content, title, host, layer, known in rows])
 
-    return values.mapInArrow(run, "field string, row_id long, source string")
+    said = a.mapInArrow(of_snippets, ASKED).unionByName(joined.select("field", "row_id", "source", "content", "title", "host", "layer", "lines").mapInArrow(of_pages, ASKED))
+    told = written(said, "truncation-asked")
+    # values alone cannot tell whether a word is a fragment; few are left to ask
+    asks = told.where("NOT cut").join(fragments(counts).withColumn("fragment", F.lit(True)), "word", "left").join(sentence_starts(counts), "start", "left")
+    late = asks.where(F.coalesce("fragment", F.lit(False)) | F.coalesce("sentence", "unknown"))
+    return told.where("cut").select("field", "row_id", "source").unionByName(late.select("field", "row_id", "source"))
 
 
 def cut_rates(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """(field, source, texts, cut, share): how often each module and layer cuts, of its values that aren't empty."""
     found = find_cut(hits, pages).groupBy("field", "source").agg(F.count("*").alias("cut")).withColumnsRenamed({"field": "f", "source": "s"})
-    total = _values(hits, pages).where("trim(text) <> ''").groupBy("field", "source").agg(F.count("*").alias("texts"))
+    a, b = _values(hits, pages)
+    values = a.select("field", "source", "text").unionByName(b.select("field", "source", F.col("content").alias("text")))
+    total = values.where("trim(text) <> ''").groupBy("field", "source").agg(F.count("*").alias("texts"))
     joined = total.join(found, (F.col("field") == F.col("f")) & F.col("source").eqNullSafe(F.col("s")), "left")
     cut = F.coalesce("cut", F.lit(0))
     return joined.select("field", "source", "texts", cut.alias("cut"), (cut / F.col("texts")).alias("share"))
 
 
 def storage_limits(hits: DataFrame, pages: DataFrame) -> DataFrame:
-    """(field, source, measure, ending, length): the limits at which values of a source pile up, by measure and ending."""
-    found = habits(_values(hits, pages).select("field", "source", "text")).limits
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("field", "source", "measure", "ending")), T.StructField("length", T.LongType())])
-    return hits.sparkSession.createDataFrame([(*k, v) for k, v in sorted(found.items())], schema)
+    """(field, source, ending, measure, length, slack, mass): the limits at which values of a source pile up, in the measure that shows each best."""
+    return limits_of(_counts(*_values(hits, pages)))

@@ -301,7 +301,7 @@ def test_cut_values(spark):
     cut = [whole[:n] for n in (30, 40)] + ["The key fits. The mod…", "The key fits. The [...]", "[Go] The key fits. The modu (48 stars)", "L. Tamzo, E. Crohul et al. — The key fits. The modu"]
     full = [whole, "key, module, cache", "return nil", "SELECT a_id FROM b", "[Go] The key fits. (48 stars)", "", None, "数据库索引、依赖包、缓存"]
     rows = [(i, "m", s, 1, "x") for i, s in enumerate(cut + full)]
-    for k in range(40):  # a stock phrase of several sources is no mark of a cut
+    for k in range(40):  # a stock phrase is no mark of a cut: its lengths pile up, but it ends alike
         rows.append((1000 + k, f"m{k % 4}", f"The key number {k} fits. And so on ...", 1, "x"))
     hits = spark.createDataFrame(rows, "hit_id long, module string, snippet string, row_id int, field string")
     articles = [(1, None, "T", f"T\n{whole}\nIt fits. It takes about 3 min\nPrivacy | Sitemap", "jina"), (2, None, "T", f"T\n{whole}\nPrivacy | Sitemap", "jina"), (3, None, None, None, None), (4, None, None, "", None), (5, None, None, f"{whole}\nRead more", None), (6, None, None, f"{whole}\n- Key", "x")]
@@ -310,25 +310,58 @@ def test_cut_values(spark):
     assert truncation.find_cut(hits.limit(0), pages(spark, [])).count() == 0
 
 
-def test_limits_are_exposed(spark):
+def _planted(codec, limit, mark=""):
+    """120 values cut at `limit` of a codec's lengths, among 120 whole ones of any length."""
     random.seed(4)
-    rows = [(i, "m", ("word " * 60 + f"{i:05d} ")[i % 7 : i % 7 + 120] if i % 2 else f"Short {i} text of {random.randint(1, 10**random.randint(1, 40))}.") for i in range(400)]
-    hits = spark.createDataFrame(rows, "hit_id long, module string, snippet string")
-    found = {(r.source, r.measure, r.ending): r.length for r in truncation.storage_limits(hits.withColumn("snippet", F.concat("snippet", F.when(F.col("hit_id") % 2 == 1, F.substring(F.md5("snippet"), 1, 0)).otherwise(""))), pages(spark, [])).collect()}
-    assert all(v <= 120 for v in found.values())
-    n = {"chars": 3, "utf8": 4, "utf16": 3, "double_byte": 4, "entities": 7, "json": 8, "crlf": 3}
-    assert truncation.lengths("é&a") == n
+    words = ["Prüfsumme", "für", "den", "Wert", "größer", "und", "Straße", "Über", "Öl", "&", "Ärzte", '"Bär"', "key", "bright"]
+    rows = []
+    for i in range(240):
+        text = f"Satz {i}: " + " ".join(random.choice(words) for _ in range(90))
+        if i % 2:
+            text = text[: random.randint(20, 60)] + "."
+        else:
+            while truncation.lengths(text)[truncation.MEASURES.index(codec)] > limit:
+                text = text[:-1]
+            text = text.rstrip() + mark
+        rows.append((i, "m", text))
+    return rows
+
+
+@pytest.mark.parametrize("measure, limit", [("chars", 120), ("utf8", 130), ("json", 200), ("entities", 150), ("latin1", 120)])
+@pytest.mark.parametrize("mark", ["", "...", "…"])
+def test_planted_limits_are_exposed(spark, measure, limit, mark):
+    hits = spark.createDataFrame(_planted(measure, limit, mark), "hit_id long, module string, snippet string")
+    found = {(r.source, r.ending): r for r in truncation.storage_limits(hits, pages(spark, [])).collect()}
+    ending = {"": "open", "...": "dots", "…": "mark"}[mark]
+    r = found["m", ending]
+    at = [truncation.lengths(truncation.unmarked(text))[truncation.MEASURES.index(measure)] for i, _, text in _planted(measure, limit, mark) if i % 2 == 0]
+    assert r.mass >= 0.8 * len(at)
+    if measure in ("chars", "utf8"):
+        assert (r.measure, r.slack <= 3) == (("chars" if measure == "chars" or r.measure == "latin1" else "utf8"), True) and limit - 1 <= r.length <= limit
+
+
+def test_limits_decide(spark):
+    """A bare ... and an open list at a limit are cut, and not where no limit is exposed."""
+    rows = _planted("chars", 120, "...")
+    listed = "; ".join(["red", "blue", "green", "grey"] * 9)[:120] + "..."
+    schema = "hit_id long, module string, snippet string"
+    got = {r.row_id for r in truncation.find_cut(spark.createDataFrame([*rows, (1000, "m", listed), (1001, "other", listed)], schema), pages(spark, [])).collect()}
+    assert 1000 in got and 1001 not in got and {i for i, _, _ in rows if i % 2 == 0} <= got | {1001} and not got & {i for i, _, _ in rows if i % 2}
+
+
+def test_lengths_by_encoding():
+    n = dict(zip(truncation.MEASURES, truncation.lengths("é&a")))
+    assert n == {"chars": 3, "utf8": 4, "utf16": 3, "gbk": 4, "shift_jis": 3, "latin1": 3, "entities": 7, "json": 8, "crlf": 3}
+    n = dict(zip(truncation.MEASURES, truncation.lengths('"字😀\n')))
+    assert (n["chars"], n["utf8"], n["utf16"], n["gbk"], n["json"], n["crlf"], n["entities"], n["latin1"]) == (4, 9, 5, 5, 22, 5, 9, 19)
 
 
 def test_a_fragment_stays_one_however_often_it_is_seen(spark):
     schema = "field string, source string, text string"
     for size in (1, 20):
         rows = [("content", "x", f"- logician of house {i}") for i in range(300 * size)] + [("content", "x", "- the logici")] * (5 * size)
-        rows += [("snippet", f"m{i % 3}", "It fits. And so on ...") for i in range(300 * size)] + [("snippet", f"m{i}", "It fits. The mod ...") for i in range(3)]
-        rows += [("snippet", "m1", f"It fits. The other {i} ...") for i in range(3000)]
-        h = truncation.habits(spark.createDataFrame(rows, schema))
-        assert h.within_word("a logici") and not h.within_word("a logician") and not h.within_word("of")
-        assert "And so on ..." in h.stock and "The mod ..." not in h.stock
+        counts = truncation.written(truncation._counted(spark.createDataFrame(rows, schema)), "t")
+        assert {r.word for r in truncation.fragments(counts).collect()} == {"logici"}
 
 
 def test_rates(spark, tiny):
