@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,16 +49,15 @@ WORDED, KNOWN, REPEATED = 0.6, 2.0, 4.0
 REPEATED_SHARE, REPEATED_PAGES = 0.3, 8
 #: On fewer pages, on three at least, the lower bound of its share (two deviations) must reach this.
 SURE_SHARE, SURE_PAGES = 0.2, 3
-#: A line is known on all hosts if it stands on so many of them, on this share of its pages outside the content, a sentence on the second.
-KNOWN_HOSTS, KNOWN_OUTSIDE, KNOWN_SENTENCE = 3, 0.6, 0.9
-#: Lines are counted by so many characters and, if longer, a hash of the whole besides.
-KEY_CHARS = 96
+#: A line is known on all hosts if it stands on so many of them and this share of all pages, which bounds how many are known, and
+#: if on the next share of its pages, a sentence on the last, it stands outside the content.
+KNOWN_HOSTS, KNOWN_SHARE, KNOWN_OUTSIDE, KNOWN_SENTENCE = 3, 2e-4, 0.6, 0.9
+#: Lines of more characters are counted by the first HEAD_CHARS and a hash of the whole.
+KEY_CHARS, HEAD_CHARS = 96, 32
 #: Before the key of an item of a list, as words of lists recur by topic and need REPEATED_SHARE for sure.
 _ITEM = "\x01"
 #: In place of the host's own name in a key.
 _BRAND = "\x02"
-#: Before the key of a line that is known on all hosts but not repeated by this one.
-_KNOWN = "\x03"
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?")
 _CLASS = re.compile(r"""class=["']?([\w -]+)""")
@@ -79,7 +80,7 @@ def masked_key(text: str, brand: str = "") -> str:
     m = _DIGITS.sub("0", text.lower())
     if brand:
         m = m.replace(brand, _BRAND)
-    return m if len(m) <= KEY_CHARS else f"{m[:KEY_CHARS]}\0{blake2b(m.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+    return m if len(m) <= KEY_CHARS else f"{m[:HEAD_CHARS]}\0{blake2b(m.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
 
 
 def _split(groups: dict[str, str]) -> set[str]:
@@ -90,6 +91,7 @@ ITEMS, SIDEBARS, HOMES = _split(W.ITEMS), _split(W.SIDEBARS), _split({"": W.HOME
 _SHAPES = re.compile("|".join(W.SHAPES), re.I)
 #: What is residue or a mark of a cut, and so no furniture.
 _NOTICE = re.compile("|".join(re.escape(x) for x in (residue_words.NOTICES + residue_words.FILLERS).strip().split("\n") if x))
+_NOTICE_SHAPE = re.compile("|".join(residue_words.NOTICE_SHAPES + residue_words.NEUTRAL_SHAPES + residue_words.FILLER_SHAPES), re.I)
 _PLACEHOLDER = re.compile(residue_words.PLACEHOLDER)
 _PROMPTS = frozenset(truncation_words.PROMPTS + truncation_words.NOTES)
 
@@ -267,7 +269,30 @@ def _row(text: str, brand: str) -> bool:
     return sum(known) >= 0.6 * len(parts) and any(p in ITEMS for p in parts)
 
 
-def _cut_short(text: str, brand: str, repeated: frozenset[str]) -> bool:
+class Lines:
+    """Keys of lines, and whether one of them starts with a text."""
+
+    def __init__(self, keys=()):
+        self.ordered = sorted(keys)
+        self.keys = frozenset(self.ordered)
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.keys
+
+    def starting(self, head: str) -> bool:
+        """Whether a key other than head starts with it; of a long key, with its first characters."""
+        long = head[:HEAD_CHARS] + "\0"
+        i = bisect_left(self.ordered, long)
+        if len(head) >= HEAD_CHARS and i < len(self.ordered) and self.ordered[i].startswith(long):
+            return "\0" not in head
+        i = bisect_right(self.ordered, head)
+        return i < len(self.ordered) and self.ordered[i].startswith(head)
+
+
+NONE = Lines()
+
+
+def _cut_short(text: str, brand: str, repeated: Lines, known: Lines = NONE) -> bool:
     """The start of a furniture line whose end is lost."""
     parts = [p for p in _BAR.split(text) if p]
     if len(parts) >= 2 and all(p in ITEMS or p.lower() == brand for p in parts[:-1]):
@@ -275,20 +300,19 @@ def _cut_short(text: str, brand: str, repeated: frozenset[str]) -> bool:
     if len(text) < 3:
         return False
     key = masked_key(text, brand)
-    head = key[:KEY_CHARS]
-    if any(p.startswith((head, _KNOWN + head)) and p.lstrip(_KNOWN) != key for p in repeated):
+    heads = [key]
+    if stem := max((n for n in range(1, len(brand)) if key.endswith(brand[:n])), default=0):
+        heads.append(key[:-stem] + _BRAND)  # the host's name itself was cut
+    if any(of.starting(h) for of in (repeated, known) for h in heads):
         return True
-    if not brand.startswith(head) and head.endswith(tuple(brand[:n] for n in range(1, len(brand)))):  # the name itself was cut
-        stem = max((n for n in range(1, len(brand)) if head.endswith(brand[:n])), default=0)
-        return any(p.startswith((head[:-stem] + _BRAND, _KNOWN + head[:-stem] + _BRAND)) for p in repeated)
-    return any(p.startswith(text) and p != text for p in ITEMS | SIDEBARS)
+    return len(heads) > 1 and (heads[1] in repeated or heads[1] in known) or any(p.startswith(text) and p != text for p in ITEMS | SIDEBARS)
 
 
-def furniture_lines(content: str, title: str | None, host: str | None, repeated: frozenset[str], layer: dict[str, list[float]] | None = None, lines: list[Line] | None = None) -> list[int]:
+def furniture_lines(content: str, title: str | None, host: str | None, repeated: Lines = NONE, known: Lines = NONE, layer: dict[str, list[float]] | None = None, lines: list[Line] | None = None) -> list[int]:
     """Numbers of the furniture lines of a page.
 
-    repeated: keys of lines that the host repeats or that are known on all hosts; layer: the sums of each path over all
-    pages of the layer; lines: those of content, if they were read before.
+    repeated: lines that the host repeats; known: those known on all hosts; layer: the sums of each path over all pages
+    of the layer; lines: those of content, if they were read before.
     """
     lines = read_lines(content) if lines is None else lines
     brand = brand_of(host)
@@ -304,10 +328,10 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
             if not text.isascii() and keys[0] not in repeated:
                 keys += [line.prefix() + masked_key(t, brand) for t in repaired(text)]
             repeats = any(k in repeated for k in keys)
-            votes = REPEATED if repeats else KNOWN if not first < i < last and any(_KNOWN + k in repeated for k in keys) else 0.0
+            votes = REPEATED if repeats else KNOWN if not first < i < last and any(k in known for k in keys) else 0.0
             own_name = KNOWN if not first < i < last and _branded(text, brand) else 0.0
             if line.value < LOW + WORDED + max(votes, own_name):  # words and what bars a line can decide
-                barred = not any(c.isalpha() for c in text) or text in _PROMPTS or _PLACEHOLDER.search(text) is not None or _NOTICE.search(text.lower()) is not None
+                barred = not any(c.isalpha() for c in text) or text in _PROMPTS or _PLACEHOLDER.search(text) is not None or _NOTICE.search(text.lower()) is not None or _NOTICE_SHAPE.search(text) is not None
                 word = "" if barred else _worded(text, brand)
                 votes = 0.0 if barred else max(votes, own_name) + WORDED if word else votes
         low = line.value < LOW + votes
@@ -358,7 +382,7 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
                 line.kind = "yes"
     if lines and lines[-1].kind in ("?", "no") and lines[-1].mark != "code":
         end = lines[-1]
-        if _cut_short(end.text, brand, repeated) and (len(lines) > 1 and lines[-2].kind == "yes" or len(end.text) > 12):
+        if _cut_short(end.text, brand, repeated, known) and (len(lines) > 1 and lines[-2].kind == "yes" or len(end.text) > 12):
             end.kind = "yes"
     return [line.no for line in lines if line.kind == "yes"]
 
@@ -424,69 +448,93 @@ def _counted(pages: DataFrame) -> DataFrame:
     return pages.select("host", "layer", "content").mapInArrow(run, "host string, layer string, line string, n long, a long, b long, outside long, chars double, ends double, linked double")
 
 
-def templates(pages: DataFrame) -> tuple[DataFrame, dict[str, dict[str, list[float]]]]:
-    """(host, lines) of all hosts and the sums of paths by layer.
+class Templates:
+    """What the counts of all pages tell about one: lines of its host, lines known on all hosts, path sums of its layer.
+
+    hosts is null where the templates of all hosts are too large to send to each task; they come with the rows then.
+    """
+
+    def __init__(self, hosts: dict[str, list[str]] | None, known: list[str], layers: dict[str, dict[str, list[float]]]):
+        self.hosts, self.known, self.layers = hosts, known, layers
+        self.read: dict[str, Lines] = {}
+
+    def __getstate__(self):
+        return self.hosts, self.known, self.layers
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+        self.known = Lines(self.known)
+
+    def of(self, host: str | None, layer: str | None, lines: list[str] | None = None) -> tuple[Lines, Lines, dict[str, list[float]]]:
+        """(repeated, known, layer) as furniture_lines takes them."""
+        key = host or ""
+        if key not in self.read:
+            if len(self.read) > 2_000:
+                self.read.clear()
+            self.read[key] = Lines((lines or ()) if self.hosts is None else self.hosts.get(key, ()))
+        return self.read[key], self.known, self.layers.get(layer or "", {})
+
 
-    pages: (host, layer, content). lines: keys of lines, code aside, that the host repeats over pages of distinct texts,
-    and of those on any of its pages that are known on all hosts. What is found depends on shares, not on the
-    number of pages. Paths of a layer are tags and marks without classes' names; those on less than
-    a ten-thousandth of its leaves are left to the page's own sums, so few rows reach the driver.
+def _host_lines(rows: DataFrame) -> tuple[DataFrame, list[str], dict[str, dict[str, list[float]]]]:
+    """((host, lines) of all hosts, the lines known on all hosts, and the sums of paths by layer).
+
+    rows: (host, layer, content). lines: keys of lines, code aside, that a host repeats over pages of distinct texts. What
+    is found depends on shares, not on the number of pages. At most lines a page / KNOWN_SHARE lines are known,
+    and paths on less than a ten-thousandth of a layer's leaves are left to the page's own sums, so both are bounded.
     """
-    counted = _counted(pages)
+    counted = _counted(rows)
     lines = counted.where("host IS NOT NULL").groupBy("host", "line").agg(F.sum("n").alias("n"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b"), F.sum("outside").alias("outside"))
     paths = counted.where("host IS NULL").groupBy("layer", "line").agg(*(F.sum(c).alias(c) for c in ("chars", "ends", "linked", "n")))
-    share = F.col("n") / F.sum("n").over(_by("layer"))
-    of_layer: dict[str, dict[str, list[float]]] = defaultdict(dict)
-    for r in paths.withColumn("share", share).where("share >= 1e-4").collect():
-        of_layer[r.layer][r.line] = [r.chars, r.ends, r.linked, float(r.n)]
-    # a line on one page of one host is neither repeated nor, but for its other hosts, known
-    counts = written(lines.where("n > 1 OR outside > 0"), "furniture-lines")
+    # read four times below; a line inside one page only is neither repeated nor known
+    both = written(lines.where("n > 1 OR outside > 0 OR line = ''").select("host", "line", "n", "a", "b", "outside", *(F.lit(None).cast("double").alias(c) for c in ("chars", "ends", "linked"))).unionByName(
+        paths.select(F.lit(None).cast("string").alias("host"), F.concat_ws("\t", "layer", "line").alias("line"), "n", *(F.lit(0).cast("long").alias(c) for c in ("a", "b", "outside")), "chars", "ends", "linked")), "furniture-counts")
+    counts = both.where("host IS NOT NULL")
+    of_path = both.where("host IS NULL").withColumn("layer", F.substring_index("line", "\t", 1))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("layer"))
+    layers: dict[str, dict[str, list[float]]] = defaultdict(dict)
+    for r in of_path.withColumn("share", share).where("share >= 1e-4").collect():
+        layers[r.layer][r.line[len(r.layer) + 1 :]] = [r.chars, r.ends, r.linked, float(r.n)]
+    pages = counts.where("line = ''").agg(F.sum("n")).first()[0] or 0
     known = counts.where("outside > 0 AND line <> ''").groupBy("line").agg(F.count("*").alias("hosts"), F.sum("n").alias("pages"), F.sum("outside").alias("outside"))
-    known = known.where((F.col("hosts") >= KNOWN_HOSTS) & (F.col("outside") >= F.when(F.col("line").rlike(_ENDED.pattern), KNOWN_SENTENCE).otherwise(KNOWN_OUTSIDE) * F.col("pages")) & ~F.startswith("line", F.lit(_ITEM))).select(F.col("line").alias("k"))
+    least = F.when(F.col("line").rlike(_ENDED.pattern), KNOWN_SENTENCE).otherwise(KNOWN_OUTSIDE)
+    known = known.where((F.col("hosts") >= KNOWN_HOSTS) & (F.col("pages") >= KNOWN_SHARE * pages) & (F.col("outside") >= least * F.col("pages")) & ~F.startswith("line", F.lit(_ITEM)))
     often = counts.where(f"n >= {SURE_PAGES} OR line = ''").select("host", "line", _distinct("n", "a", "b").alias("n"))
     total = often.where("line = ''").select("host", F.col("n").alias("pages"))
     share, z2 = F.least(F.col("n") / F.col("pages"), F.lit(1.0)), 4 / F.col("pages")
     sure = (share + z2 / 2 - F.sqrt(z2 * (share * (1 - share) + z2 / 4))) / (1 + z2)
     least = F.when(F.startswith("line", F.lit(_ITEM)), REPEATED_SHARE).otherwise(SURE_SHARE)
     many = (F.col("n") >= REPEATED_PAGES) & (share >= REPEATED_SHARE) & ~F.startswith("line", F.lit(_ITEM))
-    own = often.where(f"line NOT IN ('', '{_ITEM}') AND host <> '' AND n >= {SURE_PAGES}").join(total, "host").where(many | (sure >= least)).select("host", "line")
-    there = counts.where("outside > 0").join(known, F.col("line") == F.col("k")).select("host", F.concat(F.lit(_KNOWN), "line").alias("line"))
-    found = own.unionByName(there).groupBy("host").agg(F.collect_set("line").alias("lines"))
-    return written(found, "furniture-templates"), of_layer
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
+    own = often.where(f"line NOT IN ('', '{_ITEM}') AND host <> '' AND n >= {SURE_PAGES}").join(total, "host").where(many | (sure >= least))
+    return own.groupBy("host").agg(F.collect_list("line").alias("lines")), [r[0] for r in known.select("line").collect()], layers
 
 
-def with_templates(rows: DataFrame) -> tuple[DataFrame, dict[str, dict[str, list[float]]]]:
-    """rows with `lines`, the keys of their host's templates, and the sums of paths by layer; rows: (host, layer, content, ...).
+def with_templates(rows: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(rows with `lines`, Templates for all tasks); rows: (host, layer, content, ...), lines null but where they come with the rows.
 
-    The templates are broadcast while they are small, else joined by host, where Spark splits a host that is skewed.
+    The templates of all hosts go to the tasks while their size, which is checked, is small; beyond it they are joined
+    by host, where Spark splits a host that is skewed.
     """
-    known, of_layer = templates(rows)
-    known = known.withColumnRenamed("host", "h")
-    if small_enough(known.select(F.length(F.concat_ws("", "lines")).alias("n")), "n"):
-        known = F.broadcast(known)
-    return rows.join(known, F.coalesce("host", F.lit("")) == F.col("h"), "left").drop("h"), of_layer
+    found, known, layers = _host_lines(rows)
+    found = written(found, "furniture-templates")
+    small = small_enough(found.select(F.length(F.concat_ws("", "lines")).alias("n")), "n")
+    hosts = {r.host: r.lines for r in found.collect()} if small else None
+    held = rows.sparkSession.sparkContext.broadcast(Templates(hosts, known, layers))
+    if small:
+        return rows.withColumn("lines", F.lit(None).cast("array<string>")), held
+    return rows.join(found.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").drop("h"), held
 
 
 def _judged(pages: DataFrame, id_col: str, title_col: str, content_col: str, url_col: str, layer_col: str, run, schema) -> DataFrame:
     layer = F.col(layer_col) if layer_col in pages.columns else F.lit(None).cast("string")
     rows = spread(pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), F.col(title_col).alias("title"), F.col(content_col).alias("content"), layer.alias("layer")))
-    joined, of_layer = with_templates(rows)
-    held = pages.sparkSession.sparkContext.broadcast(of_layer)  # a few hundred paths a layer
+    joined, held = with_templates(rows)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, frozenset[str]] = {}
         for batch in batches:
             gone = []
-            for host, title, content, layer, known in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
-                gone.append(furniture_lines(content, title, host, frozenset(known or ()), held.value.get(layer or "")) if content else [])
+            for host, title, content, layer, lines in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
+                gone.append(furniture_lines(content, title, host, *held.value.of(host, layer, lines)) if content else [])
             yield run(batch, gone)
-        del sets
 
     return joined.select("id", "host", "title", "content", "layer", "lines").mapInArrow(judge, schema)
 

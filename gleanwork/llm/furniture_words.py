@@ -36,7 +36,7 @@ SHAPES = [
     r"\b\d+ (readers|subscribers|followers|abonnés|lectores|suscriptores|leser|lesern)\b.{0,40}$|\d+ ?(читател|подписчик)|\d+(位读者|人が購読)",
     r"^was this (page|article) (helpful|useful)",
     r"\bcookies\b.*\b(einverstanden|akzeptieren|einstellungen)\b|alle rechte vorbehalten|^(beitrag|artikel) teilen$|^\d+ kommentare?$",
-    r"\bcookies\b.*\b(accepter|refuser|paramétrer)\b|tous droits réservés|^partager\b.{0,30}$|^\d+ commentaires?$",
+    r"\bcookies\b.*\b(accepter|refuser|paramétrer)\b|tous droits réservés|^partager\b.{0,30}$|^abonnez-vous\b|^\d+ commentaires?$",
     r"\bcookies\b.*\b(aceptar|rechazar|configurar)\b|todos los derechos reservados|^compartir\b.{0,30}$|^\d+ comentarios?$|\bboletín\b",
     r"\bcookie\b.*\b(принять|настроить)\b|все права защищены|^поделиться\b.{0,20}$|^комментари\w+:? \d+$|подписаться на рассылку",
     r"cookie.*(接受|设置)|版权所有|^分享到|^评论.{0,3}\d+|订阅",

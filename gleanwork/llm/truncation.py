@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.llm import truncation_words as W
-from gleanwork.llm.boilerplate import _NOTICE, ITEMS, _cut_short, furniture_lines, read_lines, with_templates
+from gleanwork.llm.boilerplate import _NOTICE, ITEMS, NONE, _cut_short, furniture_lines, read_lines, with_templates
 from gleanwork.llm.caps import url_host
 from gleanwork.session import spread, written
 
@@ -170,7 +170,7 @@ def _html_open(raw: str) -> bool:
     return bool(m) and m[1].lower() not in ("br", "hr", "img", "input", "meta", "link") and not s.endswith((f"</{m[1]}>", "/>", f"<{m[1]}>"))
 
 
-def content_cut(content: str | None, layer: str | None, title: str | None, host: str | None, limits: Limits, repeated: frozenset[str] = frozenset(), sums: dict | None = None) -> tuple[bool, str | None, str | None, bool]:
+def content_cut(content: str | None, layer: str | None, title: str | None, host: str | None, limits: Limits, templates: tuple = ()) -> tuple[bool, str | None, str | None, bool]:
     """Whether a page text lost its end, be it followed by furniture or prompts, as CUT, WHOLE or asked()."""
     if not content or not content.strip():
         return WHOLE
@@ -186,7 +186,7 @@ def content_cut(content: str | None, layer: str | None, title: str | None, host:
     html = sum(raw.lstrip().startswith("<") for raw in raws)
     if html > len(lines) / 2 and _html_open(end) or end.startswith("<") and ">" not in end or re.match(r"([*+-] )?\[[^\]]*(\](\([^)]*)?)?$", end) and "](" in content.replace(end, ""):
         return CUT
-    gone = set(furniture_lines(content, title, host, repeated, sums, lines))
+    gone = set(furniture_lines(content, title, host, *templates, lines=lines))
     labels = (host or "").split(".")
     brand = labels[-2] if len(labels) > 1 else labels[0]
     last = lines[-1]
@@ -233,7 +233,7 @@ def _broken_furniture(text: str, brand: str) -> bool:
     parts = [p for p in re.split(r" +[|·/•] +| {2,}", text) if p]
     if len(parts) > 1 and all(p in ITEMS or p.lower() == brand for p in parts[:-1]):
         return parts[-1] not in ITEMS and parts[-1].lower() != brand
-    return text not in ITEMS and _cut_short(text, brand, frozenset())
+    return text not in ITEMS and _cut_short(text, brand, NONE)
 
 
 def _counted(values: DataFrame) -> DataFrame:
@@ -362,9 +362,8 @@ def find_cut(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """
     a, b = _values(hits, pages)
     counts = _counts(a, b)
-    joined, sums = with_templates(b)
-    context = hits.sparkSession.sparkContext
-    held, of_layer = context.broadcast(_collected(limits_of(counts))), context.broadcast(sums)
+    joined, templates = with_templates(b)
+    held = hits.sparkSession.sparkContext.broadcast(_collected(limits_of(counts)))
 
     def emitted(batch: pa.RecordBatch, said: list[tuple]) -> pa.RecordBatch:
         at = [i for i, v in enumerate(said) if v[0] or v[1] is not None or v[2] is not None or v[3]]
@@ -379,7 +378,7 @@ def find_cut(hits: DataFrame, pages: DataFrame) -> DataFrame:
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in range(2, 8)))
-            yield emitted(batch, [content_cut(content, source, title, host, held.value, frozenset(known or ()), of_layer.value.get(layer or "")) for source, content, title, host, layer, known in rows])
+            yield emitted(batch, [content_cut(content, source, title, host, held.value, templates.value.of(host, layer, lines)) for source, content, title, host, layer, lines in rows])
 
     said = a.mapInArrow(of_snippets, ASKED).unionByName(joined.select("field", "row_id", "source", "content", "title", "host", "layer", "lines").mapInArrow(of_pages, ASKED))
     told = written(said, "truncation-asked")
