@@ -25,18 +25,3 @@ def sampled(df: DataFrame, by: str, most: int) -> DataFrame:
         return df
     span = 1 << 30
     return df.where(F.pmod(F.xxhash64(by), F.lit(span)) < int(span * most / n))
-
-
-def most_counted(df: DataFrame, count_col: str, most: int) -> DataFrame:
-    """The rows of df with the highest counts, at most `most` of them, all of one bin of counts or none.
-
-    Counts are binned by their logarithm, a few hundred bins; only the number of rows of each bin reaches the
-    driver. Counts must be positive.
-    """
-    step = F.floor(F.log2(F.col(count_col)) * 16)
-    kept, least = 0, None
-    for r in df.groupBy(step.alias("b")).count().orderBy(F.desc("b")).collect():
-        if kept + r[1] > most:
-            break
-        kept, least = kept + r[1], r[0]
-    return df.where(step >= least) if least is not None else df.limit(0)

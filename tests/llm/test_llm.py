@@ -384,19 +384,39 @@ def test_rates(spark, tiny):
 
 
 def test_subjects_held_out(spark):
-    small = "/root/testdata/sf0.01"
-    labels = table(spark, small, "subject_labels")
-    docs = table(spark, small, "documents")
+    d = "/root/testdata/sf0.1"
+    docs, labels, names = (table(spark, d, t) for t in ("documents", "subject_labels", "subjects"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
-    got = defaultdict(set)
-    for r in subjects.assign_subjects(docs, labels.where(~held), table(spark, small, "subjects"), rounds=2).collect():
+    got, want = defaultdict(set), defaultdict(set)
+    for r in subjects.assign_subjects(docs, labels.where(~held), names).collect():
         got[r.doc_id].add(r.subject)
-    want = defaultdict(set)
     for r in labels.where(held).collect():
         want[r.doc_id].add(r.subject)
     right = sum(len(got[d] & s) for d, s in want.items())
-    assert right >= 0.6 * sum(map(len, want.values()))  # about 80 labelled documents in 7 languages
-    assert right >= 0.6 * sum(len(got[d]) for d in want)
+    assert right >= 0.9 * sum(map(len, want.values()))  # about 400 labelled documents, some of their labels wrong
+    assert right >= 0.9 * sum(len(got[d]) for d in want)
+
+
+def test_shares_equal_a_plain_count(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["red apple pie.", "The blue sea is deep.", "green tree.", "one two three!"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "doc_id long, text string, source string, labels string")
+    batch = subjects.read_texts(df).coalesce(1).orderBy("doc_id").toArrow().to_batches()[0]
+    keys = np.unique(np.concatenate([np.array(x, np.int64) for x in batch.column(5).to_pylist()]))
+    counts = np.random.default_rng(1).integers(0, 9, (len(keys), 3)).astype(float)
+    model = subjects.Terms(["a", "b", "c"], keys, np.zeros(len(keys), np.int32), counts, np.full((7, 3), 1 / 3))
+    got = np.concatenate([model.shares(read)[0] for _, read in subjects.Read.slices(batch)])
+    at = {k: i for i, k in enumerate(keys.tolist())}
+    for i, (sizes, n, terms) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+        rows, first = [], 0
+        for size, k in zip(sizes, n):
+            v = sum(model.logs[at[t]].astype(float) for t in terms[first : first + k])
+            first += k
+            top = np.sort(v)
+            rows.append((size, top[-1] - top[-2], np.exp(v - v.max()) / np.exp(v - v.max()).sum()))
+        clear = [r for r in rows if r[1] >= subjects.MARGIN] or [r for r in rows if r[1] >= subjects.FAINT_MARGIN]
+        want = sum((size * p for size, _, p in clear), np.zeros(3)) / max(sum(size for size, _, _ in clear), 1e-9)
+        assert np.allclose(got[i], want, atol=1e-4)
 
 
 def test_subjects_odd_tables(spark):
@@ -433,10 +453,10 @@ def test_beam_finds_the_likeliest_labels():
 
 
 def test_bounded_results(spark):
-    from gleanwork.llm.bounded import most_counted, sampled
+    from gleanwork.llm.bounded import sampled, small_enough
 
-    df = spark.createDataFrame([(i, float(1 + i % 50)) for i in range(1000)], "id long, n double")
-    top = [r.n for r in most_counted(df, "n", 100).collect()]
-    assert 0 < len(top) <= 100 and min(top) > 40
-    assert most_counted(df, "n", 5000).count() == 1000 and most_counted(df.limit(0), "n", 5).count() == 0
-    assert sampled(df, "id", 5000).count() == 1000 and 50 < sampled(df, "id", 100).count() <= 100
+    df = spark.createDataFrame([(i, 300) for i in range(3000)], "id long, n long")  # equal counts
+    assert sampled(df, "id", 5000).count() == 3000
+    chosen = {r.id for r in sampled(df, "id", 300).collect()}
+    assert 200 < len(chosen) < 400 and chosen == {r.id for r in sampled(df.repartition(7), "id", 300).collect()}
+    assert small_enough(df, "n", 3000 * 316) and not small_enough(df, "n", 3000 * 316 - 1) and small_enough(df.limit(0), "n")
