@@ -5,16 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# English words that carry no topic.
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might can how what when where why which who that this of in on at to for with and or"
-).split()
-
-# Patterns of lines that are page noise.
-NOISE_LINES = [
-    r"^(skip to|jump to) ", r"^(share|tweet|pin|email)( |$)", r"^(subscribe|sign up|log in|sign in)\b", r"cookie", r"^(previous|next)( |$)", r"^advertisement$",
-    r"^©", r"all rights reserved", r"^(menu|navigation|search)$", r"^loading",
-]
+from gleanwork.values import CUT_NOTE, NOISE_LINES, STOP_WORDS
 
 
 def tokens(text: Column) -> Column:
@@ -47,12 +38,12 @@ def strip_line_ends(text: Column) -> Column:
 
 
 def drop_noise(text: Column) -> Column:
-    """text without lines whose trimmed lower case matches a noise pattern; blank lines stay."""
+    """text without lines that, trimmed, begin as page noise does; blank lines stay."""
     pattern = "|".join(f"(?:{p})" for p in NOISE_LINES)
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.lower(F.trim(line)).rlike(pattern)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.trim(line).rlike(pattern)), "\n")
 
 
-def cut_to(text: Column, most: int, note: str = "\n[content truncated]") -> Column:
+def cut_to(text: Column, most: int, note: str = CUT_NOTE) -> Column:
     """text of at most `most` characters, cut back to the last blank within the last quarter, with a note if cut."""
     head = F.substring(text, 1, most)
     word = F.regexp_extract(head, r"(?s)^(.*)[ \n\t]", 1)
@@ -60,10 +51,16 @@ def cut_to(text: Column, most: int, note: str = "\n[content truncated]") -> Colu
     return F.when(F.length(text) > most, F.concat(kept, F.lit(note))).otherwise(text)
 
 
+def shortened(text: Column, most: int) -> Column:
+    """text in one line; of more than `most` characters the first, with three dots as the last of them."""
+    flat = one_line(text)
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 3), F.lit("..."))).otherwise(flat)
+
+
 def markdown_title(text: Column) -> Column:
     """The first heading of level 1 among the first 20 lines, else null."""
-    line = F.filter(F.slice(F.split(text, "\n"), 1, 20), lambda x: F.startswith(x, F.lit("# ")))
-    return F.trim(F.substring(F.get(line, F.lit(0)), 3, 1 << 20))
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 20), lambda x: F.trim(x))
+    return F.trim(F.substring(F.get(F.filter(lines, lambda x: F.startswith(x, F.lit("# "))), F.lit(0)), 3, 1 << 20))
 
 
 def media_type(content_type: Column) -> Column:
@@ -97,3 +94,15 @@ def unfenced(text: Column) -> Column:
 
 def confidence(value: Column) -> Column:
     return F.when(value.isin("high", "medium", "low", "insufficient"), value).otherwise(F.lit("medium"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """part of whole in percent; 0 of nothing."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(100.0 * part / whole)
+
+
+def milliseconds(ms: Column) -> Column:
+    """A duration as reports write it, rounded down: 850ms, 12.3s, 2m05s; null and negative ones are -."""
+    s = F.floor(ms / 1000)
+    long = F.concat(F.floor(s / 60).cast("string"), F.lit("m"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit("s"))
+    return F.when(ms.isNull() | (ms < 0), "-").when(ms < 1000, F.concat(ms.cast("bigint").cast("string"), F.lit("ms"))).when(ms < 60_000, F.concat(s.cast("string"), F.lit("."), (F.floor(ms / 100) % 10).cast("string"), F.lit("s"))).otherwise(long)

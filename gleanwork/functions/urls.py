@@ -8,11 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Query parameters that only track visits, compared in lower case.
-TRACKING = [
-    "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "utm_id", "fbclid", "gclid", "msclkid", "dclid",
-    "mc_cid", "mc_eid", "ref", "referrer", "source", "_ga", "_gl", "spm",
-]
+from gleanwork.values import TRACKING
 
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
 
@@ -28,23 +24,37 @@ def _parts(url: Column) -> tuple[Column, Column, Column, Column, Column]:
     return url.rlike(_ABSOLUTE), scheme, authority, F.substr(rest, F.length(authority) + 1), query
 
 
+def _coded(part: Column) -> Column:
+    """A name or value of a query, decoded and encoded again, so that equal ones are spelt alike; null if it can't be decoded."""
+    return F.replace(F.replace(F.url_encode(F.try_url_decode(part)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def url_key(url: Column) -> Column:
     """The key by which urls of one page agree.
 
-    Scheme and host in lower case, host without a leading www., no fragment, no tracking parameters, the others
-    sorted by name (values of one name keep their order) as name=value, no closing slashes unless the path is
-    just /. A url without scheme and host is put in lower case without closing slashes.
+    Scheme and host in lower case, host without a leading www., no fragment, no tracking parameters, the others decoded,
+    sorted by name (values of one name keep their order) and encoded again, no closing slashes unless the path is just
+    /. A pair that can't be decoded is left out, a bare ? stays. A url whose path can't be decoded is put in lower
+    case without closing slashes.
     """
     absolute, scheme, authority, path, query = _parts(url)
+    relative = F.startswith(url, F.lit("//"))
+    whole = F.substring_index(url, "#", 1)
+    before = F.substring_index(whole, "?", 1)
+    rest = F.substring(before, 3, 1 << 20)
+    authority = F.when(absolute, authority).when(relative, F.substring_index(rest, "/", 1)).otherwise(F.lit(""))
+    path = F.when(absolute, path).when(relative, F.substr(rest, F.length(authority) + 1)).otherwise(before)
+    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
     name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(name(p)).isin(TRACKING))
-    named = F.transform(kept, lambda p, i: F.struct(name(p).alias("n"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    joined = F.concat(F.lit("?"), F.array_join(F.transform(F.array_sort(named), lambda s: s["p"]), "&"))
-    bare = F.rtrim(path, F.lit("/"))
-    path = F.when(F.length(path) <= 1, path).when(bare == "", F.lit("/")).otherwise(bare)
+    named = F.transform(pairs, lambda p, i: F.struct(F.try_url_decode(name(p)).alias("n"), i.alias("i"), _coded(F.substr(p, F.length(name(p)) + 2)).alias("v")))
+    kept = F.filter(named, lambda s: s["n"].isNotNull() & s["v"].isNotNull() & ~F.lower(s["n"]).isin(TRACKING))
+    joined = F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(_coded(F.url_encode(s["n"])), F.lit("="), s["v"])), "&")
+    bare = F.when(F.contains(whole, F.lit("?")) & (query == ""), F.lit("?")).when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined))
+    path = F.when(F.length(path) <= 1, path).otherwise(F.rtrim(path, F.lit("/")))
     host = F.regexp_replace(F.lower(authority), r"^www\.", "")
-    whole = F.concat(F.lower(scheme), F.lit("://"), host, path, F.when((query == "") | (joined == "?"), F.lit("")).otherwise(joined))
-    return F.when(absolute, whole).otherwise(F.rtrim(F.lower(url), F.lit("/")))
+    start = F.when(absolute, F.concat(F.lower(scheme), F.lit("://"))).when(relative, F.lit("//")).otherwise(F.lit(""))
+    broken = F.contains(F.regexp_replace(before, "%[0-9A-Fa-f]{2}", ""), F.lit("%")) | F.startswith(url, F.lit(":"))
+    return F.when(broken, F.rtrim(F.lower(url), F.lit("/"))).otherwise(F.concat(start, host, path, bare))
 
 
 def url_authority(url: Column) -> Column:
@@ -66,6 +76,16 @@ def domain_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def domain_score(host: Column, scores: dict[str, float], default: float, docs: float) -> Column:
+    """The score of the longest domain of scores that host is or ends with, else docs for a host docs.*, else default.
+
+    scores is a configured list, held in the expression, so nothing is joined or shuffled.
+    """
+    table = F.map_from_arrays(F.array(*map(F.lit, scores)), F.array(*map(F.lit, scores.values()))) if scores else None
+    found = F.get(F.filter(F.transform(domain_suffixes(host), lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull()), F.lit(0)) if scores else F.lit(None).cast("double")
+    return F.coalesce(found, F.when(F.startswith(host, F.lit("docs.")), F.lit(docs)), F.lit(default))
+
+
 def ends_with_domain(domain: Column, pattern: Column) -> Column:
     """Whether domain is pattern or a subdomain of it, without case; false for an empty one."""
     d, p = F.lower(domain), F.lower(pattern)
@@ -80,5 +100,18 @@ def unwrap_redirect(href: Column, parameter: str = "uddg") -> Column:
 
 
 def raw_snapshot_url(url: Column) -> Column:
-    """The url of an archived page without the archive's own frame."""
-    return F.regexp_replace(url, r"/web/(\d+)/", "/web/$1id_/")
+    """The url of an archived page without the archive's own frame; one that has the mark already is left as it is."""
+    return F.when(url.rlike(r"/web/\d+id_/"), url).otherwise(F.regexp_replace(url, r"/web/(\d+)/", "/web/$1id_/"))
+
+
+def redirected(base: Column, location: Column) -> Column:
+    """Where a redirect from base leads: location itself, or resolved against base if it lacks scheme or host; null without one."""
+    absolute, scheme, authority, path, _ = _parts(base)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    site = F.concat(scheme, F.lit("://"), authority)
+    joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), location)
+    return (
+        F.when(F.coalesce(location, F.lit("")) == "", F.lit(None).cast("string")).when(location.rlike(_ABSOLUTE), location).when(~absolute, location)
+        .when(F.startswith(location, F.lit("//")), F.concat(scheme, F.lit(":"), location)).when(F.startswith(location, F.lit("/")), F.concat(site, location))
+        .when(F.startswith(location, F.lit("?")), F.concat(site, path, location)).otherwise(F.concat(site, joined))
+    )

@@ -1,37 +1,13 @@
-"""A Python data source that reads recorded answers of a source: one file for each answer, one partition for each file."""
+"""Recorded answers of sources in a folder all executors reach: one file for each answer."""
 
 from __future__ import annotations
 
-from pathlib import Path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-
-class RecordedAnswers(DataSource):
-    """spark.read.format("recorded_answers").load(folder): (task_id, payload), task_id being the file's name without its ending."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "recorded_answers"
-
-    def schema(self) -> str:
-        return "task_id string, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def partitions(self):
-        return [InputPartition(str(p)) for p in sorted(Path(self.folder).iterdir()) if p.is_file()]
-
-    def read(self, partition):
-        path = Path(partition.value)
-        yield path.stem, path.read_text(encoding="utf-8", errors="replace")
-
-
-def register(spark) -> None:
-    spark.dataSource.register(RecordedAnswers)
+def recorded_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """(task_id, payload): whole files of folder, task_id being the file's name without its ending."""
+    read = spark.read.text(folder, wholetext=True)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return read.select(F.try_url_decode(F.regexp_replace(name, r"\.[^.]*$", "")).alias("task_id"), F.col("value").alias("payload"))

@@ -21,9 +21,11 @@ def one(spark, column, value):
 @pytest.mark.parametrize(
     "url, key",
     [
-        ("https://A.com/page/", "https://a.com/page"), ("https://www.a.com/page#x", "https://a.com/page"), ("https://a.com", "https://a.com"), ("https://a.com/", "https://a.com/"),
-        ("https://a.com/p?b=2&a=1&utm_source=x", "https://a.com/p?a=1&b=2"), ("https://a.com/p?UTM_Source=x", "https://a.com/p"), ("https://a.com/p?x", "https://a.com/p?x="),
-        ("https://a.com/P?id=2&id=1", "https://a.com/P?id=2&id=1"), ("http://a.com:80/p", "http://a.com:80/p"), ("/only/path/", "/only/path"), ("", ""), (None, None),
+        ("HTTPS://Shop.Test/Cart/", "https://shop.test/Cart"), ("https://www.shop.test/cart#top", "https://shop.test/cart"), ("https://shop.test", "https://shop.test"), ("https://shop.test/", "https://shop.test/"),
+        ("https://shop.test/c?z=9&b=1&gclid=q", "https://shop.test/c?b=1&z=9"), ("https://shop.test/c?FBCLID=q", "https://shop.test/c"), ("https://shop.test/c?flag", "https://shop.test/c?flag="),
+        ("https://shop.test/C?k=b&k=a", "https://shop.test/C?k=b&k=a"), ("http://shop.test:80/c", "http://shop.test:80/c"), ("/Only/Path/", "/Only/Path"), ("", ""), (None, None),
+        ("https://shop.test/c?q=red%20tea", "https://shop.test/c?q=red+tea"), ("https://shop.test/c?q=red+tea", "https://shop.test/c?q=red+tea"), ("https://shop.test//", "https://shop.test"), ("https://shop.test/c?", "https://shop.test/c?"),
+        ("https://shop.test/c?q=caf%C3%A9&r=%zz", "https://shop.test/c?q=caf%C3%A9"), ("https://shop.test/%zz/A/", "https://shop.test/%zz/a"), ("//Shop.test/c/", "//shop.test/c"),
     ],
 )
 def test_url_key(spark, url, key):
@@ -39,12 +41,17 @@ def test_domain_endings(spark):
 
 
 def test_texts(spark):
-    assert one(spark, texts.tokens, "How does Go concurrency work?") == ["go", "concurrency", "work"]
+    assert one(spark, texts.tokens, "Which tea is the best for a cold, if any?") == ["tea", "best", "cold", "any"]
     assert one(spark, texts.collapse_newlines, "a\n\n\nb") == "a\nb"
     assert one(spark, texts.markdown_title, "x\n# Title here\ny") == "Title here"
     assert one(spark, texts.unfenced, "<think>a</think>\n```json\n{}\n```") == "{}"
     assert one(spark, texts.media_type, "Text/HTML; charset=utf-8") == "text/html"
-    assert one(spark, texts.drop_noise, "Share this\nWords\n\nAccept cookies") == "Words\n"
+    assert one(spark, texts.drop_noise, "Share this page\nWords\n\nHome > Docs > API\n© 2020 Acme") == "Words\n"
+    kept = "Browsers keep each cookie in a jar until it expires.\nNext we look at sessions."
+    assert one(spark, texts.drop_noise, kept) == kept
+    assert one(spark, lambda c: texts.shortened(c, 10), "one  two three four") == "one two..." and one(spark, texts.table_cell, "a|b\nc") == "a\\|b c"
+    took = spark.createDataFrame([(-1,), (850,), (12_340,), (125_000,), (None,)], "ms long").select(texts.milliseconds(F.col("ms")))
+    assert [r[0] for r in took.collect()] == ["-", "850ms", "12.3s", "2m05s", "-"]
     assert one(spark, lambda c: texts.cut_to(c, 10), "aaaa bbbb cccc") == "aaaa bbbb\n[content truncated]"
 
 
@@ -56,29 +63,45 @@ def test_dedup_keeps_first_and_null_groups(spark):
 
 
 def test_selection_balances_types(spark):
-    rows = [(i, 1, i, t, s) for i, (t, s) in enumerate([("web", 0.9), ("web", 0.85), ("web", 0.8), ("acad", 0.7), ("code", 0.6)])]
+    rows = [(i, 1, i, t, s) for i, (t, s) in enumerate([("shop", 0.31), ("shop", 0.77), ("shop", 0.52), ("maps", 0.44), ("mail", 0.12), ("shop", 0.52)])]
     df = spark.createDataFrame(rows, "hit_id long, question_id long, pos long, source_type string, score double")
-    assert [r.hit_id for r in hits.selected(df, 2, 4).orderBy("source_no").collect()] == [0, 1, 3, 4]
+    assert [r.hit_id for r in hits.selected(df, 1, 4).orderBy("source_no").collect()] == [1, 2, 3, 4]
     assert hits.selected(df, 10, 3).count() == 3
 
 
 def test_authority(spark):
     df = spark.createDataFrame([("https://x.go.dev/a",), ("https://docs.some.io/",), ("https://other.io/",), ("https://go.dev:443/",), (None,)], "url string")
-    table = spark.createDataFrame([("go.dev", 1.0), ("dev", 0.1)], "domain string, score double")
-    got = {r.url: r.authority for r in hits.with_authority(df, table).collect()}
+    got = {r.url: r.authority for r in hits.with_authority(df, {"go.dev": 1.0, "dev": 0.1}).collect()}
+    assert {r.authority for r in hits.with_authority(df, {}).collect()} == {0.5, 0.85}
     assert got == {"https://x.go.dev/a": 1.0, "https://docs.some.io/": 0.85, "https://other.io/": 0.5, "https://go.dev:443/": 0.5, None: 0.5}
 
 
 def test_numbering_over_buckets(spark):
     rows = [(k, i % 7, i) for k in ("a", None) for i in range(60)]
     df = spark.createDataFrame(rows, "k string, v long, id long")
-    got = ranking.numbered(df, ["k"], F.floor(F.col("v") / 2), ["v", "id"]).collect()
+    got = ranking.numbered(df, ["k"], F.floor(F.col("v") / 2), F.col("v"), "id").collect()
     for key in ("a", None):
         mine = sorted((r for r in got if r.k == key), key=lambda r: r.n)
         assert [r.n for r in mine] == list(range(1, 61))
         assert [(r.v, r.id) for r in mine] == sorted((r.v, r.id) for r in mine)
 
 
+def test_numbering_of_equal_values(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE", 16)
+    df = spark.createDataFrame([("a", 1.0, i) for i in range(500)] + [("a", 0.5, 500 + i) for i in range(30)], "k string, v double, id long")
+    got = {r.id: r.n for r in ranking.numbered(df, ["k"], F.floor(F.col("v")), F.col("v"), "id").collect()}
+    assert got == {**{500 + i: 1 + i for i in range(30)}, **{i: 31 + i for i in range(500)}}
+
+
+def test_percentiles_equal_sorting(spark):
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", None if i % 17 == 0 else (i * 7919 % 1000) / 9) for i in range(900)]
+    got = {r.k: (r.p50, r.p95, r.p0) for r in ranking.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95, "p0": 0.0}).collect()}
+    for key in {k for k, _ in rows}:
+        mine = sorted(v for k, v in rows if k == key and v is not None)
+        assert got[key] == tuple(mine[max(-(-int(len(mine) * s * 100) // 100), 1) - 1] if s else mine[0] for s in (0.5, 0.95, 0.0))
+    assert ranking.percentiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"p50": 0.5}).count() == 0
+
+
 def test_eviction_takes_the_oldest(spark):
     df = spark.createDataFrame([(f"u{i}", i * 1000 // 3) for i in range(45)], "url string, fetched_at long")
     assert sorted(r.url for r in cache.evicted(df).collect()) == ["u0", "u1", "u2", "u3"]
@@ -112,6 +135,39 @@ def test_answers(spark):
     plans = ['{"queries_by_source_type": {"code": ["a", ""]}}', '{"code": ["b"]}', "{", '{"code": []}', None]
     errors = [spark.createDataFrame([(p,)], "raw string").select(answers.parsed_plan(F.col("raw")).alias("p")).first().p.error for p in plans]
     assert errors == [None, None, "invalid plan JSON", "zero queries", "invalid plan JSON"]
+    forms = {'["a", 3, "b"]': {"general_web": ["a", "b"]}, '{"x": {"y": {"Papers": ["p"]}}, "web": ["w"], "search": ["s"]}': {"general_web": ["s", "w"], "academic": ["p"]}, '{"plan": {"queries_by_source_type": {"docs": ["d"]}}}': {"docs": ["d"]}}
+    for raw, want in forms.items():
+        got = spark.createDataFrame([(raw,)], "raw string").select(answers.parsed_plan(F.col("raw")).alias("p")).first().p
+        assert {k: sorted(v) for k, v in got.queries.items()} == want and got.error is None
+    mended = {r'{"a": "C:\dir \w \n \u00e9 \\ ok"}': r'{"a": "C:\\dir \\w \n \u00e9 \\ ok"}', '{"a": 1, \\ "b": "x"}': '{"a": 1,  "b": "x"}', '{"a": "x"}': '{"a": "x"}'}
+    for raw, want in mended.items():
+        assert one(spark, answers.mended, raw) == want
+
+
+def test_articles():
+    from gleanwork.operators.articles import main_text
+
+    page = """<html><head><title>Own  title</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="cookie-bar">We use cookies</div>
+    <div id="content"><h1>Head</h1><p>First long paragraph, with a <a href="/x">link</a> in it.</p><ul><li><a href="/1">One</a></li></ul><p>Second &amp; last.<p>Third <br>line</div>
+    <div role="complementary">Side</div><footer>Foot</footer><script>x()</script></body></html>"""
+    assert main_text(page) == ("Head\nFirst long paragraph, with a link in it.\nSecond & last.\nThird\nline", "Own title")
+    assert main_text("") == ("", "") and main_text("just text") == ("just text", "") and main_text("<p>open <b>bold") == ("open bold", "")
+    assert main_text("<div>" * 5000 + "deep")[0] == "deep"
+
+
+def test_extraction_by_type(spark):
+    rows = [(1, None, "<p>Word one.</p><nav>x</nav>", "text/html; charset=utf-8"), (2, "kept", " # T \n\n\nbody  \n", "TEXT/markdown"), (3, None, "<p>raw</p>", None), (4, None, None, "text/html"), (5, "t", "  \n ", "text/plain"), (6, None, " # T\nwords here", "text/markdown")]
+    df = spark.createDataFrame(rows, "content_id long, title string, content string, content_type string")
+    got = {r.content_id: (r.title, r.text, r.error) for r in fetching.extracted(df, 1).collect()}
+    assert got == {1: (None, "Word one.", None), 2: ("kept", "# T\nbody", None), 3: (None, "<p>raw</p>", None), 4: (None, None, "empty"), 5: ("t", None, "empty"), 6: ("T", "# T\nwords here", None)}
+    assert [r.error for r in fetching.extracted(df, 10).where("content_id = 3 OR content_id = 1").collect()] == ["too short", None]
+
+
+def test_prompts_hold_fetched_content(spark):
+    rows = [(1, 2, "web", 0.456, "u2", None, "b" * 9000, 2), (1, 1, "web", None, "u1", "T", "short", 1), (1, 3, None, 1.0, "u3", "T", None, 3)]
+    df = spark.createDataFrame(rows, "run_id long, id long, source_type string, score double, url string, title string, content string, row_id long")
+    r = answers.prompts(df).first()
+    assert r.n_sources == 2 and r.prompt.startswith("SOURCE 1 [web / score 0.00]\nURL: u1\nTitle: T\nContent:\nshort\n\nSOURCE 2 [web / score 0.46]\n") and r.prompt.endswith("b" * 8000 + "\n[content truncated]\n\n")
 
 
 def test_scores(spark):
@@ -125,7 +181,7 @@ def test_scores(spark):
 
 def test_payloads_survive_rubbish(spark):
     bad = spark.createDataFrame([(1, None), (2, ""), (3, "{"), (4, '{"error": "quota"}'), (5, "<feed>")], "task_id long, payload string")
-    for parser in (payloads.web_json, payloads.organic_json, payloads.pages_json, payloads.highlights_json, payloads.repositories_json, payloads.questions_json, payloads.result_page):
+    for parser in (payloads.web_json, payloads.organic_json, payloads.pages_json, payloads.highlights_json, payloads.repositories_json, payloads.questions_json, payloads.result_page, payloads.listed_page, payloads.container_page):
         assert parser(bad).count() == 0
     feed = '<feed><entry><title>T  x</title><summary>S</summary><author><name>A</name></author><author><name>B</name></author><author><name>C</name></author><author><name>D</name></author><link rel="self" href="s"/><link rel="alternate" href="u"/></entry></feed>'
     got = payloads.feed_xml(spark.createDataFrame([(1, feed)], "task_id long, payload string")).first()
@@ -137,8 +193,7 @@ def test_payloads_survive_rubbish(spark):
 
 def test_recorded_source(spark, tmp_path):
     (tmp_path / "t1.json").write_text('{"webpages": [{"title": "t", "link": "l", "snippet": "s"}]}')
-    recorded.register(spark)
-    got = payloads.pages_json(spark.read.format("recorded_answers").load(str(tmp_path))).collect()
+    got = payloads.pages_json(recorded.recorded_answers(spark, str(tmp_path))).collect()
     assert [(r.task_id, r.title) for r in got] == [("t1", "t")]
 
 
@@ -153,7 +208,21 @@ def test_stream_keeps_the_last_put(spark, tmp_path):
     assert {(r.url, r.content_id) for r in cache_stream.read_cache(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 4)}
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_articles_of_all_pages(spark, tiny):
+    got = queries.extracted_articles(spark, tiny).collect()
+    pages = {r.content_id: r for r in spark.read.parquet(f"{tiny}/content_cache.parquet").collect()}
+    plain = {r.content_id: r for r in queries.extracted_texts(spark, tiny).collect()}
+    assert {r.content_id for r in got} == set(pages)
+    for r in got:
+        if r.content_id in plain:
+            assert r == plain[r.content_id]
+        elif r.error is None:
+            from gleanwork.operators.articles import main_text
+
+            assert r.chars <= len(main_text(pages[r.content_id].content)[0]) + 20
+
+
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_equals_sql(spark, tiny, name):
     df = queries.queries()[name](spark, tiny)
     con = duckdb.connect()
