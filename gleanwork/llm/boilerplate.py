@@ -34,7 +34,7 @@ from gleanwork.llm import furniture_words as W
 from gleanwork.llm import residue_words, truncation_words
 from gleanwork.llm.bounded import small_enough
 from gleanwork.llm.caps import url_host
-from gleanwork.llm.mojibake import _CJK, CJK_READ, shifted, to_bytes, undone
+from gleanwork.llm.mojibake import _ANY_LEAD, _CJK, _REPLACED, CJK_READ, shifted, to_bytes, undone
 from gleanwork.session import spread, written
 
 #: Content values of 0 to about 6: a line under LOW may be furniture, one of HIGH or more is content whatever stands around it.
@@ -73,9 +73,16 @@ _ENDED = re.compile(r"[.!?。！？…:]['\"”’»」）)\]]*$")
 _DIGITS = re.compile(r"\d+")
 _CODE = re.compile(r"[{}\\]|;$| = |\w\(|^\s{2,}\S|^\t|^[a-z_.-]+:( \S+)?$|^(return|SELECT|WHERE|FROM|import|def|func|if)\b|^\$ |^error: ")
 _WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
+#: The most frequent characters of Chinese and Japanese texts.
+_FREQUENT = re.compile("[的一是不了在有和与这为以我用中大人之のはをにがでとたてるしいなれら]")
 
 
 def masked_key(text: str, brand: str = "") -> str:
+    return _masked(text, brand) if len(text) < 120 else _masked.__wrapped__(text, brand)
+
+
+@lru_cache(50_000)
+def _masked(text: str, brand: str) -> str:
     """text in lower case with 0 for any number and a mark for the host's name; of a long one the beginning and a hash of the whole."""
     m = _DIGITS.sub("0", text.lower())
     if brand:
@@ -96,9 +103,19 @@ _PLACEHOLDER = re.compile(residue_words.PLACEHOLDER)
 _PROMPTS = frozenset(truncation_words.PROMPTS + truncation_words.NOTES)
 
 
+def _may_be_garbled(text: str) -> bool:
+    """Whether a line has signs of a wrong decoding: lead bytes as letters, shifted case, or hardly a common character of an unspaced script."""
+    if _ANY_LEAD.search(text) or shifted(text):
+        return True
+    wide = len(_WIDE.findall(text))
+    return wide > 0 and 12 * len(_FREQUENT.findall(text)) < wide or _REPLACED in text
+
+
 @lru_cache(20_000)
 def repaired(text: str) -> tuple[str, ...]:
-    """What a line may have been before wrong decodings, for matching only."""
+    """What a line may have been before wrong decodings, for matching only; nothing where it has no signs of one."""
+    if not _may_be_garbled(text):
+        return ()
     once = [t for _, t in undone(text, shifted(text))]
     if _CJK.search(text):
         for read in CJK_READ:  # a last character may be lost
@@ -107,30 +124,43 @@ def repaired(text: str) -> tuple[str, ...]:
     return tuple(once + [t for o in once if not o.isascii() for _, t in undone(o, False)])
 
 
+def _shape(text: str) -> tuple[int, bool, int]:
+    """(size, whether it ends as a sentence, leaves) of the text of a line."""
+    ended = _ENDED.search(text, max(len(text) - 8, 0)) is not None
+    leaves = 1 + len(_SEPARATED.findall(text)) if "  " in text or " " in text and not ended else 1
+    return weight(text), ended, leaves
+
+
+@lru_cache(50_000)
+def _read_plain(raw: str) -> tuple[str, str, str, bool, tuple[int, bool, int]]:
+    """(mark, text, path, whether linked, shape) of a line that is no element."""
+    s = raw.strip()
+    if m := _MD_LINK.match(s):
+        mark, text, path, link = (m[1] or "").strip(), m[2].strip(), f"{(m[1] or '').strip()}/[]", True
+    elif m := _BULLET.match(s):
+        mark = m[1][0] if not m[1][0].isdigit() else "1"
+        text, path, link = s[m.end() :].strip(), m[1] if mark == "#" else mark, False
+    else:
+        mark = "code" if len(s) < 200 and _CODE.search(raw) else ""
+        text, path, link = s, mark, False
+    return mark, text, path, link, _shape(text)
+
+
 class Line:
     """A non-blank line: its text without marks, root-to-leaf path, leaves, whether it is linked, ended, in a fenced block."""
 
-    __slots__ = ("no", "raw", "text", "path", "mark", "link", "ended", "leaves", "fenced", "kind", "value", "repeated")
+    __slots__ = ("no", "raw", "text", "path", "mark", "link", "ended", "leaves", "fenced", "kind", "value", "repeated", "size")
 
     def __init__(self, no: int, raw: str, open_tags: list[str]):
-        self.no, self.raw, self.link, self.fenced, self.kind, self.value, self.repeated = no, raw, False, False, "", 0.0, False
+        self.no, self.raw, self.fenced, self.kind, self.value, self.repeated = no, raw, False, "", 0.0, False
         s = raw.strip()
         if s[0] == "<" and _TAG.match(s):
             self.mark, self.text, self.path, self.link = self._element(s, open_tags)
-        elif m := _MD_LINK.match(s):
-            self.mark, self.text, self.link = (m[1] or "").strip(), m[2].strip(), True
-            self.path = f"{self.mark}/[]"
-        elif m := _BULLET.match(s):
-            self.mark = m[1][0] if not m[1][0].isdigit() else "1"
-            self.text = s[m.end() :].strip()
-            self.path = m[1] if self.mark == "#" else self.mark
+            self.size, self.ended, self.leaves = _shape(self.text)
         else:
-            self.text, self.mark = s, ""
-            if len(s) < 200 and _CODE.search(raw):
-                self.mark = "code"
-            self.path = "/".join((*open_tags, self.mark)) if open_tags else self.mark
-        self.ended = _ENDED.search(self.text) is not None
-        self.leaves = 1 + len(_SEPARATED.findall(self.text)) if "  " in self.text or " " in self.text and not self.ended else 1
+            self.mark, self.text, self.path, self.link, (self.size, self.ended, self.leaves) = _read_plain(raw) if len(raw) < 120 else _read_plain.__wrapped__(raw)
+            if open_tags and not self.path:
+                self.path = "/".join((*open_tags, self.mark))
         self.path += "/." if self.ended else "/|" if self.leaves > 1 else "/~"
 
     @staticmethod
@@ -202,7 +232,7 @@ def path_sums(lines: list[Line]) -> dict[str, list[float]]:
     """Text length, sentence ends, linked text and leaves of each path."""
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
     for line in lines:
-        r, n = sums[line.path], weight(line.text)
+        r, n = sums[line.path], line.size
         r[0] += n
         r[1] += line.ended
         r[2] += n * line.link
@@ -225,7 +255,7 @@ def valued(lines: list[Line], layer: dict[str, list[float]]) -> None:
         fused[path] = ratio(*sums)
     raw = []
     for line in lines:
-        n = weight(line.text)
+        n = line.size
         own = ratio(n, line.ended, n * line.link, line.leaves) if n else 0.0
         raw.append((own + fused[line.path]) / 2)
     last = len(lines) - 1
@@ -246,6 +276,12 @@ def brand_of(host: str | None) -> str:
     return labels[-2] if len(labels) > 1 else labels[0]
 
 
+@lru_cache(100_000)
+def _barred(text: str) -> bool:
+    """Whether a line is no furniture whatever else it looks like: without letters, residue, or a mark of a cut."""
+    return not any(c.isalpha() for c in text) or text in _PROMPTS or _PLACEHOLDER.search(text) is not None or _NOTICE.search(text.lower()) is not None or _NOTICE_SHAPE.search(text) is not None
+
+
 @lru_cache(100_000)
 def _worded(text: str, brand: str) -> str:
     """`side`, `yes` or empty: the vote of the words of a line alone."""
@@ -331,7 +367,7 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
             votes = REPEATED if repeats else KNOWN if not first < i < last and any(k in known for k in keys) else 0.0
             own_name = KNOWN if not first < i < last and _branded(text, brand) else 0.0
             if line.value < LOW + WORDED + max(votes, own_name):  # words and what bars a line can decide
-                barred = not any(c.isalpha() for c in text) or text in _PROMPTS or _PLACEHOLDER.search(text) is not None or _NOTICE.search(text.lower()) is not None or _NOTICE_SHAPE.search(text) is not None
+                barred = _barred(text)
                 word = "" if barred else _worded(text, brand)
                 votes = 0.0 if barred else max(votes, own_name) + WORDED if word else votes
         low = line.value < LOW + votes
@@ -482,18 +518,16 @@ def _host_lines(rows: DataFrame) -> tuple[DataFrame, list[str], dict[str, dict[s
     is found depends on shares, not on the number of pages. At most lines a page / KNOWN_SHARE lines are known,
     and paths on less than a ten-thousandth of a layer's leaves are left to the page's own sums, so both are bounded.
     """
-    counted = _counted(rows)
-    lines = counted.where("host IS NOT NULL").groupBy("host", "line").agg(F.sum("n").alias("n"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b"), F.sum("outside").alias("outside"))
-    paths = counted.where("host IS NULL").groupBy("layer", "line").agg(*(F.sum(c).alias(c) for c in ("chars", "ends", "linked", "n")))
+    sums = [F.sum("n").alias("n"), F.bit_or("a").alias("a"), F.bit_or("b").alias("b"), *(F.sum(c).alias(c) for c in ("outside", "chars", "ends", "linked"))]
+    counted = _counted(rows).groupBy("host", "layer", "line").agg(*sums)
     # read four times below; a line inside one page only is neither repeated nor known
-    both = written(lines.where("n > 1 OR outside > 0 OR line = ''").select("host", "line", "n", "a", "b", "outside", *(F.lit(None).cast("double").alias(c) for c in ("chars", "ends", "linked"))).unionByName(
-        paths.select(F.lit(None).cast("string").alias("host"), F.concat_ws("\t", "layer", "line").alias("line"), "n", *(F.lit(0).cast("long").alias(c) for c in ("a", "b", "outside")), "chars", "ends", "linked")), "furniture-counts")
+    both = written(counted.where("host IS NULL OR n > 1 OR outside > 0 OR line = ''"), "furniture-counts")
     counts = both.where("host IS NOT NULL")
-    of_path = both.where("host IS NULL").withColumn("layer", F.substring_index("line", "\t", 1))
+    of_path = both.where("host IS NULL")
     share = F.col("n") / F.sum("n").over(Window.partitionBy("layer"))
     layers: dict[str, dict[str, list[float]]] = defaultdict(dict)
     for r in of_path.withColumn("share", share).where("share >= 1e-4").collect():
-        layers[r.layer][r.line[len(r.layer) + 1 :]] = [r.chars, r.ends, r.linked, float(r.n)]
+        layers[r.layer][r.line] = [r.chars, r.ends, r.linked, float(r.n)]
     pages = counts.where("line = ''").agg(F.sum("n")).first()[0] or 0
     known = counts.where("outside > 0 AND line <> ''").groupBy("line").agg(F.count("*").alias("hosts"), F.sum("n").alias("pages"), F.sum("outside").alias("outside"))
     least = F.when(F.col("line").rlike(_ENDED.pattern), KNOWN_SENTENCE).otherwise(KNOWN_OUTSIDE)
