@@ -39,6 +39,7 @@ _LIVING = frozenset(" ".join(COMMON_WORDS.values()).split()) - LATIN - {"a", "in
 
 _PLACEHOLDER = re.compile(W.PLACEHOLDER)
 _NOTICE_SHAPE, _NEUTRAL, _FILLER_SHAPE = (re.compile("|".join(x), re.I) for x in (W.NOTICE_SHAPES, W.NEUTRAL_SHAPES, W.FILLER_SHAPES))
+_TITLE_NOTICE = re.compile(r"\d* ?\W? ?(?:" + "|".join(re.escape(x) for x in sorted({y for x in NOTICES for y in (x, x.rstrip(".…"))}, key=len, reverse=True)) + ")")
 _QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|'[^'\n]{1,80}'|`[^`\n]{1,80}`|“[^”\n]{1,80}”|„[^“\n]{1,80}“|«[^»\n]{1,80}»|‘[^’\n]{1,80}’|「[^」\n]{1,80}」")
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -130,7 +131,7 @@ def title_residue(title: str | None) -> bool:
         if sum(map(len, _placeholders(t))) >= TITLE_COVERAGE * len(t.strip()):
             return True
         bare = low.rstrip(".…!")
-        if any(bare == x or bare == x.rstrip(".…") or re.fullmatch(rf"\d* ?\W? ?{re.escape(x)}", bare) for x in NOTICES):
+        if _TITLE_NOTICE.fullmatch(bare):
             return True
         if any(x in low and len(x) >= TITLE_COVERAGE * len(low) for x in FILLERS) or _FILLER_SHAPE.search(low) or _latin(t):
             return True
