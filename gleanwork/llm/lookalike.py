@@ -125,7 +125,7 @@ class Rewriter:
         for c, like in SHAPES.items():  # words with letters only Cyrillic has get their other letters back
             if _CYRILLIC.match(c) and ord(c) in range(0x410, 0x450):
                 back[ord(like)] = c
-        self.back = back
+        self.back, self.latin = back, {ord(c): like for c, like in SHAPES.items() if _CYRILLIC.match(c)}
 
     def __call__(self, text: str | None) -> str | None:
         if not text or not self.some or text.isascii():
@@ -138,9 +138,24 @@ class Rewriter:
             out.append(best)
             at = end + 1
         out = "".join(out) + text[at:]
-        if _CYRILLIC.search(out):
-            out = _WORD.sub(lambda m: m[0].translate(self.back) if _CYRILLIC.search(m[0]) else m[0], out)
-        return out
+        return self.scripted(out) if _CYRILLIC.search(out) else out
+
+    def scripted(self, text: str) -> str:
+        """text with each word in one script, whichever script represents the letters that both have.
+
+        A word with a letter that only Cyrillic has is Cyrillic, one with a letter that only Latin has is Latin; of
+        others, all of whose letters look alike in both, the script is that of most words that can be told. What
+        looks the same stays the same.
+        """
+        told = {}
+        for w in set(_WORD.findall(text)):
+            if any(_CYRILLIC.match(c) and ord(c) not in self.latin for c in w):
+                told[w] = "cyrillic"
+            elif any(c.isascii() and ord(c) not in self.back for c in w):
+                told[w] = "latin"
+        words = [told.get(w) for w in _WORD.findall(text)]
+        most = "cyrillic" if words.count("cyrillic") > words.count("latin") else "latin"
+        return _WORD.sub(lambda m: m[0].translate(self.back if told.get(m[0], most) == "cyrillic" else self.latin), text)
 
 
 def code_point_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
@@ -179,20 +194,39 @@ def uniform(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return texts.mapInArrow(run, T.StructType(fields))
 
 
+def _spellings(df: DataFrame, columns: list[str], group_col: str, id_col: str) -> DataFrame:
+    """(g, id, field, k, v): of each group and field the rows whose form is spelt in several ways, with digests of form and value."""
+    forms = uniform(df.where(F.col(group_col).isNotNull()), columns, [group_col, id_col])
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.col(f"{c}_form").alias("form")) for c in columns))
+    rows = forms.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.inline(fields)).where("value <> ''")
+    rows = written(rows.select("g", "id", "field", F.xxhash64("g", "field", "form").alias("k"), F.xxhash64("value").alias("v")), "lookalike-forms")
+    mixed = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("k")
+    return written(rows.join(mixed, "k", "left_semi"), "lookalike-mixed")
+
+
+def alike_classes(df: DataFrame, columns: list[str], group_col: str = "question_id", id_col: str = "hit_id") -> DataFrame:
+    """(field, id_col, class_id, spelling_id, links): a row for each row whose value of field has a look-alike in its group.
+
+    Rows of one class look the same, those of one spelling are equal; links is the number of rows of the class that are
+    spelt otherwise. No pairs are made, so a form that a third of all rows have costs a row each.
+    """
+    few = _spellings(df, columns, group_col, id_col)
+    of_spelling = few.groupBy("k", "v").count()
+    of_class = of_spelling.groupBy("k").agg(F.sum("count").alias("all"))
+    links = of_spelling.join(of_class, "k").select("k", "v", (F.col("all") - F.col("count")).alias("links"))
+    return few.join(links, ["k", "v"]).select("field", F.col("id").alias(id_col), F.col("k").alias("class_id"), F.col("v").alias("spelling_id"), "links")
+
+
 def alike_pairs(df: DataFrame, columns: list[str], group_col: str = "question_id", id_col: str = "hit_id") -> DataFrame:
     """(field, <id>_a, <id>_b) with id_a < id_b: pairs of rows of the same non-null group whose values of field
     look the same but differ in characters. Null and empty values form no pairs; repeated ids form none with themselves.
 
     Forms and values travel as 64-bit digests, which are compared within a group and field only. Only values of groups
     that hold two spellings of a form go on to the pair join, which pairs spellings, not rows; rows are joined to
-    the pairs of spellings last, so that nothing but result rows is enumerated.
+    the pairs of spellings last, so that nothing but result rows is enumerated. alike_classes gives the same links
+    without pairs.
     """
-    forms = uniform(df.where(F.col(group_col).isNotNull()), columns, [group_col, id_col])
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.col(f"{c}_form").alias("form")) for c in columns))
-    rows = forms.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.inline(fields)).where("value <> ''")
-    rows = written(rows.select("g", "id", "field", F.xxhash64("g", "field", "form").alias("k"), F.xxhash64("value").alias("v")), "lookalike-forms")
-    mixed = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("k")
-    few = written(rows.join(mixed, "k", "left_semi"), "lookalike-mixed")
+    few = _spellings(df, columns, group_col, id_col)
     key = ["k", "g", "field"]
     spellings = few.select(*key, "v").distinct()
     pairs = spellings.join(spellings.withColumnRenamed("v", "w"), key).where("v < w")

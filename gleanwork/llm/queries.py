@@ -39,6 +39,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, sf_dir, "search_hits"), ["title", "snippet"])
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_classes(table(spark, sf_dir, "search_hits"), ["title", "snippet"])
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.uniform(table(spark, sf_dir, "search_hits"), ["title", "snippet"], ["hit_id"]).drop("title", "snippet")
 
@@ -99,5 +103,5 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_rates, p1_limits, p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_bodies, p5_found, p5_capped, p6_found, p6_clean_share, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)
+    found = (p1_found, p1_rates, p1_limits, p2_found, p2_restored, p3_found, p3_classes, p3_forms, p4_found, p4_bodies, p5_found, p5_capped, p6_found, p6_clean_share, p7_ids, p8_windows, p8_fill, p9_found, p9_composition)
     return {f.__name__: f for f in found}
