@@ -236,4 +236,9 @@ SELECT run_id, CASE WHEN run_id % 3 = 0 AND trim(coalesce(title, '')) <> '' THEN
   '{' || array_to_string(list_filter([CASE WHEN run_id <> 0 THEN '"run_id":' || run_id END, CASE WHEN run_id % 2 = 0 AND fetched <> 0 THEN '"fetched":' || fetched END], lambda x: x IS NOT NULL), ',') || '}' AS result FROM n""",
     "report_rows": """SELECT query_id, 'no hits' AS error, coalesce(nullif(list_position(['error_troubleshooting', 'api_usage', 'version_compatibility', 'concept_explanation', 'comparison', 'fuzzy_recall', 'time_sensitive'], category), 0), 8)::BIGINT AS place
   FROM questions q WHERE NOT EXISTS (SELECT 1 FROM search_hits h WHERE h.question_id = q.question_id)""",
+    "variant_results": f"""WITH {_SCORED.replace('search_hits WHERE title', 'search_hits WHERE question_id IS NOT NULL AND title')}, {_PICK.format(k=10, n=25, src='scored')},
+p AS (SELECT DISTINCT lower({_DOMAIN}) AS h FROM content_cache WHERE url IS NOT NULL),
+b AS (SELECT question_id, lower({_DOMAIN}) AS h FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos, hit_id) AS n FROM dedup) WHERE n <= 3),
+r AS (SELECT question_id, 'baseline' AS variant, h FROM b UNION ALL SELECT question_id, 'selected', lower({_DOMAIN}) FROM picked)
+SELECT question_id, variant, count(*) AS sources, count(p.h) AS fetched, count(p.h) > 0 AS prompted FROM r LEFT JOIN p ON p.h = r.h GROUP BY question_id, variant""",
 }

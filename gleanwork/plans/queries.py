@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import texts, urls
 from gleanwork.operators import answers, cache, fetching, hits, ranking, scoring
+from gleanwork.plans import pipeline
 from gleanwork.session import table, written
 from gleanwork.sources import payloads
 from gleanwork.streaming import cache_stream
@@ -515,6 +516,16 @@ def report_rows(spark, d):
     return scoring.failures(results).select("query_id", "error", scoring.category_place(F.col("category")).alias("place"))
 
 
+def variant_results(spark, d):
+    """Sources, fetched ones and prompts of the variants of the whole path; the last page of a url's host stands for its page."""
+    host = lambda u: F.lower(urls.url_domain(u))
+    pages = cache.latest(table(spark, d, "content_cache").withColumn("url", host(F.col("url")))).select("url", "content")
+    found, asked = _hits(spark, d), pipeline.blind(table(spark, d, "questions"))
+    by_variant = {"baseline": pipeline.baseline(found), "selected": pipeline.selected_sources(asked, found, AUTHORITY)}
+    out = [pipeline.results(df.withColumn("url", host(F.col("url"))), pages, name) for name, df in by_variant.items()]
+    return out[0].unionByName(out[1]).select("question_id", "variant", "sources", "fetched", F.col("prompt").isNotNull().alias("prompted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         url_keys, deduplicated_hits, scored_hits, select_sources, planned_tasks, web_results, organic_results, highlight_results, repository_results, feed_results, page_results, fetch_chain,
@@ -522,6 +533,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         answer_texts, question_scores, category_report, extreme_questions, validation_issues, numbered_sources, hourly_hits,
         question_results, webpage_results, listed_results, container_results, collected_hits, enabled_tasks, payload_errors, recovered_plans, plan_checks, retried_plans, plan_sizes, fetched_counts,
         success_by_difficulty, success_by_layer, attempt_errors, url_forms, short_titles, latency_texts, hit_previews, repeated_titles, top_citations, cache_flow, cache_full, set_issues,
-        conversation_texts, result_texts, report_rows, extracted_articles, extracted_texts,
+        conversation_texts, result_texts, report_rows, extracted_articles, extracted_texts, variant_results,
     )
     return {f.__name__: f for f in listed}

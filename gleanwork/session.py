@@ -46,14 +46,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Deletes the tables that `written` made in this session and gives their number; results read from them must have been stored.
+
+    A pipeline calls it when its results are written, so that the shared folder does not grow with each query.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in _written:
+        p = hadoop.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as a table into the shared folder and reads it again.
 
     A lost executor then costs the running tasks only, as the files are shared. Columns are
-    kept compressed, which takes less disk than a checkpoint of rows.
+    kept compressed, which takes less disk than a checkpoint of rows. clear_written removes it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,4 +32,16 @@ def upsert_stream(puts: DataFrame, path: str, checkpoint: str):
 
 
 def read_cache(spark, path: str) -> DataFrame:
+    """The row put last of each url, over all batches."""
     return latest(spark.read.parquet(path).drop("batch"))
+
+
+def compacted(spark, path: str, target: str) -> int:
+    """Writes the cache at path as one batch into target, a new folder, and gives the number of rows kept.
+
+    The batch has the highest number in path, so a stream that goes on into target overwrites none of its own. path
+    stays as it is until its readers are done.
+    """
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    read_cache(spark, path).write.mode("overwrite").parquet(f"{target}/batch={last}")
+    return spark.read.parquet(target).count()

@@ -206,6 +206,69 @@ def test_stream_keeps_the_last_put(spark, tmp_path):
     puts = spark.readStream.schema(c).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     cache_stream.upsert_stream(puts, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert {(r.url, r.content_id) for r in cache_stream.read_cache(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 4)}
+    assert cache_stream.compacted(spark, str(tmp_path / "out"), str(tmp_path / "new")) == 2
+    assert {(r.url, r.content_id) for r in cache_stream.read_cache(spark, str(tmp_path / "new")).collect()} == {("a", 2), ("b", 4)}
+
+
+def test_streams_drop_repeats_and_count_by_hour(spark, tmp_path):
+    from gleanwork.streaming import cache_stream
+
+    rows = [(1, 1, "u", "m", "2024-01-01 10:00:00"), (2, 1, "u", "m", "2024-01-01 10:00:00"), (3, 1, "v", "m", "2024-01-01 10:59:00"), (4, 1, "v", "n", "2024-01-01 11:00:00")]
+    made = spark.createDataFrame(rows, "hit_id long, question_id long, url string, module string, t string").withColumn("found_at", F.to_timestamp("t")).drop("t")
+    made.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+    for name, df, mode in (("first", cache_stream.first_deliveries(stream), "append"), ("hours", cache_stream.hourly_counts(stream), "complete")):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.url, r.module) for r in spark.table("first").collect()} == {("u", "m"), ("v", "m"), ("v", "n")} and spark.table("first").count() == 3
+    assert sorted((r.start.hour, r.module, r.hits) for r in spark.table("hours").collect()) == [(10, "m", 3), (11, "n", 1)]
+
+
+def test_written_tables_are_cleared(spark):
+    from gleanwork import session
+
+    df = session.written(spark.range(5).toDF("id"), "t")
+    assert df.count() == 5 and session.clear_written(spark) >= 1 and session.clear_written(spark) == 0
+
+
+def test_reports(spark):
+    from gleanwork.sinks import reports
+
+    categories = spark.createDataFrame([("b", 2, 50.04, 1.0, 2.0), (None, 3, 40.0, 1.0, 2.0), ("a|x", 1, None, 1.0, 2.0)], "category string, n long, mean double, p50 double, p95 double")
+    worst = spark.createDataFrame([("best", 2, 90.0), ("worst", 1, 10.0)], "side string, id long, composite double")
+    text = reports.quality_report("T", categories, worst, "id")
+    assert text.index("| a\\|x | 1 | - | 1.0 | 2.0 |") < text.index("| b | 2 | 50.0 |") < text.index("| - | 3 | 40.0 |") < text.index("| worst | 1 | 10.0 |") < text.index("| best | 2 | 90.0 |")
+
+
+def test_fetch_report(spark, tiny):
+    from gleanwork.sinks import reports
+
+    text = reports.fetch_report("F", *(queries.queries()[q](spark, tiny) for q in ("success_by_difficulty", "success_by_type", "success_by_layer")))
+    assert text.index("| easy |") < text.index("| medium |") < text.index("| hard |") and "## Layers of successful fetches" in text
+    failed = spark.createDataFrame([("q2", "c", "late"), ("q1", "c", "a|b")], "query_id string, category string, error string")
+    assert reports.failure_list(failed) == "## Failures\n\n- q1: a\\|b\n- q2: late" and reports.failure_list(failed.limit(0)).endswith("none")
+
+
+def test_cache_flow_and_size(spark):
+    c = "url string, content string, content_type string, layer_used string, fetched_at long, ttl_seconds long"
+    stored = spark.createDataFrame([("a", "old", "t", "x", 100, 50), ("b", "dead", "t", "x", 10, 5)], c)
+    fetched = spark.createDataFrame([("a", "new", "t", "y"), ("b", "fresh", "t", "y"), ("c", None, None, None)], "url string, content string, content_type string, layer_used string")
+    results, puts = cache.coalesced(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "url string"), stored, fetched, 120)
+    assert {(r.url, r.content, r.from_cache) for r in results.collect()} == {("a", "old", True), ("b", "fresh", False), ("c", None, False), ("d", None, False)}
+    assert [(r.url, r.fetched_at, r.ttl_seconds) for r in puts.collect()] == [("b", 120, cache.DEFAULT_TTL)]
+    assert cache.evicted_if_full(stored, 8).count() == 1 and cache.evicted_if_full(stored, 9).count() == 0 and cache.evicted_if_full(stored.limit(0), 0).count() == 0
+
+
+def test_set_rules(spark):
+    s = "query_id string, pos long, category string, type string, query string, intent string, difficulty string, tech_area string, canonical_answer string, must_contain_domains array<string>, must_contain_terms array<string>, forbidden_domains array<string>, expected_source_types array<string>"
+    good = ("q1", 1, "comparison", "comparison", "q", "i", "easy", "t", "a", ["a.test", "b.test"], ["x", "y"], [], ["docs"])
+    bad = ("q1", 2, "other", "x", None, "", "odd", None, "a", ["a.test", " A.test", ""], ["x"], ["b"] * 5, ["docs", "docs", "tv"])
+    got = sorted((r.query_id, r.issue) for r in scoring.set_issues(spark.createDataFrame([good, bad], s)).collect())
+    want = [
+        "duplicate id", "empty intent", "empty query", "empty tech_area", "expected_source_types duplicate", "forbidden_domains count", "forbidden_domains duplicate", "invalid category", "invalid difficulty", "invalid source_type",
+        "must_contain_domains duplicate", "must_contain_domains empty entry", "must_contain_terms count", "type differs from category",
+    ]
+    assert [i for _, i in got] == want
+    assert scoring.set_issues(spark.createDataFrame([], s)).count() == 0
 
 
 def test_articles_of_all_pages(spark, tiny):
