@@ -25,9 +25,9 @@ def ttl_for(url: Column, rules: list[tuple[str, int]] = TTL_RULES, default: int
 def latest(rows: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "content_id")) -> DataFrame:
     """Of each key the row put last by order, with all columns: an upsert of all puts.
 
-    Only key and order, not negative whole numbers of which the last is unique, are aggregated; contents are not.
+    Only key and order, not negative whole numbers of which the last is unique, are aggregated; contents are not. Null is first.
     """
-    last = rows.select(F.col(key).alias("_k"), packed(order).alias("_r")).groupBy("_k").agg(F.max("_r").alias("_r"))
+    last = rows.select(F.col(key).alias("_k"), packed(order, 0).alias("_r")).groupBy("_k").agg(F.max("_r").alias("_r"))
     kept = last.select(unpacked(F.col("_r")).alias("_id"))
     return rows.join(kept, F.col(order[-1]) == F.col("_id"), "left_semi")
 

@@ -53,9 +53,9 @@ def keep_first(hits: DataFrame, key: Column, order: list[str], group: str = "que
     """Of each group and key the row that comes first by order, with all its columns; null groups are a group.
 
     Only group, key and order, at most two columns of whole numbers that aren't negative and of which the last is
-    unique, are aggregated, with combining before the shuffle; the rows kept are then looked up by id.
+    unique, are aggregated, with combining before the shuffle; the rows kept are then looked up by id. Null is last.
     """
-    first = hits.select(F.col(group).alias("_g"), key.alias("_k"), packed(order).alias("_r")).groupBy("_g", "_k").agg(F.min("_r").alias("_r"))
+    first = hits.select(F.col(group).alias("_g"), key.alias("_k"), packed(order, (1 << 63) - 1).alias("_r")).groupBy("_g", "_k").agg(F.min("_r").alias("_r"))
     kept = first.select(unpacked(F.col("_r")).alias("_id"))
     id_col = order[-1]
     return hits.join(kept, F.col(id_col) == F.col("_id"), "left_semi")

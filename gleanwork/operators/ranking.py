@@ -11,11 +11,14 @@ RANGE = 4096
 _STEP = "cast(9223372036854775808 as decimal(20,0))"  # 2 to the 63rd
 
 
-def packed(order: list[str] | tuple[str, ...]) -> Column:
-    """One or two columns of whole numbers that aren't negative as one fixed-width number that orders as they do, so that hashing aggregates it."""
+def packed(order: list[str] | tuple[str, ...], missing: int) -> Column:
+    """One or two columns of whole numbers that aren't negative as one fixed-width number that orders as they do, so that hashing aggregates it.
+
+    missing stands for null in all columns but the last, an id that must not be null.
+    """
     out = F.lit(0).cast("decimal(38,0)")
     for c in order:
-        out = (out * F.expr(_STEP) + F.col(c)).cast("decimal(38,0)")
+        out = (out * F.expr(_STEP) + (F.col(c) if c == order[-1] else F.coalesce(F.col(c), F.lit(missing)))).cast("decimal(38,0)")
     return out
 
 

@@ -26,7 +26,9 @@ def upsert_stream(puts: DataFrame, path: str, checkpoint: str):
     """
 
     def put(batch: DataFrame, number: int) -> None:
+        batch.persist()  # latest reads it twice
         latest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
 
     return puts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 

@@ -60,6 +60,10 @@ def test_dedup_keeps_first_and_null_groups(spark):
     got = hits.deduplicated(spark.createDataFrame(rows, HIT)).orderBy("hit_id").collect()
     assert [(r.hit_id, r.url) for r in got] == [(1, "https://www.a.com/p"), (3, "https://a.com/p")]
     assert hits.deduplicated(spark.createDataFrame([], HIT)).count() == 0
+    late = [(7, 1, None, "t", "https://shop.test/c", "s", "web", "m"), (8, 1, 5, "t", "https://shop.test/c", "s", "web", "m"), (9, 2, None, "t", "https://shop.test/c", "s", "web", "m")]
+    assert {r.hit_id for r in hits.deduplicated(spark.createDataFrame(late, HIT)).collect()} == {8, 9}
+    again = [r.asDict() for r in hits.previous(spark.createDataFrame(rows, HIT), F.lower("title"), ["hit_id"]).collect()]
+    assert [(r["hit_id"], r["first"]["hit_id"]) for r in sorted(again, key=lambda r: r["hit_id"])] == [(3, 2), (4, 2)]
 
 
 def test_selection_balances_types(spark):
