@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a table that is broadcast or collected as a model.
-MOST_CHARS = 64_000_000
+MOST_CHARS = 16_000_000
 
 
 def small_enough(df: DataFrame, size_col: str, most: int = MOST_CHARS) -> bool:

@@ -295,6 +295,29 @@ def test_a_host_repeats_its_templates(spark):
     assert got == {(i, n) for i in range(20) for n in (1, 3)}
 
 
+def test_templates_joined_by_host_give_the_same(spark, tiny, monkeypatch):
+    df = table(spark, tiny, "content_cache")
+    sent = sorted(map(tuple, boilerplate.find_furniture(df).collect()))
+    monkeypatch.setattr(boilerplate, "small_enough", lambda *a: False)
+    assert sorted(map(tuple, boilerplate.find_furniture(df).collect())) == sent and sent
+
+
+def test_ratios_decide(spark, tiny, monkeypatch):
+    """With the values of lines taken out, next to nothing is left, or lines of articles are added."""
+    rows = [r for r in table(spark, tiny, "content_cache").select("content", "title").collect()]
+    count = lambda: sum(len(boilerplate.furniture_lines(r.content, r.title, None)) for r in rows)
+    whole = count()
+    for value, least, most in ((9.0, 0, 0.05), (0.0, 1.01, 9)):
+        monkeypatch.setattr(boilerplate, "valued", lambda lines, layer, v=value: [setattr(x, "value", v) for x in lines])
+        assert least * whole <= count() <= most * whole
+
+
+def test_paths_from_root_to_leaf():
+    lines = boilerplate.read_lines("<nav>\n<ul><li><a href='/'>Home</a></li></ul>\n</nav>\n<div class='x'><p>Text here.</p>\nloose\n</div>\n```\n<p>\n```\n* [A](/a)\n## Head")
+    assert [(x.no, x.path) for x in lines if x.text] == [(2, "nav/ul/li/a/~"), (4, "div.x/p/."), (5, "div.x//~"), (7, "code"), (9, "code"), (10, "*/[]/~"), (11, "##/~")]
+    assert lines[2].text == "" and [x.path for x in boilerplate.read_lines("```\n<div>\n```\nplain")][-1] == "/~"
+
+
 def test_templates_of_any_length_end_and_number_of_pages(spark):
     notice = "Whoever reads on here lets us keep a small file on the device, and this sentence is told to each and every reader of the house in full, so that it goes on for more than two hundred characters until it ends here at last."
     bar = " | ".join(f"Quarter {c}" for c in "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz")
