@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -97,7 +98,21 @@ def _split(groups: dict[str, str]) -> set[str]:
 ITEMS, SIDEBARS, HOMES = _split(W.ITEMS), _split(W.SIDEBARS), _split({"": W.HOMES})
 _SHAPES = re.compile("|".join(W.SHAPES), re.I)
 #: What is residue or a mark of a cut, and so no furniture.
-_NOTICE = re.compile("|".join(re.escape(x) for x in (residue_words.NOTICES + residue_words.FILLERS).strip().split("\n") if x))
+class _Phrases:
+    """Whether a text in lower case holds one of some phrases."""
+
+    def __init__(self, phrases: list[str]):
+        self.automaton = ahocorasick.Automaton()
+        for x in phrases:
+            self.automaton.add_word(x, x)
+        self.automaton.make_automaton()
+
+    def search(self, text: str) -> str | None:
+        return next((x for _, x in self.automaton.iter(text)), None)
+
+
+_CUES = _Phrases([x.strip() for x in W.CUES.split(",")])
+_NOTICE = _Phrases([x for x in (residue_words.NOTICES + residue_words.FILLERS).strip().split("\n") if x])
 _NOTICE_SHAPE = re.compile("|".join(residue_words.NOTICE_SHAPES + residue_words.NEUTRAL_SHAPES + residue_words.FILLER_SHAPES), re.I)
 _PLACEHOLDER = re.compile(residue_words.PLACEHOLDER)
 _PROMPTS = frozenset(truncation_words.PROMPTS + truncation_words.NOTES)
@@ -213,7 +228,7 @@ def read_lines(content: str) -> list[Line]:
     for no, raw in enumerate(content.split("\n"), 1):
         if not raw or raw.isspace():
             continue
-        line = Line(no, raw, open_tags)
+        line = Line(no, raw, [] if fenced else open_tags)
         fence = raw.lstrip().startswith("```")
         line.fenced = fenced and not fence
         if fence or fenced:
@@ -288,7 +303,7 @@ def _worded(text: str, brand: str) -> str:
     for t in (text, *(() if text.isascii() else repaired(text))):
         if t in SIDEBARS:
             return "side"
-        if t in ITEMS or _SHAPES.search(t) or _row(t, brand):
+        if t in ITEMS or _CUES.search(t.lower()) and _SHAPES.search(t) or _row(t, brand):
             return "yes"
     return ""
 

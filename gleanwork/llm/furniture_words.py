@@ -42,3 +42,7 @@ SHAPES = [
     r"cookie.*(接受|设置)|版权所有|^分享到|^评论.{0,3}\d+|订阅",
     r"(クッキー|cookie).*(許可|同意|設定)|無断転載|^この.{0,4}を共有|^コメント ?\d+|メールマガジン|購読中",
 ]
+
+# What a line must hold, in lower case, for one of the patterns to match; saves trying them on the others.
+CUES = """newsletter, share, tweet, pin it, follow, subscribe, sign up, like, comment, view, miss a, ©, ⓒ, copyright, rights reserved, powered by, cookie, capture, was this, readers, abonn, lectores, suscriptores, leser,
+читател, подписчик, 位读者, 人が購読, vorbehalten, teilen, kommentar, droits, partager, derechos, compartir, comentario, boletín, права, поделиться, комментари, рассылку, 版权所有, 分享到, 评论, 订阅, クッキー, 無断転載, を共有, コメント, メールマガジン, 購読中"""
