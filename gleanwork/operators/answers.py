@@ -14,6 +14,11 @@ ANSWER = "struct<answer:string,citations:array<struct<id:int,url:string,title:st
 RESPONSE = "struct<choices:array<struct<message:struct<content:string>>>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,prompt_tokens_details:struct<cached_tokens:bigint>>>"
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def source_type_of(name: Column) -> Column:
     """The source type that a key of a plan means, whatever its case and with - as _; general_web if none."""
     n = F.lower(F.replace(name, F.lit("-"), F.lit("_")))
@@ -41,15 +46,17 @@ def recovered_queries(text: Column) -> Column:
     """
     fields = lambda c: F.map_entries(F.try_variant_get(c, "$", "map<string,variant>"))
     pairs = lambda entries: F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-    top = pairs(fields(F.try_parse_json(text)))
     deeper = lambda level: F.flatten(F.filter(F.transform(level, lambda e: pairs(fields(e["v"]))), lambda x: x.isNotNull()))
-    second = deeper(top)
-    third = deeper(second)
-    bare = F.array(F.struct(F.lit("").alias("k"), F.try_parse_json(text).alias("v")))  # a list by itself
-    found = F.concat(F.coalesce(top, bare), F.coalesce(second, F.slice(bare, 1, 0)), F.coalesce(third, F.slice(bare, 1, 0)))
-    lists = F.filter(F.transform(found, lambda e: F.struct(source_type_of(e["k"]).alias("t"), _listed(e["v"]).alias("q"))), lambda s: F.size(s["q"]) > 0)
-    kinds = F.array_distinct(F.transform(lists, lambda s: s["t"]))
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda t: F.flatten(F.transform(F.filter(lists, lambda s: s["t"] == t), lambda s: s["q"]))))
+
+    def by_kind(found: Column) -> Column:
+        lists = F.filter(F.transform(found, lambda e: F.struct(source_type_of(e["k"]).alias("t"), _listed(e["v"]).alias("q"))), lambda s: F.size(s["q"]) > 0)
+        return _bound(lists, lambda held: _bound(F.array_distinct(F.transform(held, lambda s: s["t"])), lambda kinds: F.map_from_arrays(kinds, F.transform(kinds, lambda t: F.flatten(F.transform(F.filter(held, lambda s: s["t"] == t), lambda s: s["q"]))))))
+
+    def harvested(tree: Column) -> Column:
+        first = F.coalesce(pairs(fields(tree)), F.array(F.struct(F.lit("").alias("k"), tree.alias("v"))))  # a list by itself has no key
+        return _bound(first, lambda top: _bound(deeper(top), lambda second: by_kind(F.concat(top, second, deeper(second)))))
+
+    return _bound(F.try_parse_json(text), harvested)
 
 
 def parsed_plan(raw: Column) -> Column:
@@ -59,18 +66,28 @@ def parsed_plan(raw: Column) -> Column:
     lists of texts are harvested wherever they stand (recovered_queries). A text that is no JSON has the error
     `invalid plan JSON`, a map without a query `zero queries`, anything else without one `missing queries`.
     """
-    text = texts.unfenced(raw)
-    wrapped = F.from_json(text, f"struct<plan:{PLAN}>")["plan"]
-    full = F.from_json(text, PLAN)
-    named = F.coalesce(wrapped["queries_by_source_type"], full["queries_by_source_type"])
-    flat = F.map_filter(F.from_json(text, "map<string,array<string>>"), lambda k, v: v.isNotNull() & k.isin(*SOURCE_NAMES))
-    harvested = recovered_queries(text)
-    queries = F.when(_asked(named), named).when(_asked(flat), flat).when(_asked(harvested), harvested)
-    valid = F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
-    listed = named.isNotNull() | F.coalesce(F.size(flat) > 0, F.lit(False))
-    error = F.when(~valid, "invalid plan JSON").when(queries.isNotNull(), F.lit(None).cast("string")).when(F.coalesce(listed, F.lit(False)), "zero queries").otherwise("missing queries")
-    told = F.coalesce(wrapped["rationale"], full["rationale"], F.when(queries.isNotNull() & ~_asked(named) & ~_asked(flat), F.lit("(recovered from another form)")))
-    return F.struct(F.when(error.isNull(), queries).alias("queries"), told.alias("rationale"), error.alias("error"))
+
+    def judged(text: Column) -> Column:
+        wrapped, full = F.from_json(text, f"struct<plan:{PLAN}>")["plan"], F.from_json(text, PLAN)
+        flat = F.map_filter(F.from_json(text, "map<string,array<string>>"), lambda k, v: v.isNotNull() & k.isin(*SOURCE_NAMES))
+        read = F.struct(
+            F.coalesce(wrapped["queries_by_source_type"], full["queries_by_source_type"]).alias("named"), flat.alias("flat"), F.coalesce(wrapped["rationale"], full["rationale"]).alias("told"),
+            F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)).alias("valid"), text.alias("text"),
+        )
+        return _bound(read, chosen)
+
+    def chosen(r: Column) -> Column:
+        plain = F.when(_asked(r["named"]), r["named"]).when(_asked(r["flat"]), r["flat"])
+        return _bound(plain, lambda given: _bound(F.when(given.isNull(), recovered_queries(r["text"])), lambda other: finished(r, given, F.when(_asked(other), other))))
+
+    def finished(r: Column, given: Column, other: Column) -> Column:
+        listed = F.coalesce(r["named"].isNotNull() | (F.size(r["flat"]) > 0), F.lit(False))
+        queries = F.coalesce(given, other)
+        error = F.when(~r["valid"], "invalid plan JSON").when(queries.isNotNull(), F.lit(None).cast("string")).when(listed, "zero queries").otherwise("missing queries")
+        told = F.coalesce(r["told"], F.when(given.isNull() & queries.isNotNull(), F.lit("(recovered from another form)")))
+        return F.struct(F.when(r["valid"], queries).alias("queries"), told.alias("rationale"), error.alias("error"))
+
+    return _bound(texts.unfenced(raw), judged)
 
 
 def plan_issues(raw: Column) -> Column:
