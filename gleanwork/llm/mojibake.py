@@ -3,27 +3,33 @@
 The unit is the line, as pages are often damaged in part. Every chain of up to three wrong decodings that could
 have made the line is undone; what comes out is compressed with zstandard dictionaries of each language,
 and the reading of least description length, the cost of its chain included, wins. The line stays as it is where
-no chain pays. Dictionaries are trained on a bounded sample of clean lines; the alphabet is counted over all of them.
+no chain pays. Dictionaries and alphabet are counted over the clean lines of all texts.
 """
 
 from __future__ import annotations
 
+import random
 import re
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.llm.subjects import language
-from gleanwork.session import spread
-
-#: Documented bounds of the dictionaries, none of the corpus: pages sampled (about so many, by hash), bytes of a dictionary.
-SAMPLE_PAGES, DICTIONARY_BYTES = 3000, 16_384
+from gleanwork.session import spread, written
+
+#: Nothing is sampled, whatever this is set to: models are counted over all texts.
+SAMPLE_PAGES = None
+#: Bytes of a language's dictionary, of the parts it is made of, and of the lines put together from these.
+DICTIONARY_BYTES, PART_BYTES, MADE_BYTES = 16_384, 131_072, 500_000
+#: Compression level: at high ones a length is the least that matches can give, so two readings compare by what they hold.
+LEVEL = 19
+#: Characters and keys that a task counts before it hands on its sums.
+MOST_READ, MOST_KEYS = 16_000_000, 200_000
 #: A character belongs to the alphabet if it stands in so many clean lines, and in this share of those that aren't ASCII.
 LEAST_LINES, LEAST_SHARE = 3, 7e-5
 #: Bytes that each step of a chain must save.
@@ -36,6 +42,8 @@ SINGLE_BYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8
 LATIN_READ, CYRILLIC_READ = ("cp1252", "iso8859_15"), ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5")
 LEGACY = ("gbk", "euc_jp", "shift_jis", "big5", "cp1251", "koi8_r", "cp866")
 CJK_READ = ("gbk", "euc_jp", "shift_jis", "big5")
+#: Languages without spaces between words.
+UNSPACED = ("ja", "zh")
 
 _REPLACED = "�"
 _MENTIONED = re.compile(r"[\"'“”‘’«»„`(]\s?" + _REPLACED + r"{1,3}\s?[\"'“”‘’«»)`]")
@@ -131,7 +139,7 @@ def shifted(line: str) -> bool:
 class Judge:
     """Description lengths by per-language dictionaries, and the best reading of a line.
 
-    A description is the compressed line, plus NOVEL bytes for each character that the clean sample doesn't
+    A description is the compressed line, plus NOVEL bytes for each character that the clean lines don't
     use, as no dictionary can hold it, and for each capital within a word.
     """
 
@@ -139,10 +147,10 @@ class Judge:
         self.compressors = []
         for content in dictionaries.values():
             d = zstandard.ZstdCompressionDict(content)
-            d.precompute_compress(level=3)
-            self.compressors.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            d.precompute_compress(level=LEVEL)
+            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         if not self.compressors:
-            self.compressors.append(zstandard.ZstdCompressor(level=3, write_content_size=False))
+            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False))
         self.alphabet = frozenset(alphabet)
         self.known: dict[str, tuple[str, str]] = {}
 
@@ -245,35 +253,33 @@ def _clean(line: str) -> bool:
     return line.isascii() or not _ODD.search(line) and not dense(line) and next(undone(line, bool(_CJK.search(line)) and not _CYRILLIC.search(line)), ("legacy",))[0][:5] != "utf-8"
 
 
-def train(texts: list[str]) -> tuple[dict[str, bytes], str]:
-    """A zstandard dictionary for each language and the alphabet of all, from the clean lines of texts."""
-    lines: dict[str, list[bytes]] = {}
-    uses: Counter = Counter()
-    for text in texts:
-        _count_line_uses(text, uses)
-        for line in text.split("\n"):
-            if len(line) > 30 and _clean(line):
-                lines.setdefault(language(line), []).append(line.encode("utf-8", "surrogatepass"))
-    out = {}
-    for lang, samples in sorted(lines.items()):
-        try:
-            out[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
-        except zstandard.ZstdError:  # too few samples: their content serves as the dictionary
-            out[lang] = b"\n".join(samples)[:DICTIONARY_BYTES]
-    return out, _in_use(uses)
+def _parts(line: str, lang: str) -> Iterator[tuple[str, ...]]:
+    """What a dictionary is made of: pairs of words of a line, of unspaced scripts pairs of characters."""
+    words = line if lang in UNSPACED else line.split(" ")
+    return zip(words, words[1:]) if len(words) > 1 else iter([(line,)])
 
 
-def _count_line_uses(text: str, uses: Counter) -> None:
-    """Adds the clean lines of text that aren't ASCII: one for each of its characters, and one for the line under "".
+def _count_lines(lines: dict[str, int], uses: dict[str, Counter]) -> None:
+    """Adds the clean lines, each as often as lines says: by language its parts, and under "" the alphabet.
 
+    The alphabet has one for each character of a line that isn't ASCII, and one for the line under "".
     Lines that may be garbled in part only, or by legacy encodings, don't count: of all lines, they would be many.
     """
-    if text.isascii():
-        return
-    for line in text.split("\n"):
-        if not line.isascii() and _clean(line) and not _LEADS["cp1252"].search(line) and not shifted(line):
-            uses.update(set(line))
-            uses[""] += 1
+    for line, n in lines.items():
+        if not line.isascii():
+            if _LEADS["cp1252"].search(line) or shifted(line) or not _clean(line):
+                continue
+            held = uses[""]
+            for c in set(line):
+                held[c] += n
+            held[""] += n
+        lang = language(line)
+        held = uses[lang]
+        if n == 1:
+            held.update(_parts(line, lang))
+        else:
+            for part in _parts(line, lang):
+                held[part] += n
 
 
 def _in_use(uses: dict[str, int]) -> str:
@@ -281,45 +287,81 @@ def _in_use(uses: dict[str, int]) -> str:
     return "".join(sorted({c for c, n in uses.items() if c and n >= least} | {chr(i) for i in range(128)}))
 
 
-def alphabet(texts: DataFrame) -> str:
-    """The characters in use in the clean lines of all texts (one string column).
-
-    Partial sums leave each task; what reaches the driver is bounded by Unicode.
-    """
+def _counted(texts: DataFrame) -> DataFrame:
+    """(lang, part, n): how often a part of a language stands in the clean lines of all columns; the alphabet under lang ""."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses: Counter = Counter()
+        uses: dict[str, Counter] = defaultdict(Counter)
+        read = 0
+
+        def emit():
+            nonlocal read
+            langs = [lang for lang, held in uses.items() for _ in held]
+            parts = [("" if lang in UNSPACED else " ").join(part) for lang, held in uses.items() for part in held]
+            ns = [n for held in uses.values() for n in held.values()]
+            uses.clear()
+            read = 0
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.string()), pa.array(ns, pa.int64())], names=["lang", "part", "n"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    _count_line_uses(text, uses)
-        keys = [-1 if c == "" else ord(c) for c in uses]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(list(uses.values()), pa.int64())], names=["c", "n"])
+            lines: Counter = Counter()
+            for column in batch.columns:
+                for text in column.to_pylist():
+                    if text:
+                        lines.update(text.split("\n"))
+                        read += len(text)
+            del lines[""]
+            _count_lines(lines, uses)
+            if read > MOST_READ or sum(map(len, uses.values())) > MOST_KEYS:
+                yield emit()
+        yield emit()
+
+    return spread(texts).mapInArrow(run, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n").alias("n"))
 
-    counts = spread(texts).mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return _in_use({"" if r[0] < 0 else chr(r[0]): r[1] for r in counts.collect()})
+
+def _trained(parts: list[tuple[str, int]], between: str) -> bytes:
+    """A zstandard dictionary of lines made of parts, each as often as its share of uses says, alike at each run.
+
+    Of lines, as zstandard takes no counts, and needs them for the entropy tables besides the content.
+    """
+    total = sum(n * len((part + between).encode("utf-8")) for part, n in parts)
+    bag = [part for part, n in parts for _ in range(max(1, round(n * MADE_BYTES / total)))]
+    random.Random(0).shuffle(bag)
+    lines = [between.join(bag[i : i + 12]).encode("utf-8") for i in range(0, len(bag), 12)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, lines, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too few parts: they serve as the dictionary, the best last, where offsets are short
+        return between.join(part for part, _ in reversed(parts)).encode("utf-8")[-DICTIONARY_BYTES:]
 
 
 def dictionaries(texts: DataFrame) -> tuple[dict[str, bytes], str]:
-    """train() on a bounded sample of the distinct texts (one string column), with the alphabet of all."""
-    column = texts.columns[0]
-    # a sample by hash has all or none of equal texts, so the repeats of a text are dropped after it
-    every = max(1, texts.where(F.col(column).isNotNull()).select(F.approx_count_distinct(column, 0.02)).first()[0] // SAMPLE_PAGES)
-    chosen = texts.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(every)) == 0))
-    sample = chosen.distinct().collect()
-    mixed = sorted((r[0] for r in sample), key=lambda x: (zlib.crc32(x.encode("utf-8", "surrogatepass")), x))  # alike at each run, like texts apart
-    return train(mixed)[0], alphabet(texts)
+    """A zstandard dictionary for each language and the alphabet of all, counted over every clean line of texts (string columns).
+
+    A dictionary is made of the parts that fill most bytes in all lines. PART_BYTES of them are kept for a language, so
+    what reaches the driver is bounded, by Unicode for the alphabet.
+    """
+    counts = written(_counted(texts).where("lang = '' OR n > 1"), "mojibake-counts")  # one use saves nothing
+    size = F.octet_length("part") + F.when(F.col("lang").isin(*UNSPACED), 0).otherwise(1)
+    valued = counts.where("lang <> ''").withColumns({"size": size, "filled": F.col("n") * size}).where(size.between(2, DICTIONARY_BYTES))
+    for by in (("lang", F.pmod(F.xxhash64("part"), F.lit(64))), ("lang",)):  # no language is sorted whole
+        best = Window.partitionBy(*by).orderBy(F.desc("filled"), "part")
+        valued = valued.withColumn("upto", F.sum("size").over(best.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= PART_BYTES)
+    parts: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for r in sorted(valued.select("lang", "upto", "part", "n").collect()):
+        parts[r.lang].append((r.part, r.n))
+    out = {lang: _trained(kept, "" if lang in UNSPACED else " ") for lang, kept in sorted(parts.items())}
+    return out, _in_use({r.part: r.n for r in counts.where("lang = ''").collect()})
 
 
 def find_damaged(df: DataFrame, columns: list[str], id_col: str = "content_id", sample_col: str | None = None) -> DataFrame:
     """(field, id_col, restored, chain): a row for each value of columns of which a part was decoded wrongly.
 
     restored has the value with every restorable line put right, null where none is; chain lists the decodings that
-    were undone, from the meant one to the last wrong one. Null and empty values give no row; repeated rows give
+    were undone, from the meant one to the last wrong one. The dictionaries are of sample_col if it is given, else of columns. Null and empty values give no row; repeated rows give
     theirs again; other columns play no part, whatever their names.
     """
     texts = spread(df.select(id_col, *columns))
-    held = df.sparkSession.sparkContext.broadcast(dictionaries(df.select(sample_col or columns[0])))  # 16 KB a language
+    held = df.sparkSession.sparkContext.broadcast(dictionaries(df.select(*([sample_col] if sample_col else columns))))  # 16 KB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(*held.value)

@@ -33,6 +33,7 @@ COMMON_WORDS = {
     "es": "el la los y es en una del después según más que por",
 }
 _COMMON = {lang: frozenset(words.split()) for lang, words in COMMON_WORDS.items()}
+_ANY_COMMON = frozenset().union(*_COMMON.values())
 _KANA, _HAN, _CYRILLIC = re.compile("[぀-ヿ]"), re.compile("[㐀-鿿]"), re.compile("[Ѐ-ӿ]")
 _RUN = re.compile("[぀-ヿ㐀-鿿]+|[^\\W\\d_぀-ヿ㐀-鿿]+(?:-[^\\W\\d_぀-ヿ㐀-鿿]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
@@ -50,14 +51,18 @@ BEAM = 8
 
 def language(text: str) -> str:
     """ja, zh, ru or the Latin-script language whose frequent words occur most; en if none does."""
-    if _KANA.search(text):
-        return "ja"
-    if _HAN.search(text):
-        return "zh"
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    if sum(1 for w in words if _CYRILLIC.match(w)) * 2 > len(words):
-        return "ru"
-    return max(_COMMON, key=lambda lang: (sum(w in _COMMON[lang] for w in words), lang == "en"))
+    if text.isascii():
+        words = text.lower().split(" ")
+    else:
+        if _KANA.search(text):
+            return "ja"
+        if _HAN.search(text):
+            return "zh"
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        if _CYRILLIC.search(text) and sum(1 for w in words if _CYRILLIC.match(w)) * 2 > len(words):
+            return "ru"
+    told = [w for w in words if w in _ANY_COMMON]
+    return max(_COMMON, key=lambda lang: (sum(w in _COMMON[lang] for w in told), lang == "en")) if told else "en"
 
 
 LANGUAGES = ("en", "de", "fr", "es", "ru", "zh", "ja")

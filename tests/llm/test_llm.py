@@ -256,6 +256,15 @@ def test_the_alphabet_is_of_all_pages(spark, monkeypatch):
     assert mojibake._in_use({"": 10_000_000, "é": 5000, "ж": 30}).endswith("é")  # a share of lines, whatever their number
 
 
+def test_the_dictionaries_are_of_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "SAMPLE_PAGES", 50)
+    rare = [f"Überprüfung{chr(97 + i)} und Rückmeldung{chr(97 + i)}" for i in range(20)]
+    texts = [(f"Die Summe Nummer {i} ist für alle da und bleibt es auch.", "Kurz") for i in range(1000)] + [(None, f"Heute war die {x} {i} der Tag.") for x in rare for i in range(9)]
+    held = [mojibake.dictionaries(spark.createDataFrame(texts[::step], "t string, u string").repartition(n))[0] for step, n in ((1, 3), (-1, 5))]
+    assert all(w.encode() in held[0]["de"] for x in rare for w in x.split(" ")) and held[0] == held[1]  # those of one line in a hundred, in either column, alike at each run
+    assert list(mojibake._parts("a b c", "en")) == [("a", "b"), ("b", "c")] and list(mojibake._parts("首先检", "zh")) == [("首", "先"), ("先", "检")]
+
+
 # p4: furniture
 
 
