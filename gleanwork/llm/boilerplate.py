@@ -71,11 +71,22 @@ _SEPARATED = re.compile(r" +[|·/•>»›] +| {2,}")
 _BAR = re.compile(r" +[|·/•] +| {2,}")
 _CRUMBS = re.compile(r" +[>»›/] +")
 _ENDED = re.compile(r"[.!?。！？…:]['\"”’»」）)\]]*$")
-_DIGITS = re.compile(r"\d+")
-_CODE = re.compile(r"[{}\\]|;$| = |\w\(|^\s{2,}\S|^\t|^[a-z_.-]+:( \S+)?$|^(return|SELECT|WHERE|FROM|import|def|func|if)\b|^\$ |^error: ")
-_WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
+#: Runs are written as one and more, as patterns that begin with a set are searched for faster.
+_DIGITS, _ASCII_DIGITS = re.compile(r"\d\d*"), re.compile("[0-9][0-9]*")
+#: A character that _SEPARATED, _BAR or _CRUMBS need if there are no two spaces.
+_SEPARATOR = re.compile("[|·/•>»›]")
+#: Code by how a line begins and by a call; what else shows code is found without a pattern.
+_CODE_START = re.compile(r"\s{2,}\S|\t|[a-z_.-]+:( \S+)?$|(return|SELECT|WHERE|FROM|import|def|func|if)\b|\$ |error: ")
+_CALL = re.compile(r"\w\(")
+
+
+def _runs(chars: str) -> re.Pattern:
+    return re.compile(f"{chars}{chars}*")
+
+
+_WIDE = _runs("[぀-ヿ㐀-鿿가-힯]")
 #: The most frequent characters of Chinese and Japanese texts.
-_FREQUENT = re.compile("[的一是不了在有和与这为以我用中大人之のはをにがでとたてるしいなれら]")
+_FREQUENT = _runs("[的一是不了在有和与这为以我用中大人之のはをにがでとたてるしいなれら]")
 
 
 def masked_key(text: str, brand: str = "") -> str:
@@ -85,7 +96,7 @@ def masked_key(text: str, brand: str = "") -> str:
 @lru_cache(50_000)
 def _masked(text: str, brand: str) -> str:
     """text in lower case with 0 for any number and a mark for the host's name; of a long one the beginning and a hash of the whole."""
-    m = _DIGITS.sub("0", text.lower())
+    m = (_ASCII_DIGITS if text.isascii() else _DIGITS).sub("0", text.lower())
     if brand:
         m = m.replace(brand, _BRAND)
     return m if len(m) <= KEY_CHARS else f"{m[:HEAD_CHARS]}\0{blake2b(m.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
@@ -108,22 +119,31 @@ class _Phrases:
         self.automaton.make_automaton()
 
     def search(self, text: str) -> str | None:
-        return next((x for _, x in self.automaton.iter(text)), None)
+        return next(self.automaton.iter(text), (0, None))[1]
 
 
 _CUES = _Phrases([x.strip() for x in W.CUES.split(",")])
 _NOTICE = _Phrases([x for x in (residue_words.NOTICES + residue_words.FILLERS).strip().split("\n") if x])
-_NOTICE_SHAPE = re.compile("|".join(residue_words.NOTICE_SHAPES + residue_words.NEUTRAL_SHAPES + residue_words.FILLER_SHAPES), re.I)
-_PLACEHOLDER = re.compile(residue_words.PLACEHOLDER)
+_NOTICE_SHAPES = residue_words.NOTICE_SHAPES + residue_words.NEUTRAL_SHAPES + residue_words.FILLER_SHAPES
+#: Shapes that begin with the line, and those that need not, which all have _ANYWHERE_CUE.
+_NOTICE_START = re.compile("|".join(x for x in _NOTICE_SHAPES if x[0] == "^"), re.I)
+_NOTICE_ANYWHERE, _ANYWHERE_CUE = re.compile("|".join(x for x in _NOTICE_SHAPES if x[0] != "^"), re.I), "nan"
+#: The placeholder pattern, and a character that each of its forms has.
+_PLACEHOLDER, _PLACEHOLDER_CUE = re.compile(residue_words.PLACEHOLDER), re.compile(r"[{%_@*\[]")
 _PROMPTS = frozenset(truncation_words.PROMPTS + truncation_words.NOTES)
 
 
+def _held(runs: re.Pattern, text: str) -> int:
+    """Characters of text that stand in runs."""
+    return sum(map(len, runs.findall(text)))
+
+
 def _may_be_garbled(text: str) -> bool:
     """Whether a line has signs of a wrong decoding: lead bytes as letters, shifted case, or hardly a common character of an unspaced script."""
     if _ANY_LEAD.search(text) or shifted(text):
         return True
-    wide = len(_WIDE.findall(text))
-    return wide > 0 and 12 * len(_FREQUENT.findall(text)) < wide or _REPLACED in text
+    wide = _held(_WIDE, text)
+    return wide > 0 and 12 * _held(_FREQUENT, text) < wide or _REPLACED in text
 
 
 @lru_cache(20_000)
@@ -142,10 +162,15 @@ def repaired(text: str) -> tuple[str, ...]:
 def _shape(text: str) -> tuple[int, bool, int]:
     """(size, whether it ends as a sentence, leaves) of the text of a line."""
     ended = _ENDED.search(text, max(len(text) - 8, 0)) is not None
-    leaves = 1 + len(_SEPARATED.findall(text)) if "  " in text or " " in text and not ended else 1
+    leaves = 1 + len(_SEPARATED.findall(text)) if "  " in text or not ended and " " in text and _SEPARATOR.search(text) else 1
     return weight(text), ended, leaves
 
 
+def _code(raw: str) -> bool:
+    """Whether a line looks like code."""
+    return "{" in raw or "}" in raw or "\\" in raw or " = " in raw or raw[-1:] == ";" or _CODE_START.match(raw) is not None or "(" in raw and _CALL.search(raw) is not None
+
+
 @lru_cache(50_000)
 def _read_plain(raw: str) -> tuple[str, str, str, bool, tuple[int, bool, int]]:
     """(mark, text, path, whether linked, shape) of a line that is no element."""
@@ -156,7 +181,7 @@ def _read_plain(raw: str) -> tuple[str, str, str, bool, tuple[int, bool, int]]:
         mark = m[1][0] if not m[1][0].isdigit() else "1"
         text, path, link = s[m.end() :].strip(), m[1] if mark == "#" else mark, False
     else:
-        mark = "code" if len(s) < 200 and _CODE.search(raw) else ""
+        mark = "code" if len(s) < 200 and _code(raw) else ""
         text, path, link = s, mark, False
     return mark, text, path, link, _shape(text)
 
@@ -219,7 +244,8 @@ class Line:
         return _ITEM if self.item() and not self.link else ""
 
     def key(self, brand: str) -> str:
-        return self.prefix() + masked_key(self.text, brand)
+        key = masked_key(self.text, brand)
+        return _ITEM + key if not self.link and self.item() else key
 
 
 def read_lines(content: str) -> list[Line]:
@@ -229,7 +255,7 @@ def read_lines(content: str) -> list[Line]:
         if not raw or raw.isspace():
             continue
         line = Line(no, raw, [] if fenced else open_tags)
-        fence = raw.lstrip().startswith("```")
+        fence = "```" in raw and raw.lstrip().startswith("```")
         line.fenced = fenced and not fence
         if fence or fenced:
             line.mark, line.path = "code", "code"
@@ -240,7 +266,7 @@ def read_lines(content: str) -> list[Line]:
 
 def weight(text: str) -> int:
     """Length of a text; a character of an unspaced script counts as two."""
-    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+    return len(text) if text.isascii() else len(text) + _held(_WIDE, text)
 
 
 def path_sums(lines: list[Line]) -> dict[str, list[float]]:
@@ -268,11 +294,7 @@ def valued(lines: list[Line], layer: dict[str, list[float]]) -> None:
         if wide and wide[3]:
             sums = [x + LAYER_LEAVES * y / wide[3] for x, y in zip(sums, wide)]
         fused[path] = ratio(*sums)
-    raw = []
-    for line in lines:
-        n = line.size
-        own = ratio(n, line.ended, n * line.link, line.leaves) if n else 0.0
-        raw.append((own + fused[line.path]) / 2)
+    raw = [((0.0 if line.link or not line.size else ratio(line.size, line.ended, 0.0, line.leaves)) + fused[line.path]) / 2 for line in lines]
     last = len(lines) - 1
     for i, line in enumerate(lines):
         line.value = SMOOTH_SELF * raw[i] + SMOOTH_NEXT * (raw[max(i - 1, 0)] + raw[min(i + 1, last)])
@@ -294,7 +316,12 @@ def brand_of(host: str | None) -> str:
 @lru_cache(100_000)
 def _barred(text: str) -> bool:
     """Whether a line is no furniture whatever else it looks like: without letters, residue, or a mark of a cut."""
-    return not any(c.isalpha() for c in text) or text in _PROMPTS or _PLACEHOLDER.search(text) is not None or _NOTICE.search(text.lower()) is not None or _NOTICE_SHAPE.search(text) is not None
+    if not text[:1].isalpha() and not any(c.isalpha() for c in text) or text in _PROMPTS:
+        return True
+    if _PLACEHOLDER_CUE.search(text) and _PLACEHOLDER.search(text):
+        return True
+    lower = text.lower()
+    return _NOTICE.search(lower) is not None or _NOTICE_START.match(text) is not None or _ANYWHERE_CUE in lower and _NOTICE_ANYWHERE.search(text) is not None
 
 
 @lru_cache(100_000)
@@ -310,6 +337,8 @@ def _worded(text: str, brand: str) -> str:
 
 def _row(text: str, brand: str) -> bool:
     """A row of navigation items or a breadcrumb by its words."""
+    if "  " not in text and not _SEPARATOR.search(text):
+        return False
     crumbs = _CRUMBS.split(text)
     if len(crumbs) >= 2 and crumbs[0] in HOMES:
         return True
@@ -336,11 +365,16 @@ class Lines:
         i = bisect_left(self.ordered, long)
         if len(head) >= HEAD_CHARS and i < len(self.ordered) and self.ordered[i].startswith(long):
             return "\0" not in head
-        i = bisect_right(self.ordered, head)
-        return i < len(self.ordered) and self.ordered[i].startswith(head)
+        return self.beginning(head)
+
+
+    def beginning(self, text: str) -> bool:
+        """Whether a key other than text starts with it; keys are short."""
+        i = bisect_right(self.ordered, text)
+        return i < len(self.ordered) and self.ordered[i].startswith(text)
 
 
-NONE = Lines()
+NONE, _FIXED = Lines(), Lines(ITEMS | SIDEBARS)
 
 
 def _cut_short(text: str, brand: str, repeated: Lines, known: Lines = NONE) -> bool:
@@ -356,7 +390,7 @@ def _cut_short(text: str, brand: str, repeated: Lines, known: Lines = NONE) -> b
         heads.append(key[:-stem] + _BRAND)  # the host's name itself was cut
     if any(of.starting(h) for of in (repeated, known) for h in heads):
         return True
-    return len(heads) > 1 and (heads[1] in repeated or heads[1] in known) or any(p.startswith(text) and p != text for p in ITEMS | SIDEBARS)
+    return len(heads) > 1 and (heads[1] in repeated or heads[1] in known) or _FIXED.beginning(text)
 
 
 def furniture_lines(content: str, title: str | None, host: str | None, repeated: Lines = NONE, known: Lines = NONE, layer: dict[str, list[float]] | None = None, lines: list[Line] | None = None) -> list[int]:
@@ -374,13 +408,13 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
     for i, line in enumerate(lines):
         text = line.text
         votes, word, barred, repeats = 0.0, "", False, False
-        if text and line.value < LOW + WORDED + REPEATED and (line.mark != "code" or line.fenced and not _CODE.search(line.raw)):
+        if text and line.value < LOW + WORDED + REPEATED and (line.mark != "code" or line.fenced and not _code(line.raw)):
             keys = [line.key(brand)]
             if not text.isascii() and keys[0] not in repeated:
                 keys += [line.prefix() + masked_key(t, brand) for t in repaired(text)]
-            repeats = any(k in repeated for k in keys)
-            votes = REPEATED if repeats else KNOWN if not first < i < last and any(k in known for k in keys) else 0.0
-            own_name = KNOWN if not first < i < last and _branded(text, brand) else 0.0
+            repeats, edge = not repeated.keys.isdisjoint(keys), not first < i < last
+            votes = REPEATED if repeats else KNOWN if edge and not known.keys.isdisjoint(keys) else 0.0
+            own_name = KNOWN if edge and _branded(text, brand) else 0.0
             if line.value < LOW + WORDED + max(votes, own_name):  # words and what bars a line can decide
                 barred = _barred(text)
                 word = "" if barred else _worded(text, brand)

@@ -133,7 +133,7 @@ def undone(line: str, strange: bool = True) -> Iterator[tuple[str, str]]:
 
 def shifted(line: str) -> bool:
     """Whether a line may be text of one legacy single-byte encoding read as another."""
-    return dense(line) or _INNER_CAPITAL.search(line) is not None
+    return dense(line) or _CYRILLIC.search(line) is not None and _INNER_CAPITAL.search(line) is not None
 
 
 class Judge:

@@ -340,6 +340,20 @@ def test_templates_of_any_length_end_and_number_of_pages(spark):
     assert boilerplate.furniture_lines(many, None, None) == [1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=list("ab{}\\;= (\t_:-$%@*[]|·/>»0９²éЖя的の\u0660nNuUdefi"), max_size=24))
+def test_gated_patterns_find_what_the_plain_ones_do(text):
+    plain = boilerplate.re.compile(r"[{}\\]|;$| = |\w\(|^\s{2,}\S|^\t|^[a-z_.-]+:( \S+)?$|^(return|SELECT|WHERE|FROM|import|def|func|if)\b|^\$ |^error: ")
+    assert boilerplate._code(text) == (plain.search(text) is not None)
+    shapes = boilerplate.re.compile("|".join(boilerplate._NOTICE_SHAPES), boilerplate.re.I)
+    for t in (text, text + " undefined NaN", "error: " + text):
+        barred = not any(c.isalpha() for c in t) or t in boilerplate._PROMPTS or boilerplate._PLACEHOLDER.search(t) or boilerplate._NOTICE.search(t.lower()) or shapes.search(t)
+        assert boilerplate._barred(t) == bool(barred)
+    assert boilerplate.masked_key(text) == boilerplate.re.sub(r"\d+", "0", text.lower())
+    assert boilerplate._shape(text)[2] == (1 + len(boilerplate._SEPARATED.findall(text)) if "  " in text or " " in text and not boilerplate._shape(text)[1] else 1)
+    assert boilerplate._FIXED.beginning(text) == any(p.startswith(text) and p != text for p in boilerplate.ITEMS | boilerplate.SIDEBARS)
+
+
 # p6: residue
 
 
