@@ -44,6 +44,10 @@ SEEN = 5
 _INVISIBLE = re.compile("[\\u00ad\\u034f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufeff\\ufe00-\\ufe0f]")
 _MARK = re.compile(r"(?:" + "|".join(re.escape(m) for m in sorted(W.MARKS, key=len, reverse=True)) + r")\)?$")
 _FULL = re.compile(r"(?:[.!?。！？؟]|(?<=[\w\d]):)['\"”’»›」』）)\]*_]*$")
+#: A mark and its bracket are no longer than this, so only the end of a text is searched for one.
+_MARK_CHARS = max(map(len, W.MARKS)) + 2
+_STOPS, _CLOSERS = frozenset(".!?。！？؟"), "'\"”’»›」』）)]*_"
+_STOP = re.compile("[.!?。！？]")
 _INNER = re.compile(r"[.!?][\"”’»)]* +\S|[。！？]")
 _SUFFIX = re.compile(r" \(\d[\d,.]* [^()]{1,12}\)$")
 _PREFIX = re.compile(r"^(?:[^|]{0,120}\| [^|]{1,30} \| [^|]{1,40} \| |\[[^\]]{1,20}\] |(?:[^\s.]{1,3}\. \S+, )*[^\s.]{1,3}\. \S+ et al\. — |(?:[^\s.]{1,3}\. \S+, )*[^\s.]{1,3}\. \S+ — |\w{3,9} \d{1,2}, \d{4} — |… )")
@@ -63,11 +67,34 @@ def plain(text: str) -> str:
     return "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" and c not in "，：；！？（）" else c for c in text).rstrip() if re.search("[０-ｚ．]", text) else text.rstrip()
 
 
+def marked(text: str) -> re.Match | None:
+    """The mark of a cut at the end of text."""
+    return _MARK.search(text, max(len(text) - _MARK_CHARS, 0))
+
+
+def full(text: str) -> bool:
+    """Whether text ends as a sentence; as _FULL, which reads it from its start."""
+    if text[-1:] == "\n":
+        return _FULL.search(text) is not None
+    t = text.rstrip(_CLOSERS)
+    last = t[-1:]
+    if last == ":":
+        return t[-2:-1].isalnum() or t[-2:-1] == "_"
+    return last in _STOPS
+
+
+def inner(text: str) -> bool:
+    """Whether a sentence ends within text."""
+    m = _STOP.search(text)
+    return m is not None and _INNER.search(text, m.start()) is not None
+
+
 def bare(snippet: str) -> str:
     """A snippet without what its source puts before and behind the text."""
     s = plain(snippet)
-    s = _PREFIX.sub("", s, count=1)
-    return _SUFFIX.sub("", s)
+    if m := _PREFIX.match(s):
+        s = s[m.end() :]
+    return _SUFFIX.sub("", s) if s[-1:] == ")" else s
 
 
 def beginning(sentence: str) -> str:
@@ -80,10 +107,10 @@ def beginning(sentence: str) -> str:
 
 def ending(text: str) -> str:
     """`mark`, `dots` (a bare ...), `full`, or `open`."""
-    m = _MARK.search(text)
+    m = marked(text)
     if m:
         return "dots" if m[0] == "..." else "mark"
-    return "full" if _FULL.search(text) else "open"
+    return "full" if full(text) else "open"
 
 
 def last_word(text: str) -> str | None:
@@ -99,15 +126,16 @@ def lengths(text: str) -> tuple[int, ...]:
     json = n + text.count('"') + text.count("\\") + breaks
     if text.isascii():
         return n, n, n, n, n, n, escaped, json, n + breaks
-    astral = sum(c > "\uffff" for c in text)
-    high = sum(c > "\x7f" for c in text)
+    astral = len(text.encode("utf-16-le", "surrogatepass")) // 2 - n
+    high = n - len(text.encode("ascii", "ignore"))
     coded = lambda codec, errors="replace": len(text.encode(codec, errors))
     return n, coded("utf-8", "surrogatepass"), n + astral, coded("gbk"), coded("shift_jis"), coded("latin-1", "xmlcharrefreplace"), escaped, json + 5 * high + 6 * astral, n + breaks
 
 
 def unmarked(text: str) -> str:
     """text without the mark of a cut at its end."""
-    return _MARK.sub("", text).rstrip()
+    m = marked(text)
+    return (text[: m.start()] + text[m.end() :] if m else text).rstrip()
 
 
 #: (field, source, ending) -> (place among MEASURES, length, slack).
@@ -158,7 +186,7 @@ def snippet_cut(text: str | None, source: str | None, limits: Limits) -> tuple[b
         return CUT
     if kind == "dots":
         return False, last_word(unmarked(s)), None, False
-    if s.endswith("�") or _INNER.search(s):
+    if s.endswith("�") or inner(s):
         return CUT
     return asked(s, True)
 
@@ -216,7 +244,7 @@ def content_cut(content: str | None, layer: str | None, title: str | None, host:
         return WHOLE
     if s == (title or "").strip() or x.mark in ("#", "h1", "h2", "h3") or x.item() or x.mark == "code":
         return (False, last_word(s), None, False) if x.no == last.no else WHOLE
-    if s.endswith("�") and len(s) > 20 or _INNER.search(s):
+    if s.endswith("�") and len(s) > 20 or inner(s):
         return CUT
     return asked(s, True) if x.no == last.no else (False, None, _sentence_like(s)[1] if _sentence_like(s)[0] else None, False)
 
@@ -228,7 +256,7 @@ def _closed_later(raws: list[str]) -> bool:
 
 
 def _broken_furniture(text: str, brand: str) -> bool:
-    if _FULL.search(text):
+    if full(text):
         return False
     parts = [p for p in re.split(r" +[|·/•] +| {2,}", text) if p]
     if len(parts) > 1 and all(p in ITEMS or p.lower() == brand for p in parts[:-1]):
@@ -269,10 +297,11 @@ def _counted(values: DataFrame) -> DataFrame:
                     line = line.strip()
                     if not line:
                         continue
-                    whole = _FULL.search(line) is not None
-                    if line[0] not in "<[-*#{}" and len(line) > 8 and (whole or not _MARK.search(line)):
-                        counts["beginning", beginning(line), "", int(whole or _INNER.search(line) is not None)][0] += 1
-                    if not whole and not _MARK.search(line):
+                    whole = full(line)
+                    unended = not whole and not marked(line)
+                    if line[0] not in "<[-*#{}" and len(line) > 8 and (whole or unended):
+                        counts["beginning", beginning(line), "", int(whole or inner(line))][0] += 1
+                    if unended:
                         seen = (line if line[0] != "<" else _TAGS.sub("", line)).rstrip()
                         found = _LETTERS.findall(seen.lower())
                         for word in found:

@@ -423,6 +423,21 @@ def _planted(codec, limit, mark=""):
     return rows
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("aя的 .:!?。)\"_»*\n…[]|—(12é😀\u0301,") + ["...", "[...]", "read more", " (12 points)", " et al. — "]), max_size=14).map("".join))
+def test_ends_are_found_as_by_the_plain_patterns(text):
+    assert truncation.full(text) == (truncation._FULL.search(text) is not None)
+    assert truncation.inner(text) == (truncation._INNER.search(text) is not None)
+    mark = truncation._MARK.search(text)
+    assert (m := truncation.marked(text)) is None and mark is None or m.span() == mark.span()
+    assert truncation.unmarked(text) == truncation._MARK.sub("", text).rstrip()
+    assert truncation.bare(text) == truncation._SUFFIX.sub("", truncation._PREFIX.sub("", truncation.plain(text), count=1))
+    if not text.isascii():
+        n = truncation.lengths(text)
+        assert n[2] == len(text) + sum(c > "\uffff" for c in text)
+        assert n[7] == len(text) + text.count('"') + text.count("\\") + text.count("\n") + 5 * sum(c > "\x7f" for c in text) + 6 * sum(c > "\uffff" for c in text)
+
+
 def test_planted_limits_are_exposed(spark):
     planted = {(m, n, mark): _planted(m, n, mark) for m, n in (("chars", 120), ("utf8", 130), ("json", 200), ("entities", 150), ("latin1", 120)) for mark in ("", "...", "…")}
     rows = [(i, f"{m}{mark}", text) for (m, _, mark), values in planted.items() for i, _, text in values]
