@@ -71,8 +71,12 @@ _SEPARATED = re.compile(r" +[|·/•>»›] +| {2,}")
 _BAR = re.compile(r" +[|·/•] +| {2,}")
 _CRUMBS = re.compile(r" +[>»›/] +")
 _ENDED = re.compile(r"[.!?。！？…:]['\"”’»」）)\]]*$")
+#: The last characters of what _ENDED matches: marks, and what may follow them.
+_MARKS, _CLOSERS = frozenset(".!?。！？…:"), frozenset("'\"”’»」）)]\n")
 #: Runs are written as one and more, as patterns that begin with a set are searched for faster.
-_DIGITS, _ASCII_DIGITS = re.compile(r"\d\d*"), re.compile("[0-9][0-9]*")
+_DIGITS = re.compile(r"\d\d*")
+#: Lower case and 0 for any digit, for ASCII.
+_ASCII_MASK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 #: A character that _SEPARATED, _BAR or _CRUMBS need if there are no two spaces.
 _SEPARATOR = re.compile("[|·/•>»›]")
 #: Code by how a line begins and by a call; what else shows code is found without a pattern.
@@ -90,16 +94,29 @@ _FREQUENT = _runs("[的一是不了在有和与这为以我用中大人之のは
 
 
 def masked_key(text: str, brand: str = "") -> str:
-    return _masked(text, brand) if len(text) < 120 else _masked.__wrapped__(text, brand)
+    """text in lower case with 0 for any number and a mark for the host's name; of a long one the beginning and a hash of the whole."""
+    m = _branded_mask(text, brand)
+    return m if len(m) <= KEY_CHARS else _shortened(m)
+
+
+def _branded_mask(text: str, brand: str) -> str:
+    m = _masked(text) if len(text) < 120 else _masked.__wrapped__(text)
+    return m.replace(brand, _BRAND) if brand and brand in m else m
+
+
+def _shortened(masked: str) -> str:
+    return f"{masked[:HEAD_CHARS]}\0{blake2b(masked.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
 
 
 @lru_cache(50_000)
-def _masked(text: str, brand: str) -> str:
-    """text in lower case with 0 for any number and a mark for the host's name; of a long one the beginning and a hash of the whole."""
-    m = (_ASCII_DIGITS if text.isascii() else _DIGITS).sub("0", text.lower())
-    if brand:
-        m = m.replace(brand, _BRAND)
-    return m if len(m) <= KEY_CHARS else f"{m[:HEAD_CHARS]}\0{blake2b(m.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+def _masked(text: str) -> str:
+    """text in lower case with 0 for any number."""
+    if not text.isascii():
+        return _DIGITS.sub("0", text.lower())
+    m = text.encode().translate(_ASCII_MASK)
+    while b"00" in m:
+        m = m.replace(b"00", b"0")
+    return m.decode()
 
 
 def _split(groups: dict[str, str]) -> set[str]:
@@ -159,11 +176,13 @@ def repaired(text: str) -> tuple[str, ...]:
     return tuple(once + [t for o in once if not o.isascii() for _, t in undone(o, False)])
 
 
-def _shape(text: str) -> tuple[int, bool, int]:
-    """(size, whether it ends as a sentence, leaves) of the text of a line."""
-    ended = _ENDED.search(text, max(len(text) - 8, 0)) is not None
+def _shape(text: str) -> tuple[int, bool, int, float]:
+    """(size, whether it ends as a sentence, leaves, its own ratio) of the text of a line."""
+    end = text[-1:]
+    ended = end in _MARKS or end in _CLOSERS and _ENDED.search(text, max(len(text) - 8, 0)) is not None
     leaves = 1 + len(_SEPARATED.findall(text)) if "  " in text or not ended and " " in text and _SEPARATOR.search(text) else 1
-    return weight(text), ended, leaves
+    size = weight(text)
+    return size, ended, leaves, ratio(size, ended, 0.0, leaves) if size else 0.0
 
 
 def _code(raw: str) -> bool:
@@ -171,9 +190,14 @@ def _code(raw: str) -> bool:
     return "{" in raw or "}" in raw or "\\" in raw or " = " in raw or raw[-1:] == ";" or _CODE_START.match(raw) is not None or "(" in raw and _CALL.search(raw) is not None
 
 
+def _ending(ended: bool, leaves: int) -> str:
+    """The end of a path: the leaf's shape."""
+    return "/." if ended else "/|" if leaves > 1 else "/~"
+
+
 @lru_cache(50_000)
-def _read_plain(raw: str) -> tuple[str, str, str, bool, tuple[int, bool, int]]:
-    """(mark, text, path, whether linked, shape) of a line that is no element."""
+def _read_plain(raw: str) -> tuple[str, str, str, bool, int, bool, int, float]:
+    """(mark, text, path, whether linked, then its shape) of a line that is no element."""
     s = raw.strip()
     if m := _MD_LINK.match(s):
         mark, text, path, link = (m[1] or "").strip(), m[2].strip(), f"{(m[1] or '').strip()}/[]", True
@@ -183,25 +207,32 @@ def _read_plain(raw: str) -> tuple[str, str, str, bool, tuple[int, bool, int]]:
     else:
         mark = "code" if len(s) < 200 and _code(raw) else ""
         text, path, link = s, mark, False
-    return mark, text, path, link, _shape(text)
+    size, ended, leaves, own = _shape(text)
+    return mark, text, path + _ending(ended, leaves), link, size, ended, leaves, own
+
+
+@lru_cache(20_000)
+def _read_element(s: str, open_tags: tuple[str, ...]) -> tuple[str, str, str, bool, int, bool, int, float, list[str]]:
+    """_read_plain of a line that begins with an element, and the elements that are open after it."""
+    after = list(open_tags)
+    mark, text, path, link = Line._element(s, after)
+    size, ended, leaves, own = _shape(text)
+    return mark, text, path + _ending(ended, leaves), link, size, ended, leaves, own, after
 
 
 class Line:
     """A non-blank line: its text without marks, root-to-leaf path, leaves, whether it is linked, ended, in a fenced block."""
 
-    __slots__ = ("no", "raw", "text", "path", "mark", "link", "ended", "leaves", "fenced", "kind", "value", "repeated", "size")
+    __slots__ = ("no", "raw", "text", "path", "mark", "link", "ended", "leaves", "fenced", "kind", "value", "repeated", "size", "own")
 
     def __init__(self, no: int, raw: str, open_tags: list[str]):
         self.no, self.raw, self.fenced, self.kind, self.value, self.repeated = no, raw, False, "", 0.0, False
-        s = raw.strip()
-        if s[0] == "<" and _TAG.match(s):
-            self.mark, self.text, self.path, self.link = self._element(s, open_tags)
-            self.size, self.ended, self.leaves = _shape(self.text)
+        if "<" in raw and (s := raw.strip())[0] == "<" and _TAG.match(s):
+            self.mark, self.text, self.path, self.link, self.size, self.ended, self.leaves, self.own, open_tags[:] = (_read_element if len(s) < 120 else _read_element.__wrapped__)(s, tuple(open_tags))
         else:
-            self.mark, self.text, self.path, self.link, (self.size, self.ended, self.leaves) = _read_plain(raw) if len(raw) < 120 else _read_plain.__wrapped__(raw)
-            if open_tags and not self.path:
-                self.path = "/".join((*open_tags, self.mark))
-        self.path += "/." if self.ended else "/|" if self.leaves > 1 else "/~"
+            self.mark, self.text, self.path, self.link, self.size, self.ended, self.leaves, self.own = _read_plain(raw) if len(raw) < 120 else _read_plain.__wrapped__(raw)
+            if open_tags and len(self.path) == 2:  # nothing but the leaf's shape
+                self.path = "/".join((*open_tags, self.mark)) + self.path
 
     @staticmethod
     def _element(s: str, open_tags: list[str]) -> tuple[str, str, str, bool]:
@@ -256,8 +287,8 @@ def read_lines(content: str) -> list[Line]:
             continue
         line = Line(no, raw, [] if fenced else open_tags)
         fence = "```" in raw and raw.lstrip().startswith("```")
-        line.fenced = fenced and not fence
         if fence or fenced:
+            line.fenced = not fence
             line.mark, line.path = "code", "code"
             fenced = fenced != fence
         out.append(line)
@@ -286,20 +317,24 @@ def ratio(chars: float, ends: float, linked: float, leaves: float) -> float:
     return math.log1p(chars / leaves) * (0.3 + 0.7 * min(ends / leaves, 1.0)) * (1 - linked / max(chars, 1.0))
 
 
-def valued(lines: list[Line], layer: dict[str, list[float]]) -> None:
-    """Sets the value of each line: the ratio of its path on the page and in its layer with its own, smoothed over its neighbours."""
+def _unsmoothed(lines: list[Line], layer: dict[str, list[float]], paths: dict[str, list[float]]) -> list[float]:
+    """The ratio of each line's path on the page and in its layer with the line's own; paths: path_sums of lines."""
     fused = {}
-    for path, sums in path_sums(lines).items():
+    for path, sums in paths.items():
         wide = layer.get(path)
         if wide and wide[3]:
             sums = [x + LAYER_LEAVES * y / wide[3] for x, y in zip(sums, wide)]
         fused[path] = ratio(*sums)
-    raw = [((0.0 if line.link or not line.size else ratio(line.size, line.ended, 0.0, line.leaves)) + fused[line.path]) / 2 for line in lines]
-    last = len(lines) - 1
-    for i, line in enumerate(lines):
-        line.value = SMOOTH_SELF * raw[i] + SMOOTH_NEXT * (raw[max(i - 1, 0)] + raw[min(i + 1, last)])
-        if raw[i] >= HIGH:
-            line.value = max(line.value, LOW)
+    return [((0.0 if line.link else line.own) + fused[line.path]) / 2 for line in lines]
+
+
+def valued(lines: list[Line], layer: dict[str, list[float]]) -> None:
+    """Sets the value of each line: the ratio of its path on the page and in its layer with its own, smoothed over its neighbours."""
+    raw = _unsmoothed(lines, layer, path_sums(lines))
+    for line, before, own, after in zip(lines, [*raw[:1], *raw], raw, [*raw[1:], *raw[-1:]]):
+        line.value = SMOOTH_SELF * own + SMOOTH_NEXT * (before + after)
+        if own >= HIGH and line.value < LOW:
+            line.value = LOW
 
 
 def core(lines: list[Line]) -> tuple[int, int]:
@@ -308,6 +343,15 @@ def core(lines: list[Line]) -> tuple[int, int]:
     return (high[0], high[-1]) if high else (len(lines), -1)
 
 
+def _core_alone(lines: list[Line], paths: dict[str, list[float]]) -> tuple[int, int]:
+    """core of a page without its layer, of which no other values are needed; paths: path_sums of lines."""
+    raw = _unsmoothed(lines, {}, paths)
+    last = len(raw) - 1
+    high = lambda i: SMOOTH_SELF * raw[i] + SMOOTH_NEXT * (raw[max(i - 1, 0)] + raw[min(i + 1, last)]) >= HIGH
+    first = next((i for i in range(last + 1) if high(i)), None)
+    return (last + 1, -1) if first is None else (first, next(i for i in range(last, -1, -1) if high(i)))
+
+
 def brand_of(host: str | None) -> str:
     labels = (host or "").split(".")
     return labels[-2] if len(labels) > 1 else labels[0]
@@ -324,15 +368,26 @@ def _barred(text: str) -> bool:
     return _NOTICE.search(lower) is not None or _NOTICE_START.match(text) is not None or _ANYWHERE_CUE in lower and _NOTICE_ANYWHERE.search(text) is not None
 
 
-@lru_cache(100_000)
 def _worded(text: str, brand: str) -> str:
     """`side`, `yes` or empty: the vote of the words of a line alone."""
+    for word, row in _wording(text):
+        if word or _row(row, brand):
+            return word or "yes"
+    return ""
+
+
+@lru_cache(100_000)
+def _wording(text: str) -> tuple[tuple[str, str], ...]:
+    """(vote, empty) or (empty, what may be a row) of a line and its readings, to the first vote."""
+    found = []
     for t in (text, *(() if text.isascii() else repaired(text))):
         if t in SIDEBARS:
-            return "side"
-        if t in ITEMS or _CUES.search(t.lower()) and _SHAPES.search(t) or _row(t, brand):
-            return "yes"
-    return ""
+            return *found, ("side", "")
+        if t in ITEMS or _CUES.search(t.lower()) and _SHAPES.search(t):
+            return *found, ("yes", "")
+        if "  " in t or _SEPARATOR.search(t):
+            found.append(("", t))
+    return tuple(found)
 
 
 def _row(text: str, brand: str) -> bool:
@@ -355,10 +410,25 @@ class Lines:
     def __init__(self, keys=()):
         self.ordered = sorted(keys)
         self.keys = frozenset(self.ordered)
+        texts = [key[at:] for key in self.ordered for at in range(1 + key.startswith(_ITEM))]
+        #: How long lines begin, as others need no hash to be looked up, and the first two characters of all.
+        self.heads = frozenset(t[:HEAD_CHARS] for t in texts if "\0" in t)
+        self.firsts = frozenset(t[:2] for t in texts)
 
     def __contains__(self, key: str) -> bool:
         return key in self.keys
 
+    def holds(self, prefix: str, masked: str) -> bool:
+        """Whether the key of a masked text is one of them."""
+        if len(masked) <= KEY_CHARS:
+            return prefix + masked in self.keys
+        return masked[:HEAD_CHARS] in self.heads and prefix + _shortened(masked) in self.keys
+
+    def may_hold(self, text: str, brand: str) -> bool:
+        """Whether the key of a text may be one of them, by its first letters if they are ASCII and no part of the host's name."""
+        first = text[:2]
+        return not (first.isascii() and first.isalpha()) or (low := first.lower()) in self.firsts or brand[:1] in low and brand != ""
+
     def starting(self, head: str) -> bool:
         """Whether a key other than head starts with it; of a long key, with its first characters."""
         long = head[:HEAD_CHARS] + "\0"
@@ -409,16 +479,20 @@ def furniture_lines(content: str, title: str | None, host: str | None, repeated:
         text = line.text
         votes, word, barred, repeats = 0.0, "", False, False
         if text and line.value < LOW + WORDED + REPEATED and (line.mark != "code" or line.fenced and not _code(line.raw)):
-            keys = [line.key(brand)]
-            if not text.isascii() and keys[0] not in repeated:
-                keys += [line.prefix() + masked_key(t, brand) for t in repaired(text)]
-            repeats, edge = not repeated.keys.isdisjoint(keys), not first < i < last
-            votes = REPEATED if repeats else KNOWN if edge and not known.keys.isdisjoint(keys) else 0.0
-            own_name = KNOWN if edge and _branded(text, brand) else 0.0
-            if line.value < LOW + WORDED + max(votes, own_name):  # words and what bars a line can decide
-                barred = _barred(text)
-                word = "" if barred else _worded(text, brand)
-                votes = 0.0 if barred else max(votes, own_name) + WORDED if word else votes
+            prefix, below = line.prefix(), line.value < LOW + WORDED + KNOWN  # above, only what the host repeats can be low
+            masked = [_branded_mask(text, brand)] if below or repeated.may_hold(text, brand) else []
+            repeats = masked != [] and repeated.holds(prefix, masked[0])
+            if not repeats and not text.isascii() and (readings := repaired(text)):
+                masked += [_branded_mask(t, brand) for t in readings]
+                repeats = any(repeated.holds(prefix, m) for m in masked)
+            if repeats or below:
+                edge = not first < i < last
+                votes = REPEATED if repeats else KNOWN if edge and any(known.holds(prefix, m) for m in masked) else 0.0
+                own_name = KNOWN if edge and _branded(text, brand) else 0.0
+                if line.value < LOW + WORDED + max(votes, own_name):  # words and what bars a line can decide
+                    barred = _barred(text)
+                    word = "" if barred else _worded(text, brand)
+                    votes = 0.0 if barred else max(votes, own_name) + WORDED if word else votes
         low = line.value < LOW + votes
         recurs, word = low and votes >= (REPEATED if line.fenced else KNOWN), word if low else ""
         line.repeated = recurs and repeats
@@ -490,17 +564,21 @@ def _counted(pages: DataFrame) -> DataFrame:
     names = ["host", "layer", "line", "n", "a", "b", "outside", "chars", "ends", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_lines: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        of_hosts: dict[str, dict[str, tuple[int, ...]]] = defaultdict(dict)
         of_paths: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+        held = 0
 
         def emit():
-            n, m = len(of_lines), len(of_paths)
-            ks, ps, vs, ws = list(of_lines), list(of_paths), list(of_lines.values()), list(of_paths.values())
-            text = lambda a, b: pa.array([*a, *b], pa.string())
+            nonlocal held
+            hosts = [host for host, of_lines in of_hosts.items() for _ in of_lines]
+            ks, vs = [s for of_lines in of_hosts.values() for s in of_lines], [v for of_lines in of_hosts.values() for v in of_lines.values()]
+            n, m, ps, ws = len(ks), len(of_paths), list(of_paths), list(of_paths.values())
+            text = lambda xs: pa.array(xs, pa.string())
             longs = [pa.array([v[i] for v in vs] + ([int(w[3]) for w in ws] if i == 0 else [0] * m), pa.int64()) for i in range(4)]
             reals = [pa.array([0.0] * n + [w[i] for w in ws]) for i in range(3)]
-            columns = [text((k[0] for k in ks), [None] * m), text([None] * n, (p[0] for p in ps)), text((k[1] for k in ks), (p[1] for p in ps)), *longs, *reals]
-            of_lines.clear(), of_paths.clear()
+            columns = [text(hosts + [None] * m), text([None] * n + [p[0] for p in ps]), text(ks + [p[1] for p in ps]), *longs, *reals]
+            of_hosts.clear(), of_paths.clear()
+            held = 0
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
@@ -508,25 +586,26 @@ def _counted(pages: DataFrame) -> DataFrame:
                 if not content:
                     continue
                 lines, brand = read_lines(content), brand_of(host)
-                for path, sums in path_sums(lines).items():
-                    held = of_paths[layer or "", path]
+                paths = path_sums(lines)
+                for path, sums in paths.items():
+                    total = of_paths[layer or "", path]
                     for i in range(4):
-                        held[i] += sums[i]
-                valued(lines, {})
-                first, last = core(lines)
+                        total[i] += sums[i]
+                first, last = _core_alone(lines, paths)
                 text = int.from_bytes(blake2b(content.encode("utf-8", "surrogatepass"), digest_size=8).digest())
-                bits = 1 << text % 63, 1 << (text >> 32) % 63
+                a, b = 1 << text % 63, 1 << (text >> 32) % 63
                 seen = {"": 0}
                 for i, x in enumerate(lines):
-                    if x.mark != "code" and len(x.text) > 2:
-                        seen.setdefault(x.key(brand), int(not first < i < last))
+                    if x.mark != "code" and len(x.text) > 2 and (key := x.key(brand)) not in seen:
+                        seen[key] = 0 if first < i < last else 1
+                of_lines, once = of_hosts[host or ""], ((1, a, b, 0), (1, a, b, 1))
+                held -= len(of_lines)
                 for s, outside in seen.items():
-                    held = of_lines[host or "", s]
-                    held[0] += 1
-                    held[1] |= bits[0]
-                    held[2] |= bits[1]
-                    held[3] += outside
-            if len(of_lines) > 200_000:
+                    counts = of_lines.setdefault(s, once[outside])
+                    if counts is not once[outside]:
+                        of_lines[s] = counts[0] + 1, counts[1] | a, counts[2] | b, counts[3] + outside
+                held += len(of_lines)
+            if held > 200_000:
                 yield emit()
         yield emit()
 

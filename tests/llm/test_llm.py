@@ -354,6 +354,48 @@ def test_gated_patterns_find_what_the_plain_ones_do(text):
     assert boilerplate._FIXED.beginning(text) == any(p.startswith(text) and p != text for p in boilerplate.ITEMS | boilerplate.SIDEBARS)
 
 
+def test_long_lines_that_no_template_begins_like_are_not_hashed(monkeypatch):
+    hashed, true_hash = [], boilerplate.blake2b
+    monkeypatch.setattr(boilerplate, "blake2b", lambda raw, **kw: hashed.append(raw) or true_hash(raw, **kw))
+    told = "All prices include the legal tax of 19 percent and the costs of a delivery within 30 days, as long as stocks last and shops are open."
+    body = [f"Sentence {i} of the page tells of a day in the hills that ended with rain, a long walk home over wet fields, and a late supper." for i in range(9)]
+    repeated = boilerplate.Lines([boilerplate.masked_key("Imprint and terms"), boilerplate.masked_key(told)])
+    hashed.clear()
+    page = "\n".join(["Imprint and terms", *body])
+    assert boilerplate.furniture_lines(page, None, "shop.example.com", repeated) == [1]
+    assert len(hashed) <= 1  # of the last line, which may be cut
+    assert boilerplate.furniture_lines(page + "\n" + told.replace("19", "21"), None, "shop.example.com", repeated) == [1, 11]
+
+
+_LINES = st.text(alphabet=list("aB 019９٣İΣςßé的ÃÂ©€„ÐÑвДЖЯ./|-<p>`*[]()\x80\x01"), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_LINES, max_size=8), st.sampled_from(["", "b0", "ab", "é"]), st.integers(1, 9))
+def test_short_ways_of_keys_ends_and_cores_agree_with_plain_ones(parts, brand, times):
+    for text in (*parts, " ".join(parts) * times):
+        m = boilerplate.re.sub(r"\d+", "0", text.lower())
+        m = m.replace(brand, "\x02") if brand else m
+        key = m if len(m) <= 96 else f"{m[:32]}\0{boilerplate.blake2b(m.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+        assert boilerplate.masked_key(text, brand) == key
+        for lines in (boilerplate.Lines([key]), boilerplate.Lines(["\x01" + key]), boilerplate.Lines([key[:-1]])):
+            assert [lines.holds(p, m) for p in ("", "\x01")] == [key in lines, "\x01" + key in lines]
+            assert lines.may_hold(text, brand) or not (key in lines or "\x01" + key in lines)
+        assert boilerplate._shape(text)[1] == (boilerplate._ENDED.search(text, max(len(text) - 8, 0)) is not None)
+        votes = ["side" if t in boilerplate.SIDEBARS else "yes" if t in boilerplate.ITEMS or boilerplate._SHAPES.search(t) or boilerplate._row(t, brand) else "" for t in (text, *boilerplate.repaired(text))]
+        assert boilerplate._worded(text, brand) == next(filter(None, votes), "")
+        assert bool(mojibake._ANY_LEAD.search(text)) == any(p.search(text) for p in mojibake._LEADS.values())
+        assert bool(mojibake._ANY_INNER_CAPITAL.search(text)) == bool(mojibake._INNER_CAPITAL.search(text))
+    page = "\n".join(x * times for x in parts)
+    lines, open_tags = boilerplate.read_lines(page), []
+    for no, raw in enumerate(page.split("\n"), 1):
+        if "```" not in page and raw.strip().startswith("<") and boilerplate._TAG.match(raw.strip()):
+            line = next(x for x in lines if x.no == no)
+            assert (line.mark, line.text, line.path[:-2], line.link) == boilerplate.Line._element(raw.strip(), open_tags)
+    boilerplate.valued(lines, {})
+    assert boilerplate._core_alone(lines, boilerplate.path_sums(lines)) == boilerplate.core(lines)
+
+
 # p6: residue
 
 
